@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions.columns import exact_mean, means, month_start, ratio, sums
 from tallyline.operators.channels import LINE_MARGINS, line_count, mean_margin
-from tallyline.operators.grouping import attach, table_quantiles, threshold, with_positions
+from tallyline.operators.grouping import attach, quantile_row, with_positions, with_row
 from tallyline.operators.profile import grouped
 
 
@@ -76,8 +76,12 @@ def monthly_agreement_top(ol: DataFrame, n: int = 5) -> DataFrame:
 def low_freight_margin_agreements(ol: DataFrame) -> DataFrame:
     """Agreements whose mean freight margin is below the median agreement."""
     table = _revenue_and_margin(ol).select("customer_agreement", "avg_freight_margin", "total_revenue")
-    median = threshold(table_quantiles(table, ["avg_freight_margin"], [0.5]), "avg_freight_margin", 0)
-    return table.filter(F.col("avg_freight_margin") < median)
+    median = quantile_row(table, ["avg_freight_margin"], [0.5])
+    return (
+        with_row(table, median, "_median")
+        .filter(F.col("avg_freight_margin") < F.col("_median.of")["avg_freight_margin"][0])
+        .drop("_median")
+    )
 
 
 def pricing_variation(ol: DataFrame, n: int = 10) -> DataFrame:

@@ -15,6 +15,7 @@ from tallyline.functions.columns import (
     revenue,
     sums,
 )
+from tallyline.operators.grouping import with_row
 from tallyline.operators.products import MONEY
 from tallyline.operators.profile import grouped
 
@@ -108,16 +109,15 @@ def improvement_areas(ol: DataFrame) -> DataFrame:
         .agg(line_count(), exact_sum("total_revenue").alias("total_revenue"), mean_margin())
         .withColumn("avg_order_value", ratio("total_revenue", "order_count"))
     )
-    mean = table.select(
-        F.struct(F.avg("avg_delivered_margin").alias("margin"), F.avg("avg_order_value").alias("value"))
-    ).scalar()
-    margin = table.filter(F.col("avg_delivered_margin") < mean["margin"]).select(
+    mean = table.agg(F.avg("avg_delivered_margin").alias("margin"), F.avg("avg_order_value").alias("value"))
+    compared = with_row(table, mean, "_mean")
+    margin = compared.filter(F.col("avg_delivered_margin") < F.col("_mean.margin")).select(
         "order_channel",
         F.lit("delivered_margin").alias("area"),
         F.col("avg_delivered_margin").alias("channel_value"),
         F.format_string("Below average delivered margin (%.2f%%)", "avg_delivered_margin").alias("finding"),
     )
-    value = table.filter(F.col("avg_order_value") < mean["value"]).select(
+    value = compared.filter(F.col("avg_order_value") < F.col("_mean.value")).select(
         "order_channel",
         F.lit("order_value").alias("area"),
         F.col("avg_order_value").alias("channel_value"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions.columns import exact_sum, ratio, sums
-from tallyline.operators.grouping import attach, exact_quantiles, with_lookback
+from tallyline.operators.grouping import attach, exact_quantiles, with_lookback, with_row
 from tallyline.operators.profile import grouped
 from tallyline.schema import LINE_KEY
 
@@ -57,24 +57,23 @@ def customer_total_value(ol: DataFrame) -> DataFrame:
     return attach(ol.select(LINE_KEY, "customer_name"), totals, ["customer_name"], "inner")
 
 
-def value_group(value: Column, edges: Column) -> Column:
-    return (
-        F.when(value <= edges[0], "Low Value").when(value <= edges[1], "Medium Value").otherwise("High Value")
-    )
+def with_value_group(df: DataFrame, value: Column, edges: DataFrame) -> DataFrame:
+    first, second = F.col("_edges.quantiles")[0], F.col("_edges.quantiles")[1]
+    group = F.when(value <= first, "Low Value").when(value <= second, "Medium Value").otherwise("High Value")
+    return with_row(df, edges, "_edges").withColumn("customer_group", group).drop("_edges")
 
 
-def tertile_edges(totals: DataFrame, split_rows: int | None = None) -> Column:
+def tertile_edges(totals: DataFrame, split_rows: int | None = None) -> DataFrame:
     """Tertile edges of customer value over lines: each customer weighs its lines."""
     return exact_quantiles(
         totals, "customer_total_value", [1 / 3, 2 / 3], weight=F.col("order_lines"), split_rows=split_rows
-    ).scalar()
+    )
 
 
 def value_tertiles(ol: DataFrame) -> DataFrame:
     """Low / Medium / High Value group of each customer (right-closed edges)."""
     totals = customer_totals(ol)
-    edges = tertile_edges(totals)
-    return totals.withColumn("customer_group", value_group(F.col("customer_total_value"), edges))
+    return with_value_group(totals, F.col("customer_total_value"), tertile_edges(totals))
 
 
 def customer_group_channel(ol: DataFrame) -> DataFrame:
@@ -91,8 +90,10 @@ def customer_group_channel(ol: DataFrame) -> DataFrame:
     # At most one row per channel in each window.
     customer = Window.partitionBy("customer_name")
     edges = tertile_edges(customer_totals(ol))
-    placed = cells.withColumn("customer_total_value", F.sum("value").over(customer)).withColumn(
-        "customer_group", value_group(F.round("customer_total_value", 6), edges)
+    placed = with_value_group(
+        cells.withColumn("customer_total_value", F.sum("value").over(customer)),
+        F.round("customer_total_value", 6),
+        edges,
     )
     return placed.groupBy("customer_group", "order_channel").agg(
         F.sum("order_lines").alias("order_count"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.columns import exact_sum, ratio
+from tallyline.operators.grouping import with_row
 from tallyline.operators.profile import grouped, long_form
 from tallyline.schema import DIMENSIONS
 
@@ -74,17 +75,13 @@ def feature_f_scores(ol: DataFrame, dim: str) -> DataFrame:
     and the global moments, so no one-hot columns are built.
     """
     y = F.col("delivered_margin")
-    whole = ol.filter(y.isNotNull()).select(
-        F.struct(
-            F.count(F.lit(1)).cast("double").alias("n"), F.avg(y).alias("mean"), F.var_pop(y).alias("var")
-        )
-    ).scalar()
+    whole = ol.agg(F.count(y).cast("double").alias("n"), F.avg(y).alias("mean"), F.var_pop(y).alias("var"))
     levels = grouped(ol, dim).agg(F.count(y).cast("double").alias("_k"), F.avg(y).alias("_mean"))
     n, k = F.col("_all.n"), F.col("_k")
     # r^2 of an indicator: k (mean_k - mean)^2 / ((n - k) var)
     r2 = ratio(k * F.pow(F.col("_mean") - F.col("_all.mean"), F.lit(2.0)), (n - k) * F.col("_all.var"))
     return (
-        levels.withColumn("_all", whole)
+        with_row(levels, whole, "_all")
         .withColumn("_r2", r2)
         .select(F.col(dim).alias("feature"), ratio(F.col("_r2") * (n - 2.0), 1.0 - F.col("_r2")).alias("importance"))
     )

@@ -206,26 +206,28 @@ def table_quantiles(
     def sketch(c: str) -> Column:
         return F.percentile_approx(c, low_p + high_p, accuracy)
 
-    edges = df.agg(F.array(*(sketch(c) for c in columns)).alias("_edges"))
-    long = df.select(
-        F.explode(F.array(*(F.struct(F.lit(i).alias("m"), F.col(c).alias("v")) for i, c in enumerate(columns)))).alias(
-            "_x"
-        )
-    ).select("_x.m", "_x.v")
+    edges = df.agg(F.array(*(sketch(c) for c in columns)).alias("of"))
     k = len(probabilities)
-    bounded = long.filter(F.col("v").isNotNull()).withColumn("_e", F.element_at(edges.scalar(), F.col("m") + 1))
-    slot = sum((F.when(F.col("_e")[k + i] < F.col("v"), 1).otherwise(0) for i in range(k)), F.lit(0))
-    placed = bounded.withColumn("slot", slot)
-    low = F.when(F.col("slot") < k, F.element_at("_e", F.least(F.col("slot"), F.lit(k - 1)) + 1))
-    high = F.when(F.col("slot") < k, F.element_at("_e", F.least(F.col("slot"), F.lit(k - 1)) + k + 1))
-    inside = F.coalesce(F.col("v") >= low, F.lit(False))
-    cell = F.coalesce(F.floor(F.try_divide(F.col("v") - low, high - low) * F.lit(float(cells))), F.lit(0))
+    values = F.array(*(F.struct(F.lit(i).alias("m"), F.col(c).alias("v")) for i, c in enumerate(columns)))
+    long = df.select(F.explode(values).alias("_x")).select("_x.m", "_x.v").filter(F.col("v").isNotNull())
+    v, e = F.col("v"), F.col("_e")
+    slot = sum((F.when(e[k + j] < v, 1).otherwise(0) for j in range(k)), F.lit(0))
+    low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for j in reversed(range(k)):
+        low = F.when(v <= e[k + j], e[j]).otherwise(low)
+        high = F.when(v <= e[k + j], e[k + j]).otherwise(high)
+    placed = (
+        with_row(long, edges, "_edges")
+        .select("m", "v", F.col("_edges.of")[F.col("m")].alias("_e"))
+        .select("m", "v", slot.alias("slot"), low.alias("low"), high.alias("high"))
+    )
+    inside = F.coalesce(v >= F.col("low"), F.lit(False))
+    cell = F.coalesce(
+        F.floor(F.try_divide(v - F.col("low"), F.col("high") - F.col("low")) * F.lit(float(cells))), F.lit(0)
+    )
     hist = (
         placed.select(
-            "m",
-            "slot",
-            F.when(inside, cell).otherwise(-1).alias("cell"),
-            F.when(inside, F.col("v")).alias("v"),
+            "m", "slot", F.when(inside, cell).otherwise(-1).alias("cell"), F.when(inside, v).alias("v")
         )
         .groupBy("m", "slot", "cell", "v")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -276,9 +278,15 @@ def table_quantiles(
     return found.select(F.element_at(names, F.col("m") + 1).alias("metric"), F.array(*values).alias("quantiles"))
 
 
-def threshold(quantiles: DataFrame, metric: str, i: int) -> Column:
-    """One value of ``table_quantiles`` as a scalar subquery."""
-    return quantiles.filter(F.col("metric") == metric).select(F.col("quantiles")[i]).scalar()
+def quantile_row(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """``table_quantiles`` as one row: a map from column to its quantiles."""
+    entries = F.collect_list(F.struct("metric", "quantiles"))
+    return table_quantiles(df, columns, probabilities).agg(F.map_from_entries(entries).alias("of"))
+
+
+def with_row(df: DataFrame, row: DataFrame, name: str) -> DataFrame:
+    """Add a one-row table as the struct column ``name``, read as a scalar subquery."""
+    return df.withColumn(name, row.select(F.struct(*row.columns)).scalar())
 
 
 def with_lookback(

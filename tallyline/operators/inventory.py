@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.columns import exact_sum, month_start, ratio, sums
-from tallyline.operators.grouping import table_quantiles, threshold
+from tallyline.operators.grouping import quantile_row, with_row
 from tallyline.operators.profile import grouped
 
 
@@ -30,31 +30,42 @@ def item_sales_stats(ol: DataFrame) -> DataFrame:
 def slow_moving(ol: DataFrame) -> DataFrame:
     """Items selling less per month than the first quartile of items."""
     stats = item_sales_stats(ol)
-    quartile = threshold(table_quantiles(stats, ["avg_monthly_sales"], [0.25]), "avg_monthly_sales", 0)
-    return stats.filter(F.col("avg_monthly_sales") < quartile)
+    quartile = quantile_row(stats, ["avg_monthly_sales"], [0.25])
+    return (
+        with_row(stats, quartile, "_cut")
+        .filter(F.col("avg_monthly_sales") < F.col("_cut.of")["avg_monthly_sales"][0])
+        .drop("_cut")
+    )
 
 
 def slow_moving_report(ol: DataFrame, n: int = 5) -> DataFrame:
     return slow_moving(ol).orderBy("avg_monthly_sales", "item_number").limit(n)
 
 
-def _flags(table: DataFrame, rate: str, size: str, rate_low: bool) -> DataFrame:
-    """Rows with a low rate and a large size, or a high rate and a small size."""
-    cut = table_quantiles(table, [rate, size], [0.25, 0.5, 0.75])
-    median = threshold(cut, rate, 1)
-    if rate_low:
-        return table.filter((F.col(rate) < median) & (F.col(size) > threshold(cut, size, 2)))
-    return table.filter((F.col(rate) > median) & (F.col(size) < threshold(cut, size, 0)))
+def _flags(table: DataFrame, rate: str, size: str, low_large: str, high_small: str) -> DataFrame:
+    """Flag rows with a below-median rate and a top-quarter size, and the reverse."""
+    cut = with_row(table, quantile_row(table, [rate, size], [0.25, 0.5, 0.75]), "_cut")
+    median = F.col("_cut.of")[rate][1]
+    small, large = F.col("_cut.of")[size][0], F.col("_cut.of")[size][2]
+    flag = F.when((F.col(rate) < median) & (F.col(size) > large), low_large).when(
+        (F.col(rate) > median) & (F.col(size) < small), high_small
+    )
+    return cut.withColumn("flag", flag).filter(F.col("flag").isNotNull()).drop("_cut")
+
+
+def stock_flags(ol: DataFrame) -> DataFrame:
+    """Overstocked and understocked items in one table."""
+    return _flags(item_sales_stats(ol), "avg_monthly_sales", "total_sales", "overstocked", "understocked")
 
 
 def overstocked(ol: DataFrame) -> DataFrame:
     """Below-median monthly sales but total sales above the third quartile."""
-    return _flags(item_sales_stats(ol), "avg_monthly_sales", "total_sales", rate_low=True)
+    return stock_flags(ol).filter(F.col("flag") == "overstocked").drop("flag")
 
 
 def understocked(ol: DataFrame) -> DataFrame:
     """Above-median monthly sales but total sales below the first quartile."""
-    return _flags(item_sales_stats(ol), "avg_monthly_sales", "total_sales", rate_low=False)
+    return stock_flags(ol).filter(F.col("flag") == "understocked").drop("flag")
 
 
 def profitability_by(ol: DataFrame, dim: str) -> DataFrame:
@@ -81,21 +92,20 @@ def profitability_extremes(ol: DataFrame, dim: str, n: int = 10) -> DataFrame:
     return best.unionByName(worst)
 
 
-def low_margin_high_volume(ol: DataFrame) -> DataFrame:
-    return _flags(profitability_by(ol, "item_number"), "profit_margin", "line_quantity", rate_low=True)
+def margin_volume_flags(ol: DataFrame) -> DataFrame:
+    """Items to reprice (low margin, high volume) and to promote (the reverse)."""
+    return _flags(
+        profitability_by(ol, "item_number"),
+        "profit_margin",
+        "line_quantity",
+        "low_margin_high_volume",
+        "high_margin_low_volume",
+    )
 
 
-def high_margin_low_volume(ol: DataFrame) -> DataFrame:
-    return _flags(profitability_by(ol, "item_number"), "profit_margin", "line_quantity", rate_low=False)
+def low_margin_high_volume(ol: DataFrame) -> DataFrame:
+    return margin_volume_flags(ol).filter(F.col("flag") == "low_margin_high_volume").drop("flag")
 
 
-def margin_volume_flags(ol: DataFrame) -> DataFrame:
-    """Items to reprice and items to promote, in one table."""
-    table = profitability_by(ol, "item_number")
-    cut = table_quantiles(table, ["profit_margin", "line_quantity"], [0.25, 0.5, 0.75])
-    margin, median = F.col("profit_margin"), threshold(cut, "profit_margin", 1)
-    quantity = F.col("line_quantity")
-    flag = F.when(
-        (margin < median) & (quantity > threshold(cut, "line_quantity", 2)), "low_margin_high_volume"
-    ).when((margin > median) & (quantity < threshold(cut, "line_quantity", 0)), "high_margin_low_volume")
-    return table.withColumn("flag", flag).filter(F.col("flag").isNotNull())
+def high_margin_low_volume(ol: DataFrame) -> DataFrame:
+    return margin_volume_flags(ol).filter(F.col("flag") == "high_margin_low_volume").drop("flag")

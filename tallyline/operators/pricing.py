@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.columns import clipped, ratio
-from tallyline.operators.grouping import attach, table_quantiles, threshold
+from tallyline.operators.grouping import attach, quantile_row, with_row
 from tallyline.operators.lines import with_freight_price
 from tallyline.operators.profile import grouped
 from tallyline.schema import LINE_KEY
@@ -62,12 +64,14 @@ def market(ol: DataFrame) -> DataFrame:
     priced = with_freight_price(ol).select(
         "price", ratio("line_freight_cost", "line_quantity").alias("unit_cost")
     )
-    edges = table_quantiles(priced, ["price"], [0.05, 0.95])
-    return (
-        priced.agg(F.avg("price").alias("avg_price"), F.avg("unit_cost").alias("avg_unit_cost"))
-        .withColumn("lower_price", threshold(edges, "price", 0))
-        .withColumn("upper_price", threshold(edges, "price", 1))
-        .withColumn("slope", log_log_elasticity(ol).scalar())
+    row = priced.agg(F.avg("price").alias("avg_price"), F.avg("unit_cost").alias("avg_unit_cost"))
+    row = with_row(row, quantile_row(priced, ["price"], [0.05, 0.95]), "_edges")
+    return with_row(row, log_log_elasticity(ol), "_demand").select(
+        "avg_price",
+        "avg_unit_cost",
+        F.col("_edges.of")["price"][0].alias("lower_price"),
+        F.col("_edges.of")["price"][1].alias("upper_price"),
+        F.col("_demand.slope").alias("slope"),
     )
 
 
@@ -117,47 +121,34 @@ def recommend_freight_price(
     Product revenue is set from its own target. Between the price that meets
     the freight target and the one that meets the delivered target the two
     squared gaps pull in opposite directions; halving that interval on the sign
-    of the derivative finds the balance. One expression per line, no shuffle.
+    of the derivative finds the balance. The search loops on whole Arrow
+    batches: as a SQL higher-order function it took a hundred times longer.
     """
     t = targets or Targets()
     a, b = 1.0 - t.freight, 1.0 - t.delivered
+
+    @F.pandas_udf("double")
+    def balance(product_cost: pd.Series, cost: pd.Series, revenue: pd.Series) -> pd.Series:
+        total = product_cost + cost
+        ends = (cost / a).clip(lower=0.01), (total / b - revenue).clip(lower=0.01)
+        low, high = np.minimum(*ends).to_numpy(), np.maximum(*ends).to_numpy()
+        c, d, p = cost.to_numpy(), total.to_numpy(), revenue.to_numpy()
+        for _ in range(steps):
+            x = (low + high) / 2.0
+            y = p + x
+            falling = (a - c / x) * c / (x * x) + (b - d / y) * d / (y * y) < 0
+            low, high = np.where(falling, x, low), np.where(falling, high, x)
+        return pd.Series((low + high) / 2.0)
+
     base = df.select(
         LINE_KEY,
-        F.col("line_product_cost").alias("_k"),
-        F.col(freight_cost).alias("predicted_freight_cost"),
+        "line_product_cost",
         (F.col("line_product_cost") / F.lit(1.0 - t.product)).alias("product_revenue"),
+        F.col(freight_cost).alias("predicted_freight_cost"),
     )
-    cost, revenue = F.col("predicted_freight_cost"), F.col("product_revenue")
-    total = F.col("_k") + cost
-    meets_freight = F.greatest(cost / a, F.lit(0.01))
-    meets_delivered = F.greatest(total / b - revenue, F.lit(0.01))
-
-    def halve(bounds: Column, _: Column) -> Column:
-        low, high = bounds["low"], bounds["high"]
-        x = (low + high) / 2.0
-        y = revenue + x
-        slope = (a - cost / x) * cost / (x * x) + (b - total / y) * total / (y * y)
-        return F.struct(
-            F.when(slope < 0, x).otherwise(low).alias("low"), F.when(slope < 0, high).otherwise(x).alias("high")
-        )
-
-    start = F.struct(
-        F.least(meets_freight, meets_delivered).alias("low"), F.greatest(meets_freight, meets_delivered).alias("high")
-    )
-    known = cost.isNotNull() & F.col("_k").isNotNull()
-    solved = F.when(
-        known,
-        F.aggregate(
-            F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["low"] + s["high"]) / 2.0
-        ),
-    )
-    return base.withColumn("freight_revenue", solved).select(
-        LINE_KEY,
-        F.col("_k").alias("line_product_cost"),
-        "product_revenue",
-        "predicted_freight_cost",
-        "freight_revenue",
-    )
+    known = F.col("line_product_cost").isNotNull() & F.col("predicted_freight_cost").isNotNull()
+    price = balance("line_product_cost", "predicted_freight_cost", "product_revenue")
+    return base.withColumn("freight_revenue", F.when(known, price))
 
 
 def target_gap(
@@ -180,81 +171,97 @@ def target_gap(
     )
 
 
-def scenarios(
-    ol: DataFrame, steps: int = 100, demand: str = "power", mode: str = "unit", exploded: bool = False
-) -> DataFrame:
-    """What-if freight prices of every line.
+def scenario_lines(ol: DataFrame, mode: str = "unit") -> DataFrame:
+    """Line columns a scenario needs, with the market's bounds and demand slope.
 
-    Step ``a`` offers ``lower + a / (steps - 1) * (upper - lower)``: a unit
-    price, or a multiplier of freight cost with ``mode="multiplier"``. The grid
-    of a line is an array in its own row (no join, no shuffle); ``exploded``
-    turns it into rows.
+    A candidate is a unit price, or a multiplier of freight cost with
+    ``mode="multiplier"``; ``_scale`` turns it into a line price.
     """
-    bounds = market(ol).select(F.struct("lower_price", "upper_price", "slope")).scalar()
     lines = with_freight_price(ol).select(
         LINE_KEY,
         F.col("line_quantity").alias("_q"),
         F.col("line_freight_cost").alias("_c"),
         F.col("price").alias("_ref"),
-        bounds.alias("_m"),
+        F.col("line_quantity" if mode == "unit" else "line_freight_cost").alias("_scale"),
     )
-    low, high, slope = F.col("_m.lower_price"), F.col("_m.upper_price"), F.col("_m.slope")
-    scale = F.col("_q") if mode == "unit" else F.col("_c")
-
-    def price_at(step: Column) -> Column:
-        candidate = low + step.cast("double") / float(max(steps - 1, 1)) * (high - low)
-        return F.greatest(candidate * scale, F.lit(0.01))
-
-    def quantity_at(price: Column) -> Column:
-        wanted = F.col("_q") * demand_response(price / F.col("_q"), F.col("_ref"), slope, demand)
-        return F.greatest(F.floor(F.least(wanted, F.lit(1e15))).cast("double"), F.lit(1.0))
-
-    def scenario(step: Column) -> Column:
-        # Nested transforms name a value once instead of repeating its formula.
-        return F.transform(
-            F.array(price_at(step)),
-            lambda p: F.transform(
-                F.array(quantity_at(p)),
-                lambda q: F.struct(
-                    ((p - F.col("_c")) / F.col("_q") * q).alias("profit"),
-                    (-step).alias("order"),
-                    step.alias("step"),
-                    p.alias("new_price"),
-                    q.alias("new_quantity"),
-                    ((p - F.col("_c")) / p).alias("margin_rate"),
-                ),
-            )[0],
-        )[0]
-
-    grid = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), scenario)
-    usable = lines.filter(F.col("_q") > 0)
-    if not exploded:
-        return usable.select(LINE_KEY, grid.alias("scenarios"))
-    fields = ("step", "new_price", "new_quantity", "margin_rate", "profit")
-    return usable.select(LINE_KEY, F.explode(grid).alias("_s")).select(LINE_KEY, *(f"_s.{f}" for f in fields))
+    bounds = market(ol).select("lower_price", "upper_price", "slope")
+    return with_row(lines.filter(F.col("_q") > 0), bounds, "_m")
 
 
-def price_scenarios(ol: DataFrame, steps: int = 100, demand: str = "power", mode: str = "unit") -> DataFrame:
-    """Scenario with the most profit for every line (lowest step on ties)."""
-    best = F.array_max("scenarios")
-    fields = ("step", "new_price", "new_quantity", "margin_rate", "profit")
+def scenario_rows(ol: DataFrame, steps: int = 100, demand: str = "power", mode: str = "unit") -> DataFrame:
+    """What-if freight prices, one row per line and price step.
+
+    Step ``a`` offers ``lower + a / (steps - 1) * (upper - lower)``. The grid is
+    generated next to its line: no join and no shuffle.
+    """
+    step = F.col("step").cast("double") / F.lit(float(max(steps - 1, 1)))
+    candidate = F.col("_m.lower_price") + step * (F.col("_m.upper_price") - F.col("_m.lower_price"))
+    wanted = F.col("_q") * demand_response(
+        F.col("new_price") / F.col("_q"), F.col("_ref"), F.col("_m.slope"), demand
+    )
     return (
-        scenarios(ol, steps, demand, mode)
-        .select(LINE_KEY, best.alias("_s"))
-        .select(LINE_KEY, *(f"_s.{f}" for f in fields))
+        scenario_lines(ol, mode)
+        .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+        .withColumn("new_price", F.greatest(candidate * F.col("_scale"), F.lit(0.01)))
+        .withColumn("new_quantity", F.greatest(F.floor(F.least(wanted, F.lit(1e15))).cast("double"), F.lit(1.0)))
+        .select(
+            LINE_KEY,
+            "step",
+            "new_price",
+            "new_quantity",
+            ((F.col("new_price") - F.col("_c")) / F.col("new_price")).alias("margin_rate"),
+            ((F.col("new_price") - F.col("_c")) / F.col("_q") * F.col("new_quantity")).alias("profit"),
+        )
     )
 
 
 def scenario_summary(ol: DataFrame, steps: int = 100, demand: str = "power", mode: str = "unit") -> DataFrame:
-    """Mean margin rate, total quantity and profit of each price step over all lines."""
-    rows = scenarios(ol, steps, demand, mode, exploded=True)
-    return rows.groupBy("step").agg(
+    """Mean margin rate, total quantity and mean profit of each price step over all lines."""
+    return scenario_rows(ol, steps, demand, mode).groupBy("step").agg(
         F.avg("margin_rate").alias("avg_margin_rate"),
         F.sum("new_quantity").alias("total_quantity"),
         F.avg("profit").alias("avg_profit"),
     )
 
 
+def price_scenarios(ol: DataFrame, steps: int = 100, demand: str = "power", mode: str = "unit") -> DataFrame:
+    """Scenario with the most profit for every line (lowest step on ties).
+
+    Same grid as ``scenario_rows``, but searched a step at a time on Arrow
+    batches, so the grid's rows are neither built nor shuffled.
+    """
+    last = float(max(steps - 1, 1))
+
+    @F.pandas_udf("step int, new_price double, new_quantity double, margin_rate double, profit double")
+    def best(
+        q: pd.Series, c: pd.Series, ref: pd.Series, scale: pd.Series, low: pd.Series, high: pd.Series, slope: pd.Series
+    ) -> pd.DataFrame:
+        q, c, ref, scale, low, high, slope = (s.to_numpy(dtype=float) for s in (q, c, ref, scale, low, high, slope))
+        found = None
+        for step in range(steps):
+            price = np.maximum((low + step / last * (high - low)) * scale, 0.01)
+            with np.errstate(all="ignore"):
+                if demand == "exp":
+                    response = np.exp(-slope * (price / q))
+                else:
+                    response = np.where(ref > 0, np.power(price / q / ref, slope), 1.0)
+            quantity = np.maximum(np.floor(np.minimum(q * response, 1e15)), 1.0)
+            profit = (price - c) / q * quantity
+            offer = np.stack([np.full_like(price, step), price, quantity, (price - c) / price, profit])
+            found = offer if found is None else np.where(profit > found[4], offer, found)
+        out = pd.DataFrame(found.T, columns=["step", "new_price", "new_quantity", "margin_rate", "profit"])
+        return out.astype({"step": "int32"})
+
+    return (
+        scenario_lines(ol, mode)
+        .select(
+            LINE_KEY,
+            best("_q", "_c", "_ref", "_scale", "_m.lower_price", "_m.upper_price", "_m.slope").alias("_s"),
+        )
+        .select(LINE_KEY, "_s.step", "_s.new_price", "_s.new_quantity", "_s.margin_rate", "_s.profit")
+    )
+
+
 def dataset_stats(ol: DataFrame) -> DataFrame:
     """Mean and deviation of profit, mean quantity and freight cost, as one row."""
     return ol.agg(
@@ -282,11 +289,12 @@ def segment_multipliers(ol: DataFrame, segments: DataFrame, segment: str = "cust
 
 def month_multipliers(ol: DataFrame) -> DataFrame:
     """Mean margin of each month number relative to the overall mean."""
-    overall = ol.select(F.avg("delivered_margin")).scalar()
-    return (
-        grouped(ol.withColumn("month", F.month("order_date")), "month")
-        .agg(F.avg("delivered_margin").alias("_mean"))
-        .select("month", ratio("_mean", overall).alias("month_multiplier"))
+    months = grouped(ol.withColumn("month", F.month("order_date")), "month").agg(
+        F.avg("delivered_margin").alias("_mean")
+    )
+    overall = ol.agg(F.avg("delivered_margin").alias("mean"))
+    return with_row(months, overall, "_all").select(
+        "month", ratio("_mean", "_all.mean").alias("month_multiplier")
     )
 
 
@@ -303,11 +311,12 @@ def scenario_score(
     and the model outputs ``predicted_profit``, ``predicted_quantity`` and
     ``predicted_margin``. Unknown segments count as 1.
     """
-    means = dataset_stats(ol).select(F.struct("avg_profit", "avg_quantity")).scalar()
+    means = dataset_stats(ol).select("avg_profit", "avg_quantity")
     with_segment = attach(scored, segments.select("customer_name", segment), ["customer_name"])
     multiplied = attach(
         attach(with_segment, segment_multipliers(ol, segments, segment), [segment]), month_multipliers(ol), ["month"]
-    ).withColumn("_mean", means)
+    )
+    multiplied = with_row(multiplied, means, "_mean")
     base = ratio("predicted_profit", F.col("_mean.avg_profit")) * ratio(
         "predicted_quantity", F.col("_mean.avg_quantity")
     )

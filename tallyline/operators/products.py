@@ -18,7 +18,7 @@ from tallyline.functions.columns import (
     season,
     sums,
 )
-from tallyline.operators.grouping import top_per_group
+from tallyline.operators.grouping import top_per_group, with_row
 from tallyline.operators.profile import grouped, long_form
 from tallyline.schema import CATEGORY_COLUMNS
 
@@ -58,15 +58,13 @@ def product_contributions(ol: DataFrame) -> DataFrame:
     The grand totals are one row, read as a scalar subquery.
     """
     items = grouped(ol, "item_number").agg(*sums("total_profit", "total_revenue"))
-    total = ol.select(
-        F.struct(exact_sum("total_profit").alias("profit"), exact_sum("total_revenue").alias("revenue"))
-    ).scalar()
-    return items.select(
+    total = ol.agg(exact_sum("total_profit").alias("profit"), exact_sum("total_revenue").alias("revenue"))
+    return with_row(items, total, "_total").select(
         "item_number",
         "total_profit",
         "total_revenue",
-        (ratio("total_profit", total["profit"]) * 100.0).alias("profit_contribution"),
-        (ratio("total_revenue", total["revenue"]) * 100.0).alias("revenue_contribution"),
+        (ratio("total_profit", "_total.profit") * 100.0).alias("profit_contribution"),
+        (ratio("total_revenue", "_total.revenue") * 100.0).alias("revenue_contribution"),
     )
 
 

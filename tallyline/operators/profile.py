@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.columns import means, sums
-from tallyline.operators.grouping import table_quantiles, top_per_group
+from tallyline.operators.grouping import table_quantiles, top_per_group, with_row
 from tallyline.schema import CATEGORY_COLUMNS
 
 KEY_METRICS = (
@@ -124,10 +124,9 @@ def daily_totals(ol: DataFrame) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """Equal-width bin counts between the column's minimum and maximum."""
-    bounds = df.select(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
-    low, high = bounds["low"], bounds["high"]
-    x = F.col(column)
+    bounds = df.agg(F.min(column).alias("low"), F.max(column).alias("high"))
+    low, high, x = F.col("_bounds.low"), F.col("_bounds.high"), F.col(column)
     number = F.when(low == high, 1).otherwise(
         F.least(F.width_bucket(x, low, high, F.lit(bins)).cast("int"), F.lit(bins))
     )
-    return df.filter(x.isNotNull()).groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
+    return with_row(df.select(column), bounds, "_bounds").filter(x.isNotNull()).groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("rows"))

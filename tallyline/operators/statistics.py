@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions.columns import in_train_split, ratio
 from tallyline.functions.fdist import f_upper_tail
+from tallyline.operators.grouping import with_row
 from tallyline.operators.profile import KEY_METRICS, grouped
 from tallyline.schema import LINE_KEY
 
@@ -41,11 +42,11 @@ def anova_f(ol: DataFrame, group: str, value: str = "delivered_margin") -> DataF
             F.var_pop(value).alias("_var"),
         )
     )
-    overall = groups.select(F.try_divide(F.sum(F.col("_n") * F.col("_mean")), F.sum("_n"))).scalar()
-    row = groups.withColumn("_grand", overall).agg(
+    overall = groups.agg(F.try_divide(F.sum(F.col("_n") * F.col("_mean")), F.sum("_n")).alias("mean"))
+    row = with_row(groups, overall, "_grand").agg(
         F.count(F.lit(1)).alias("groups"),
         F.sum("_n").cast("bigint").alias("rows"),
-        F.sum(F.col("_n") * F.pow(F.col("_mean") - F.col("_grand"), F.lit(2.0))).alias("_between"),
+        F.sum(F.col("_n") * F.pow(F.col("_mean") - F.col("_grand.mean"), F.lit(2.0))).alias("_between"),
         F.sum(F.col("_n") * F.col("_var")).alias("_within"),
     )
     between = ratio("_between", (F.col("groups") - 1).cast("double"))
@@ -85,16 +86,13 @@ def linear_fit(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
     flagged = df.select(F.col(x).alias("_x"), F.col(y).alias("_y"), in_train_split(key).alias("_train"))
     line = (
         flagged.filter("_train")
-        .select(
-            F.struct(
-                F.regr_slope("_y", "_x").alias("slope"),
-                F.regr_intercept("_y", "_x").alias("intercept"),
-                F.count(F.lit(1)).alias("rows"),
-            )
+        .agg(
+            F.regr_slope("_y", "_x").alias("slope"),
+            F.regr_intercept("_y", "_x").alias("intercept"),
+            F.count(F.lit(1)).alias("rows"),
         )
-        .scalar()
     )
-    scored = flagged.filter(~F.col("_train")).withColumn("_line", line)
+    scored = with_row(flagged.filter(~F.col("_train")), line, "_line")
     predicted = scored.withColumn("_p", F.col("_line.intercept") + F.col("_line.slope") * F.col("_x"))
     error = F.col("_y") - F.col("_p")
     return predicted.agg(

@@ -1044,4 +1044,35 @@ FROM ol JOIN best ON ol.{KEY} = best.{KEY} JOIN tertiles USING (customer_name)
             ["score"],
             ctes=f"{SCENARIOS},\n{SEGMENTS}",
         ),
+        "train_test_split": q(
+            f"""SELECT {KEY}, CAST(CAST('0x' || substr(md5({KEY}), 1, 6) AS BIGINT) % 100 < 80 AS INTEGER) AS is_train
+FROM ol""",
+            [KEY, "is_train"],
+            [],
+        ),
+        "category_codes": q(
+            f"SELECT {KEY}, "
+            + ", ".join(
+                f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS INTEGER) AS {c}_code"
+                for c in ("order_channel", "order_region", "category_1")
+            )
+            + " FROM ol",
+            [KEY, "order_channel_code", "order_region_code", "category_1_code"],
+            [],
+        ),
+        "target_encode": q(
+            f"SELECT {KEY}, "
+            + ", ".join(
+                f"avg(delivered_margin) OVER (PARTITION BY {c}) AS {c}_encoded" for c in ("customer_agreement", *CATEGORIES)
+            )
+            + " FROM ol",
+            [KEY],
+            [f"{c}_encoded" for c in ("customer_agreement", *CATEGORIES)],
+        ),
+        "segment_features": q(
+            f"""SELECT customer_name, {sums('total_revenue', 'line_quantity')}, avg(delivered_margin) AS avg_delivered_margin,
+       avg(product_margin) AS avg_predicted_margin FROM ol GROUP BY customer_name""",
+            ["customer_name"],
+            ["total_revenue", "line_quantity", "avg_delivered_margin", "avg_predicted_margin"],
+        ),
     }

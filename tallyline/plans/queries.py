@@ -17,6 +17,7 @@ from tallyline.operators import elasticity as el
 from tallyline.operators import freight as fr
 from tallyline.operators import inventory as inv
 from tallyline.operators import lines as li
+from tallyline.operators import models as mo
 from tallyline.operators import pricing as pr
 from tallyline.operators import products as po
 from tallyline.operators import profile as pf
@@ -232,5 +233,103 @@ SQL_CHECKED: dict[str, Query] = {
 }
 
 
+# Boosting rounds, trees and depth of the registered model queries; the operators' own
+# defaults are larger.
+CHECK_ROUNDS, CHECK_DEPTH, CHECK_TREES = 20, 5, 20
+
+
+def _predicted(ol: DataFrame) -> DataFrame:
+    """Order lines with the margin model's prediction."""
+    numeric = (*mo.ORDER_NUMBERS, "line_freight_revenue")
+    return mo.predict(mo.margin_model(ol), ol, numeric, mo.LINE_CATEGORIES, "predicted_margin")
+
+
+def _freight_price_from_model(ol: DataFrame) -> DataFrame:
+    """Recommended prices from predicted instead of actual freight cost."""
+    scored = mo.predict(
+        mo.freight_cost_model(ol), ol, mo.ORDER_NUMBERS, mo.LINE_CATEGORIES, "predicted_cost"
+    )
+    return pr.recommend_freight_price(scored, "predicted_cost")
+
+
+def _model_scores(ol: DataFrame) -> DataFrame:
+    """Holdout scores of the profit and quantity models."""
+    train, test = mo.train_test_split(ol)
+    parts = []
+    for label, fit, numeric in (
+        ("total_profit", mo.profit_model, mo.MEASURES),
+        ("line_quantity", mo.quantity_model, tuple(m for m in mo.MEASURES if m != "line_quantity")),
+    ):
+        scored = mo.predict(fit(train), test, numeric, mo.LINE_CATEGORIES, "predicted")
+        scores = st.regression_metrics(scored, label, "predicted")
+        parts.append(scores.select(F.lit(label).alias("label"), "mse", "mae", "r2"))
+    return parts[0].unionByName(parts[1])
+
+
+def _scenario_score_models(ol: DataFrame) -> DataFrame:
+    """Scenario scores from fitted profit, quantity and margin models and k-means segments."""
+    quantity_inputs = tuple(m for m in mo.MEASURES if m != "line_quantity")
+    lines = _predicted(ol).withColumn("month", F.month("order_date"))
+    lines = mo.predict(mo.profit_model(ol), lines, mo.MEASURES, mo.LINE_CATEGORIES, "predicted_profit")
+    lines = mo.predict(mo.quantity_model(ol), lines, quantity_inputs, mo.LINE_CATEGORIES, "predicted_quantity")
+    best = pr.price_scenarios(ol).select(LINE_KEY, "new_price")
+    scored = lines.join(best, LINE_KEY).select(
+        LINE_KEY, "customer_name", "month", "new_price", "predicted_profit", "predicted_quantity", "predicted_margin"
+    )
+    return pr.scenario_score(ol, scored, mo.customer_segments(lines, "predicted_margin"))
+
+
+def _target_encoded(ol: DataFrame) -> DataFrame:
+    return mo.target_encode(ol).select(LINE_KEY, *(f"{c}_encoded" for c in mo.ENCODED))
+
+
+def _coded(ol: DataFrame) -> DataFrame:
+    columns = mo.FOREST_CATEGORIES
+    return mo.category_codes(ol, columns).select(LINE_KEY, *(f"{c}_code" for c in columns))
+
+
+SQL_CHECKED |= {
+    "train_test_split": on_lines(mo.split_flags),
+    "category_codes": on_lines(_coded),
+    "target_encode": on_lines(_target_encoded),
+    "segment_features": on_lines(lambda ol: cu.segment_features(ol, "product_margin")),
+}
+
+# Depend on library, seed or iteration: checked by their properties in tests.
+PROPERTY_CHECKED: dict[str, Query] = {
+    "anova_test": on_lines(lambda ol: st.anova_test(ol, "order_channel")),
+    "customer_clusters": on_lines(mo.customer_clusters),
+    "customer_cluster_profile": on_lines(
+        lambda ol: mo.cluster_profile(mo.customer_clusters(ol), cu.CUSTOMER_FEATURES, "clv")
+    ),
+    "best_and_worst_cluster": on_lines(
+        lambda ol: mo.best_and_worst_cluster(
+            mo.cluster_profile(mo.customer_clusters(ol), cu.CUSTOMER_FEATURES), "avg_clv"
+        )
+    ),
+    "cluster_feature_importance": on_lines(mo.cluster_feature_importance),
+    "cluster_outliers": on_lines(
+        lambda ol: mo.cluster_outliers(mo.customer_clusters(ol), "customer_name", cu.CUSTOMER_FEATURES)
+    ),
+    "region_clusters": on_lines(mo.region_clusters),
+    "region_cluster_profile": on_lines(lambda ol: mo.cluster_profile(mo.region_clusters(ol), mo.REGION_FEATURES)),
+    "profitability_clusters": on_lines(mo.profitability_clusters),
+    "profitability_cluster_profile": on_lines(
+        lambda ol: mo.cluster_profile(mo.profitability_clusters(ol), mo.PROFIT_FEATURES)
+    ),
+    "customer_segments": on_lines(lambda ol: mo.customer_segments(_predicted(ol), "predicted_margin")),
+    "margin_linear_model": on_lines(lambda ol: mo.margin_linear_model(ol)[1]),
+    "margin_linear_scores": on_lines(lambda ol: mo.margin_linear_model(ol)[2]),
+    "revenue_forest": on_lines(lambda ol: mo.revenue_forest(ol, CHECK_TREES)[1]),
+    "margin_boosted_trees": on_lines(lambda ol: mo.margin_boosted_trees(ol, CHECK_ROUNDS, CHECK_DEPTH)[1]),
+    "margin_regressor_cv": on_lines(lambda ol: mo.margin_regressor_cv(ol)[2]),
+    "margin_regressor_importance": on_lines(lambda ol: mo.margin_regressor_cv(ol, folds=2)[1]),
+    "freight_price_from_model": on_lines(_freight_price_from_model),
+    "profit_and_quantity_models": on_lines(_model_scores),
+    "scenario_score_models": on_lines(_scenario_score_models),
+    "forecast_daily": on_lines(se.forecast_daily),
+}
+
+
 def all_queries() -> dict[str, Query]:
-    return dict(SQL_CHECKED)
+    return {**SQL_CHECKED, **PROPERTY_CHECKED}
