@@ -9,6 +9,7 @@ from tallyline.functions.columns import exact_mean, means, month_start, ratio, s
 from tallyline.operators.channels import LINE_MARGINS, line_count, mean_margin
 from tallyline.operators.grouping import attach, quantile_row, with_positions, with_row
 from tallyline.operators.profile import grouped
+from tallyline.sources.scratch import written
 
 
 def agreement_analysis(ol: DataFrame) -> DataFrame:
@@ -75,7 +76,9 @@ def monthly_agreement_top(ol: DataFrame, n: int = 5) -> DataFrame:
 
 def low_freight_margin_agreements(ol: DataFrame) -> DataFrame:
     """Agreements whose mean freight margin is below the median agreement."""
-    table = _revenue_and_margin(ol).select("customer_agreement", "avg_freight_margin", "total_revenue")
+    table = written(
+        _revenue_and_margin(ol).select("customer_agreement", "avg_freight_margin", "total_revenue"), "agreements"
+    )
     median = quantile_row(table, ["avg_freight_margin"], [0.5])
     return (
         with_row(table, median, "_median")
@@ -110,10 +113,8 @@ def average_rank(df: DataFrame, value: str, rank: str, split_rows: int | None =
 
 def renegotiation_candidates(ol: DataFrame, n: int = 10, split_rows: int | None = None) -> DataFrame:
     """High-revenue, low-margin agreements: smallest revenue rank minus margin rank."""
-    table = _revenue_and_margin(ol).select(
-        "customer_agreement",
-        "total_revenue",
-        "avg_delivered_margin",
+    table = written(
+        _revenue_and_margin(ol).select("customer_agreement", "total_revenue", "avg_delivered_margin"), "agreements"
     )
     ranked = average_rank(
         average_rank(table, "total_revenue", "revenue_rank", split_rows),

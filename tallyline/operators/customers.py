@@ -9,6 +9,7 @@ from tallyline.functions.columns import exact_sum, ratio, sums
 from tallyline.operators.grouping import attach, exact_quantiles, with_lookback, with_row
 from tallyline.operators.profile import grouped
 from tallyline.schema import LINE_KEY
+from tallyline.sources.scratch import written
 
 CUSTOMER_FEATURES = (
     "order_count",
@@ -72,7 +73,7 @@ def tertile_edges(totals: DataFrame, split_rows: int | None = None) -> DataFrame
 
 def value_tertiles(ol: DataFrame) -> DataFrame:
     """Low / Medium / High Value group of each customer (right-closed edges)."""
-    totals = customer_totals(ol)
+    totals = written(customer_totals(ol), "customers")
     return with_value_group(totals, F.col("customer_total_value"), tertile_edges(totals))
 
 
@@ -82,19 +83,21 @@ def customer_group_channel(ol: DataFrame) -> DataFrame:
     Lines are reduced to (customer, channel) first; everything after works on
     that table, so neither a join nor a window touches the lines.
     """
-    cells = grouped(ol, "customer_name", "order_channel").agg(
-        F.count(F.lit(1)).alias("order_lines"),
-        exact_sum("total_revenue").alias("value"),
-        F.sum("delivered_margin").alias("margin"),
+    cells = written(
+        grouped(ol, "customer_name", "order_channel").agg(
+            F.count(F.lit(1)).alias("order_lines"),
+            exact_sum("total_revenue").alias("value"),
+            F.sum("delivered_margin").alias("margin"),
+        ),
+        "customer-channel",
     )
     # At most one row per channel in each window.
     customer = Window.partitionBy("customer_name")
-    edges = tertile_edges(customer_totals(ol))
-    placed = with_value_group(
-        cells.withColumn("customer_total_value", F.sum("value").over(customer)),
-        F.round("customer_total_value", 6),
-        edges,
+    totals = cells.groupBy("customer_name").agg(
+        exact_sum("value").alias("customer_total_value"), F.sum("order_lines").alias("order_lines")
     )
+    valued = cells.withColumn("customer_total_value", exact_sum("value", over=customer))
+    placed = with_value_group(valued, F.col("customer_total_value"), tertile_edges(totals))
     return placed.groupBy("customer_group", "order_channel").agg(
         F.sum("order_lines").alias("order_count"),
         ratio(exact_sum("value"), F.sum("order_lines")).alias("avg_order_value"),

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.columns import exact_mean, sums
-from tallyline.operators.grouping import attach, top_per_group
+from tallyline.operators.grouping import attach, has_large_groups, top_per_group
 from tallyline.operators.products import MONEY
 from tallyline.operators.profile import grouped, long_form
 from tallyline.schema import CATEGORY_COLUMNS
@@ -52,24 +52,38 @@ def joined_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.array_join(c, ", ") for c in columns})
 
 
-def loss_orders(ol: DataFrame) -> DataFrame:
+def totals_with_lists(
+    df: DataFrame, keys: Sequence[str], totals: Sequence[Column], lists: Sequence[str], large: bool
+) -> DataFrame:
+    """Aggregates and sorted member lists per group.
+
+    One pass with ``collect_set`` while groups are small. With a large group
+    every map task would send its own copy of a long list to one reducer, so
+    the members are then made distinct first, spread by member.
+    """
+    if large:
+        return attach(df.groupBy(*keys).agg(*totals), member_lists(df, keys, lists), keys)
+    return df.groupBy(*keys).agg(*totals, *(F.array_sort(F.collect_set(c)).alias(c) for c in lists))
+
+
+def loss_orders(ol: DataFrame, large_rows: int | None = None) -> DataFrame:
     """One row per order with a negative-margin line: sums, mean margin and member lists.
 
     The orders are picked by a flag in the same aggregation, which saves the
     self join.
     """
-    totals = (
-        grouped(ol, "order_number")
-        .agg(
-            *sums("line_quantity", "line_volume_cbm", *MONEY),
-            F.avg("delivered_margin").alias("avg_delivered_margin"),
-            F.min("delivered_margin").alias("_least"),
-        )
+    known = ol.filter(F.col("order_number").isNotNull())
+    totals = [
+        *sums("line_quantity", "line_volume_cbm", *MONEY),
+        F.avg("delivered_margin").alias("avg_delivered_margin"),
+        F.min("delivered_margin").alias("_least"),
+    ]
+    large = has_large_groups(known, ["order_number"], large_rows)
+    return (
+        totals_with_lists(known, ["order_number"], totals, ORDER_MEMBERS, large)
         .filter(F.col("_least") < 0)
         .drop("_least")
     )
-    lists = member_lists(negative_margin_lines(ol), ["order_number"], ORDER_MEMBERS)
-    return attach(totals, lists, ["order_number"])
 
 
 def loss_order_count(ol: DataFrame) -> DataFrame:
@@ -111,32 +125,40 @@ def _by_category(
 
 
 def _drilldown(
-    ol: DataFrame, key: str, lists: Sequence[str], categories: dict[str, Sequence[str]] | None
+    ol: DataFrame,
+    key: str,
+    lists: Sequence[str],
+    categories: dict[str, Sequence[str]] | None,
+    large_rows: int | None,
 ) -> DataFrame:
-    keys = ["category_column", "category_value", key]
-    long = _by_category(
-        ol.filter(F.col(key).isNotNull()), [key, "delivered_margin", "line_volume_cbm", *MONEY, *lists], categories
-    )
-    totals = long.groupBy(*keys).agg(
+    known = ol.filter(F.col(key).isNotNull())
+    long = _by_category(known, [key, "delivered_margin", "line_volume_cbm", *MONEY, *lists], categories)
+    totals = [
         F.avg("delivered_margin").alias("delivered_margin"),
         F.avg("line_volume_cbm").alias("line_volume_cbm"),
         *sums(*MONEY),
-    )
-    return attach(totals, member_lists(long, keys, lists), keys)
+    ]
+    # A group of (category, key) has at most the lines of its key.
+    large = has_large_groups(known, [key], large_rows)
+    return totals_with_lists(long, ["category_column", "category_value", key], totals, lists, large)
 
 
-def item_drilldown(ol: DataFrame, categories: dict[str, Sequence[str]] | None = None) -> DataFrame:
+def item_drilldown(
+    ol: DataFrame, categories: dict[str, Sequence[str]] | None = None, large_rows: int | None = None
+) -> DataFrame:
     """Per category value and item: mean margin and volume, sums, member lists.
 
     ``categories`` limits the work to some values per category column; all
     values are handled in one job either way.
     """
-    return _drilldown(ol, "item_number", ITEM_MEMBERS, categories)
+    return _drilldown(ol, "item_number", ITEM_MEMBERS, categories, large_rows)
 
 
-def agreement_drilldown(ol: DataFrame, categories: dict[str, Sequence[str]] | None = None) -> DataFrame:
+def agreement_drilldown(
+    ol: DataFrame, categories: dict[str, Sequence[str]] | None = None, large_rows: int | None = None
+) -> DataFrame:
     """Per category value and agreement: mean margin and volume, sums, item list."""
-    return _drilldown(ol, "customer_agreement", AGREEMENT_MEMBERS, categories)
+    return _drilldown(ol, "customer_agreement", AGREEMENT_MEMBERS, categories, large_rows)
 
 
 def item_drilldown_members(ol: DataFrame, categories: dict[str, Sequence[str]] | None = None) -> DataFrame:

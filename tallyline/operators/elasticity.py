@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions.columns import exact_sum, ratio
-from tallyline.operators.grouping import exact_quantiles, with_lookback
+from tallyline.operators.grouping import exact_quantiles, heavy_keys, with_lookback
 from tallyline.operators.profile import grouped
 
 
@@ -29,7 +29,9 @@ def neighbour_elasticity(
         .groupBy("item_number", "price")
         .agg(exact_sum("line_quantity").alias("quantity"))
     )
-    cut = with_lookback(ladder, ["item_number"], ["price"], 1, split_rows, heavy_in=priced)
+    # An item has at most as many prices, and price steps, as lines.
+    heavy = heavy_keys(priced, ["item_number"], split_rows)
+    cut = with_lookback(ladder, ["item_number"], ["price"], 1, heavy=heavy)
     along = Window.partitionBy("item_number", "_part").orderBy("price")
 
     def change(c: str):
@@ -43,9 +45,7 @@ def neighbour_elasticity(
         .filter((F.col("_price_change") != 0) & (F.col("_quantity_change") != 0))
         .select("item_number", (-F.col("_quantity_change") / F.col("_price_change")).alias("_elasticity"))
     )
-    return exact_quantiles(
-        steps, "_elasticity", [0.5], ["item_number"], split_rows=split_rows, heavy_in=priced
-    ).select("item_number", F.col("quantiles")[0].alias(alias))
+    return exact_quantiles(steps, "_elasticity", [0.5], ["item_number"], heavy=heavy).select("item_number", F.col("quantiles")[0].alias(alias))
 
 
 def price_elasticity(ol: DataFrame, split_rows: int | None = None) -> DataFrame:

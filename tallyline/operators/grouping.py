@@ -10,6 +10,7 @@ are exact and do not depend on where the cuts fall.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from types import EllipsisType
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,13 +21,16 @@ from pyspark.sql import functions as F
 SPLIT_ROWS = 250_000
 MAX_SHARE = 2_000
 
+# Heavy keys with the row limit, None for "there are none", ... for "not looked up yet".
+HeavyKeys = tuple[DataFrame, int] | EllipsisType | None
+
 
 def split_limit(total_rows: int, split_rows: int | None = None) -> int:
     """Most rows a group may have before it is cut."""
     return max(split_rows or SPLIT_ROWS, total_rows // MAX_SHARE)
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], split_rows: int | None = None) -> tuple[DataFrame, int] | None:
+def heavy_keys(df: DataFrame, keys: Sequence[str], split_rows: int | None = None) -> HeavyKeys:
     """Keys whose groups must be cut, with the row limit; None when there are none.
 
     One aggregation with map-side combine; only the at most MAX_SHARE heavy
@@ -48,23 +52,29 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], split_rows: int | None = None
     return local, found[0]["_least"]
 
 
+def has_large_groups(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> bool:
+    """Whether any key has more than ``rows`` rows."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return not sizes.filter(F.col("_rows") > (rows or SPLIT_ROWS)).limit(1).isEmpty()
+
+
 def split_groups(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     split_rows: int | None = None,
-    heavy_in: DataFrame | None = None,
+    heavy: HeavyKeys = ...,
 ) -> DataFrame:
     """Add ``_part`` (0, 1, ... along ``order``) and ``_hot`` (group was cut).
 
     ``order`` must be unique within ``keys`` and free of NULLs. Cut points are
     rows picked by a hash of their values, so they follow the data distribution;
     they enter the plan as literals, so retried tasks see the same cuts.
-    ``heavy_in`` is a cheaper frame with at least as many rows per key, used to
-    look for heavy keys instead of ``df``.
+    ``heavy`` is a result of ``heavy_keys``, where it is known already.
     """
     keys, order = list(keys), list(order)
-    heavy = heavy_keys(df if heavy_in is None else heavy_in, keys, split_rows)
+    if heavy is ...:
+        heavy = heavy_keys(df, keys, split_rows)
     if heavy is None:
         return df.withColumn("_part", F.lit(0)).withColumn("_hot", F.lit(False))
     names, limit = heavy
@@ -106,12 +116,12 @@ def with_positions(
     order: str,
     weight: str,
     split_rows: int | None = None,
-    heavy_in: DataFrame | None = None,
+    heavy: HeavyKeys = ...,
 ) -> DataFrame:
     """Add ``_first`` and ``_last``, the 0-based positions each distinct value
     covers in its sorted group, and ``_size``, the total weight of the group."""
     keys = list(keys)
-    parts = split_groups(hist, keys, [order], split_rows, heavy_in)
+    parts = split_groups(hist, keys, [order], split_rows, heavy)
     ordered = Window.partitionBy(*keys, "_part").orderBy(order)
     running = parts.withColumn(
         "_upto", F.sum(weight).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
@@ -137,7 +147,7 @@ def exact_quantiles(
     by: Sequence[str] = (),
     weight: Column | None = None,
     split_rows: int | None = None,
-    heavy_in: DataFrame | None = None,
+    heavy: HeavyKeys = ...,
 ) -> DataFrame:
     """Linear-interpolation quantiles: ``by`` columns plus an array ``quantiles``.
 
@@ -153,7 +163,7 @@ def exact_quantiles(
         .groupBy(*by, F.col(value).alias("_value"))
         .agg(count.cast("bigint").alias("_n"))
     )
-    placed = with_positions(hist, by, "_value", "_n", split_rows, heavy_in)
+    placed = with_positions(hist, by, "_value", "_n", split_rows, heavy)
     wanted = [F.col("_size") - 1 if p == 1 else (F.col("_size") - 1) * F.lit(float(p)) for p in probabilities]
 
     def covers(position: Column) -> Column:
@@ -295,7 +305,7 @@ def with_lookback(
     order: Sequence[str],
     rows: int,
     split_rows: int | None = None,
-    heavy_in: DataFrame | None = None,
+    heavy: HeavyKeys = ...,
 ) -> DataFrame:
     """Make ``partitionBy(*keys, "_part")`` windows see ``rows`` rows back.
 
@@ -304,7 +314,7 @@ def with_lookback(
     after the window.
     """
     keys, order = list(keys), list(order)
-    parts = split_groups(df, keys, order, split_rows, heavy_in)
+    parts = split_groups(df, keys, order, split_rows, heavy)
     payload = [c for c in df.columns if c not in keys and c not in order]
     newest = Window.partitionBy(*keys, "_part").orderBy(*(F.col(c).desc() for c in order))
     tails = (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyline.functions.columns import exact_sum, month_start, ratio, sums
 from tallyline.operators.grouping import quantile_row, with_row
 from tallyline.operators.profile import grouped
+from tallyline.sources.scratch import written
 
 
 def item_sales_stats(ol: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def item_sales_stats(ol: DataFrame) -> DataFrame:
 
 def slow_moving(ol: DataFrame) -> DataFrame:
     """Items selling less per month than the first quartile of items."""
-    stats = item_sales_stats(ol)
+    stats = written(item_sales_stats(ol), "item-sales")
     quartile = quantile_row(stats, ["avg_monthly_sales"], [0.25])
     return (
         with_row(stats, quartile, "_cut")
@@ -44,6 +45,7 @@ def slow_moving_report(ol: DataFrame, n: int = 5) -> DataFrame:
 
 def _flags(table: DataFrame, rate: str, size: str, low_large: str, high_small: str) -> DataFrame:
     """Flag rows with a below-median rate and a top-quarter size, and the reverse."""
+    table = written(table, "flags")
     cut = with_row(table, quantile_row(table, [rate, size], [0.25, 0.5, 0.75]), "_cut")
     median = F.col("_cut.of")[rate][1]
     small, large = F.col("_cut.of")[size][0], F.col("_cut.of")[size][2]

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import FeatureHasher, Imputer, StandardScaler, VectorAssembler
@@ -25,6 +26,7 @@ from tallyline.operators.grouping import attach, exact_quantiles, with_positions
 from tallyline.operators.products import MONEY
 from tallyline.operators.profile import grouped, long_form
 from tallyline.operators.statistics import regression_metrics
+from tallyline.sources.scratch import written
 from tallyline.schema import CATEGORY_COLUMNS, LINE_KEY, MEASURES, fill_missing_columns, require_columns
 
 SEED = 42
@@ -139,6 +141,15 @@ def load_map(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def fit_once(estimator: Estimator, df: DataFrame):
+    """Fit on rows kept for the passes of the fit, on disk where memory is short."""
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return estimator.fit(df)
+    finally:
+        df.unpersist()
+
+
 # --- clusters -----------------------------------------------------------------
 
 
@@ -148,7 +159,7 @@ def fit_clusters(table: DataFrame, key: str, features: Sequence[str], k: int) ->
     Rows are ordered by key inside their partitions, so the same seed sees the
     same rows on a rerun.
     """
-    ready = table.dropna("any", subset=list(features)).sortWithinPartitions(key)
+    ready = written(table.dropna("any", subset=list(features)), "clusters").sortWithinPartitions(key)
     model = Pipeline(
         stages=[
             VectorAssembler(inputCols=list(features), outputCol="_raw"),
@@ -273,13 +284,13 @@ def _importance_rows(spark: SparkSession, features: Sequence[str], values: Seque
 def _fit_and_score(
     train: DataFrame, test: DataFrame, stages: list, label: str
 ) -> tuple[PipelineModel, DataFrame]:
-    model = Pipeline(stages=stages).fit(train)
+    model = fit_once(Pipeline(stages=stages), train)
     return model, regression_metrics(model.transform(test).select(label, "prediction"), label, "prediction")
 
 
 def margin_linear_model(ol: DataFrame) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """Delivered margin from the six measures: model, coefficients, holdout scores."""
-    train, test = train_test_split(ol)
+    train, test = train_test_split(ol.select(LINE_KEY, "delivered_margin", *MEASURES))
     stages = [
         VectorAssembler(inputCols=list(MEASURES), outputCol="features"),
         LinearRegression(labelCol="delivered_margin", featuresCol="features"),
@@ -297,7 +308,8 @@ FOREST_CATEGORIES = ("order_channel", "order_region", "category_1")
 def revenue_forest(ol: DataFrame, trees: int = 100) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """Total revenue from costs and category codes: model, importances, holdout scores."""
     features = [*FOREST_NUMBERS, *(f"{c}_code" for c in FOREST_CATEGORIES)]
-    train, test = train_test_split(category_codes(ol, FOREST_CATEGORIES))
+    coded = category_codes(ol.select(LINE_KEY, "total_revenue", *FOREST_NUMBERS, *FOREST_CATEGORIES), FOREST_CATEGORIES)
+    train, test = train_test_split(coded)
     stages = [
         VectorAssembler(inputCols=features, outputCol="features"),
         RandomForestRegressor(labelCol="total_revenue", featuresCol="features", numTrees=trees, seed=SEED),
@@ -310,6 +322,7 @@ def margin_boosted_trees(
     ol: DataFrame, rounds: int = 200, depth: int = 8, leak_free: bool = False
 ) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """Delivered margin by boosted trees over encoded categories and the measures."""
+    ol = ol.select(LINE_KEY, "delivered_margin", *ENCODED, *MEASURES)
     train, test = train_test_split(ol)
     if leak_free:
         train, test = target_encode(train, fit_on=train), target_encode(test, fit_on=train)
@@ -340,7 +353,7 @@ def fit_regressor(
         LinearRegression(labelCol=label, featuresCol="features", solver="l-bfgs", regParam=penalty, maxIter=50),
     ]
     ready = prepare(df.filter(F.col(label).isNotNull()), numeric, categorical)
-    return Pipeline(stages=stages).fit(ready)
+    return fit_once(Pipeline(stages=stages), ready.select(label, *numeric, *categorical))
 
 
 def predict(
@@ -388,17 +401,20 @@ def margin_regressor_cv(
     """
     label = "delivered_margin"
     train, test = train_test_split(ol)
-    folded = prepare(train, MEASURES, categorical).withColumn("fold", fold_of(LINE_KEY, folds))
+    folded = prepare(train, MEASURES, categorical).select(
+        label, *MEASURES, *categorical, fold_of(LINE_KEY, folds).alias("fold")
+    )
     regression = LinearRegression(
         labelCol=label, featuresCol="features", solver="l-bfgs", regParam=0.001, maxIter=50
     )
-    search = CrossValidator(
+    validator = CrossValidator(
         estimator=Pipeline(stages=[*feature_stages(MEASURES, categorical, slots), regression]),
         estimatorParamMaps=ParamGridBuilder().build(),
         evaluator=RegressionEvaluator(labelCol=label, metricName="r2"),
         numFolds=folds,
         foldCol="fold",
-    ).fit(folded)
+    )
+    search = fit_once(validator, folded)
     model = search.bestModel
     scored = model.transform(prepare(test, MEASURES, categorical)).select(label, "prediction")
     scores = regression_metrics(scored, label, "prediction").select(

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 import pandas as pd
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,17 +20,16 @@ CORRELATED = (*KEY_METRICS[:6], "total_revenue", *KEY_METRICS[6:])
 
 
 def correlation_matrix(ol: DataFrame, columns: Sequence[str] = CORRELATED) -> DataFrame:
-    """Pearson correlation of every pair of columns, all from one aggregation."""
-    pairs = list(combinations(columns, 2))
-    row = ol.agg(*(F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)))
+    """Pearson correlation of every pair of columns.
 
-    def cell(a: str, b: str, r):
-        return F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"), r.alias("r"))
-
-    cells = [cell(c, c, F.lit(1.0)) for c in columns]
-    for i, (a, b) in enumerate(pairs):
-        cells += [cell(a, b, F.col(f"_{i}")), cell(b, a, F.col(f"_{i}"))]
-    return row.select(F.inline(F.array(*cells)))
+    Spark ML adds up one small matrix per partition; as SQL, one ``corr`` per
+    pair made the aggregation too large to be compiled. Only the finished
+    matrix (columns squared) reaches the driver.
+    """
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="features").transform(ol.select(*columns))
+    matrix = Correlation.corr(vectors, "features").first()[0].toArray()
+    cells = [(a, b, float(matrix[i][j])) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    return ol.sparkSession.createDataFrame(cells, "metric_a string, metric_b string, r double")
 
 
 def anova_f(ol: DataFrame, group: str, value: str = "delivered_margin") -> DataFrame:

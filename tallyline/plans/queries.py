@@ -26,6 +26,7 @@ from tallyline.operators import statistics as st
 from tallyline.schema import LINE_KEY
 from tallyline.sources import drilldown as ds
 from tallyline.sources.order_lines import star_view
+from tallyline.sources.scratch import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,7 +68,7 @@ def _texts(operator: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame],
 
 def _read_drilldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the whole item drill-down, then read one category column back."""
-    path = ds.scratch_dir(spark, "item-drilldown")
+    path = scratch_dir(spark, "item-drilldown")
     ds.write_drilldown(dr.item_drilldown(order_lines(spark, sf_dir)), path)
     return rounded(ds.read_drilldown(spark, path, "category_1"))
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,15 +26,6 @@ ITEM_SCHEMA = _schema("item_number", ITEM_MEMBERS)
 AGREEMENT_SCHEMA = _schema("customer_agreement", AGREEMENT_MEMBERS)
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A folder every executor can reach: under the cluster's checkpoint folder.
-
-    Only where none is configured, as in local tests, a local one is made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyline-")
-    return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
-
-
 def write_drilldown(drilldown: DataFrame, path: str) -> None:
     """One folder per category column and value; lists become comma-separated text.
 

@@ -214,6 +214,16 @@ def test_mixed_order_keeps_both_lines(spark):
     assert dr.loss_order_count(df).first()[0] == 1
 
 
+@pytest.mark.parametrize("operator", [dr.loss_orders, dr.item_drilldown, dr.agreement_drilldown])
+def test_lists_are_the_same_for_large_groups(ol, operator):
+    lists = [n for n, t in operator(ol).dtypes if t.startswith("array")]
+    keys = [k for k in ("order_number", "category_column", "category_value", "item_number", "customer_agreement")
+            if k in operator(ol).columns and k not in lists]
+    small, large = operator(ol).select(*keys, *lists), operator(ol, large_rows=2).select(*keys, *lists)
+    assert "Join" not in operator(ol, large_rows=10**9).select(*lists[:1])._jdf.queryExecution().optimizedPlan().toString()
+    assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
+
+
 def test_loss_orders_cover_all_negative_lines(ol):
     bad = ol.filter("delivered_margin < 0").select("order_number").distinct()
     kept = dr.loss_orders(ol).select("order_number")
