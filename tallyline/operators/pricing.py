@@ -30,19 +30,36 @@ class Targets:
 GRID_SIZES = (50, 100, 200, 500)
 
 
-def demand_cells(ol: DataFrame) -> DataFrame:
-    """Mean freight price and quantity per month number, weekday, channel and region."""
+def _cell_sums(ol: DataFrame) -> DataFrame:
+    """Per month number, weekday, channel and region: what prices and demand need of the lines."""
     lines = with_freight_price(ol).withColumns(
-        {"month": F.month("order_date"), "day_of_week": F.weekday("order_date")}
+        {
+            "month": F.month("order_date"),
+            "day_of_week": F.weekday("order_date"),
+            "unit_cost": ratio("line_freight_cost", "line_quantity"),
+        }
     )
-    return (
-        grouped(lines, "month", "day_of_week", "order_channel", "order_region")
-        .agg(F.avg("price").alias("avg_price"), F.avg("line_quantity").alias("avg_quantity"))
-        .withColumn("log_price", F.log(F.col("avg_price") + 0.01))
-        .withColumn("log_quantity", F.log(F.col("avg_quantity") + 0.01))
+    return grouped(lines, "month", "day_of_week", "order_channel", "order_region").agg(
+        F.avg("price").alias("avg_price"),
+        F.avg("line_quantity").alias("avg_quantity"),
+        F.sum("price").alias("_prices"),
+        F.count("price").alias("_priced"),
+        F.sum("unit_cost").alias("_costs"),
+        F.count("unit_cost").alias("_costed"),
+    )
+
+
+def _with_logs(cells: DataFrame) -> DataFrame:
+    return cells.withColumn("log_price", F.log(F.col("avg_price") + 0.01)).withColumn(
+        "log_quantity", F.log(F.col("avg_quantity") + 0.01)
     )
 
 
+def demand_cells(ol: DataFrame) -> DataFrame:
+    """Mean freight price and quantity per month number, weekday, channel and region."""
+    return _with_logs(_cell_sums(ol)).drop("_prices", "_priced", "_costs", "_costed")
+
+
 def log_log_elasticity(ol: DataFrame) -> DataFrame:
     """Slope of log quantity on log price over the demand cells."""
     return demand_cells(ol).agg(F.regr_slope("log_quantity", "log_price").alias("slope"))
@@ -60,18 +77,22 @@ def demand_response(price: Column, reference: Column, slope: Column, demand: str
 
 
 def market(ol: DataFrame) -> DataFrame:
-    """One row: 5 % and 95 % freight price, mean price, mean unit cost and demand slope."""
-    priced = with_freight_price(ol).select(
-        "price", ratio("line_freight_cost", "line_quantity").alias("unit_cost")
+    """One row: 5 % and 95 % freight price, mean price, mean unit cost and demand slope.
+
+    Means and slope come from one pass over the lines, the quantiles from two.
+    """
+    row = _with_logs(_cell_sums(ol)).agg(
+        F.try_divide(F.sum("_prices"), F.sum("_priced")).alias("avg_price"),
+        F.try_divide(F.sum("_costs"), F.sum("_costed")).alias("avg_unit_cost"),
+        F.regr_slope("log_quantity", "log_price").alias("slope"),
     )
-    row = priced.agg(F.avg("price").alias("avg_price"), F.avg("unit_cost").alias("avg_unit_cost"))
-    row = with_row(row, quantile_row(priced, ["price"], [0.05, 0.95]), "_edges")
-    return with_row(row, log_log_elasticity(ol), "_demand").select(
+    prices = with_freight_price(ol).select("price")
+    return with_row(row, quantile_row(prices, ["price"], [0.05, 0.95]), "_edges").select(
         "avg_price",
         "avg_unit_cost",
         F.col("_edges.of")["price"][0].alias("lower_price"),
         F.col("_edges.of")["price"][1].alias("upper_price"),
-        F.col("_demand.slope").alias("slope"),
+        "slope",
     )
 
 

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations_with_replacement
 
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.columns import in_train_split, ratio
@@ -22,14 +21,22 @@ CORRELATED = (*KEY_METRICS[:6], "total_revenue", *KEY_METRICS[6:])
 def correlation_matrix(ol: DataFrame, columns: Sequence[str] = CORRELATED) -> DataFrame:
     """Pearson correlation of every pair of columns.
 
-    Spark ML adds up one small matrix per partition; as SQL, one ``corr`` per
-    pair made the aggregation too large to be compiled. Only the finished
-    matrix (columns squared) reaches the driver.
+    Means first, then the sums of centred products: plain sums keep the
+    aggregation small enough to be compiled, which one ``corr`` per pair is not.
     """
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="features").transform(ol.select(*columns))
-    matrix = Correlation.corr(vectors, "features").first()[0].toArray()
-    cells = [(a, b, float(matrix[i][j])) for i, a in enumerate(columns) for j, b in enumerate(columns)]
-    return ol.sparkSession.createDataFrame(cells, "metric_a string, metric_b string, r double")
+    means = ol.agg(*(F.avg(c).alias(c) for c in columns))
+    centred = with_row(ol.select(*columns), means, "_mean").select(
+        *((F.col(c) - F.col(f"_mean.{c}")).alias(c) for c in columns)
+    )
+    pairs = list(combinations_with_replacement(columns, 2))
+    row = centred.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"{a}*{b}") for a, b in pairs))
+
+    def cell(a: str, b: str) -> Column:
+        product = F.col(f"`{a}*{b}`") if (a, b) in pairs else F.col(f"`{b}*{a}`")
+        r = ratio(product, F.sqrt(F.col(f"`{a}*{a}`") * F.col(f"`{b}*{b}`")))
+        return F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"), r.alias("r"))
+
+    return row.select(F.inline(F.array(*(cell(a, b) for a in columns for b in columns))))
 
 
 def anova_f(ol: DataFrame, group: str, value: str = "delivered_margin") -> DataFrame:
