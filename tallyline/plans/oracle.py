@@ -1075,4 +1075,33 @@ FROM ol""",
             ["customer_name"],
             ["total_revenue", "line_quantity", "avg_delivered_margin", "avg_predicted_margin"],
         ),
+        "histogram_clv": q(
+            f"""SELECT CAST(least(floor(20 * ((clv - low) / (high - low))) + 1, 20) AS INTEGER) AS bin, count(*) AS rows
+FROM clvs, (SELECT min(clv) AS low, max(clv) AS high FROM clvs) GROUP BY 1""",
+            ["bin", "rows"],
+            [],
+            ctes=f"""clvs AS (
+  SELECT greatest(r / n * (n / CAST(d AS DOUBLE)) * d, 0) AS clv
+  FROM (SELECT {es('line_product_revenue')} + {es('line_freight_revenue')} AS r, count(*) AS n,
+               date_diff('day', min(order_date), max(order_date)) + 1 AS d
+        FROM ol GROUP BY customer_name))""",
+        ),
+        "histogram_freight_cost": q(
+            """SELECT CAST(least(floor(30 * ((freight_cost_per_cbm - low) / (high - low))) + 1, 30) AS INTEGER) AS bin,
+       count(*) AS rows
+FROM order_totals, (SELECT min(freight_cost_per_cbm) AS low, max(freight_cost_per_cbm) AS high FROM order_totals)
+GROUP BY 1""",
+            ["bin", "rows"],
+            [],
+            ctes=FREIGHT,
+        ),
+        "regression_metrics": q(
+            """SELECT avg(e * e) AS mse, avg(abs(e)) AS mae, 1 - avg(e * e) / nullif(var_pop(line_freight_cost), 0) AS r2
+FROM (SELECT line_freight_cost, line_freight_cost - (50 + 2500 * line_volume_cbm) AS e FROM ol)""",
+            [],
+            ["mse", "mae", "r2"],
+        ),
+        "order_describe": describe(
+            "order_totals", ["line_volume_cbm", "line_freight_cost", "freight_cost_per_cbm"], ctes=FREIGHT
+        ),
     }

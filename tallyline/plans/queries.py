@@ -112,6 +112,8 @@ SQL_CHECKED: dict[str, Query] = {
     "channel_region_counts": on_lines(pf.channel_region_counts),
     "daily_totals": on_lines(pf.daily_totals),
     "histogram": on_lines(lambda ol: pf.histogram(ol, "line_volume_cbm")),
+    "histogram_clv": on_lines(lambda ol: pf.histogram(cu.customer_features(ol), "clv", 20)),
+    "histogram_freight_cost": on_lines(lambda ol: pf.histogram(fr.order_summary(ol), "freight_cost_per_cbm", 30)),
     # customers
     "customer_features": on_lines(cu.customer_features),
     "customer_total_value": on_lines(cu.customer_total_value),
@@ -213,6 +215,14 @@ SQL_CHECKED: dict[str, Query] = {
     "anova_channel": on_lines(lambda ol: st.anova_f(ol, "order_channel")),
     "anova_agreement": on_lines(lambda ol: st.anova_f(ol, "customer_agreement")),
     "linear_fit": on_lines(st.volume_cost_fit, 4),
+    "regression_metrics": on_lines(
+        lambda ol: st.regression_metrics(
+            ol.withColumn("prediction", 50.0 + 2500.0 * F.col("line_volume_cbm")), "line_freight_cost", "prediction"
+        )
+    ),
+    "order_describe": on_lines(
+        lambda ol: pf.describe(fr.order_summary(ol), ["line_volume_cbm", "line_freight_cost", "freight_cost_per_cbm"])
+    ),
     # series
     "seasonal_decompose": on_lines(se.seasonal_decompose),
     "monthly_revenue": on_lines(se.monthly_revenue),
