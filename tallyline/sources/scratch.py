@@ -2,28 +2,50 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_base: str | None = None
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder every executor can reach: under the cluster's checkpoint folder.
 
-    Only where none is configured, as in local tests, a local one is made.
+def shared_base(spark: SparkSession) -> str:
+    """The folder every executor reaches: the session's ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where neither is set, a local session (all threads in one process) gets a temporary folder that goes with
+    the process; on a cluster that is an error, because executors would write to their own disks.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyline-")
-    return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    base = spark.sparkContext.getCheckpointDir()
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master is {master})")
+    global _local_base
+    if _local_base is None or not os.path.isdir(_local_base):
+        _local_base = tempfile.mkdtemp(prefix="tallyline-")
+        atexit.register(shutil.rmtree, _local_base, ignore_errors=True)
+    return f"file://{_local_base}"
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one, grouped by application so that a finished run can be cleared at once."""
+    run = f"tallyline-{spark.sparkContext.applicationId}"
+    return f"{shared_base(spark)}/{run}/{name}-{os.urandom(6).hex()}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Compute ``df`` once, write it, and go on from the written table.
 
-    For aggregates that are read several times (thresholds, ranks, clusters):
-    the order lines are then scanned once, lost executors cost nothing but
-    their own tasks, and the real size is known when joins are planned.
+    For tables that are read several times (thresholds, ranks, clusters): the source is then scanned once,
+    lost executors cost nothing but their own tasks, and the real size is known when joins are planned.
     """
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
