@@ -17,11 +17,11 @@ WITH RECURSIVE words AS (
 ), items AS (
     SELECT doc_id, unnest(s) AS item FROM shingles
 ), overlap AS (
-    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
     FROM items x JOIN items y ON x.item = y.item AND x.doc_id <> y.doc_id GROUP BY ALL
 ), links AS (
     SELECT a, b FROM overlap JOIN shingles p ON p.doc_id = a JOIN shingles q ON q.doc_id = b
-    WHERE 100 * both >= 85 * (len(p.s) + len(q.s) - both)
+    WHERE 100 * common >= 85 * (len(p.s) + len(q.s) - common)
 ), reached(doc_id, seen) AS (
     SELECT doc_id, doc_id FROM documents
     UNION
