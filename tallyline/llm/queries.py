@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from fractions import Fraction
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyline.llm.near_dedup import near_duplicates
+from tallyline.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,11 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), Fraction(85, 100))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES: dict[str, Query] = {
+    "op7_token_counts": op7_token_counts,
     "op8_near_duplicates": op8_near_duplicates,
 }
