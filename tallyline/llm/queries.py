@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyline.llm.near_dedup import near_duplicates
 from tallyline.llm.token_counts import token_counts
+from tallyline.llm.token_shards import token_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
@@ -28,6 +33,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_token_shards": op1_token_shards,
     "op7_token_counts": op7_token_counts,
     "op8_near_duplicates": op8_near_duplicates,
 }
