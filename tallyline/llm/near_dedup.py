@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm.components import connected_components
+from tallyline.llm.prefilter import with_possible_partner
 from tallyline.llm.words import shingle_sets, slices
 from tallyline.sources.scratch import written
 
@@ -103,9 +104,10 @@ def postings(classes: DataFrame, matches: int, coords: int = COORDS) -> DataFram
     tokens = classes.select(F.col("row").alias("node"), F.posexplode("signature").alias("coord", "value")).select(
         "node", (F.shiftleft(F.col("coord").cast("long"), 32) + F.col("value").cast("long")).alias("token")
     )
-    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    common = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-common")
     lists = (
-        tokens.join(common, "token")
+        with_possible_partner(tokens, common, "token")
+        .join(common.hint("merge"), "token")
         .groupBy("node")
         .agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("tokens"))
     )
@@ -213,21 +215,26 @@ def similar_classes(rows: DataFrame, similarity: Fraction) -> tuple[DataFrame, D
     classes = written(
         rows.where("set_key IS NOT NULL")
         .groupBy("set_key")
-        .agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n_rows")),
+        .agg(
+            F.min("row").alias("row"),
+            F.min("doc_id").alias("least_id"),
+            F.count(F.lit(1)).alias("n_rows"),
+            F.first("signature").alias("signature"),
+        ),
         "near-classes",
     )
-    own = rows.join(classes.select("row"), "row", "left_semi")
-    posted = written(postings(own.select("row", "signature"), match_threshold(similarity)), "near-postings")
+    posted = written(postings(classes.select("row", "signature"), match_threshold(similarity)), "near-postings")
     centres = posted.groupBy("token").agg(
         F.max_by("node", F.struct("shared", -F.col("node"))).alias("centre"), F.count(F.lit(1)).alias("n")
     )
     stars = posted.join(centres.where("n > 1"), "token").where("node <> centre").select("centre", "node").distinct()
     stars = written(stars, "near-stars")
     needed = stars.select(F.col("node").alias("row")).union(stars.select(F.col("centre").alias("row"))).distinct()
-    texts = rows.select("row", "text").join(needed, "row", "left_semi")
+    # The texts outweigh all else here, so they are sorted to the pairs at every size, not broadcast.
+    texts = written(with_possible_partner(rows.select("row", "text"), needed, "row"), "near-texts")
     compared = written(
-        stars.join(texts.select(F.col("row").alias("node"), "text"), "node")
-        .join(texts.select(F.col("row").alias("centre"), F.col("text").alias("centre_text")), "centre")
+        stars.join(texts.select(F.col("row").alias("node"), "text").hint("merge"), "node")
+        .join(texts.select(F.col("row").alias("centre"), F.col("text").alias("centre_text")).hint("merge"), "centre")
         .select("centre", "node", "text", "centre_text")
         .mapInArrow(
             lambda batches: _delta_compared(batches, num, den),
