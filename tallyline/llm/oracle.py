@@ -33,6 +33,43 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id
 FROM shingles JOIN named USING (doc_id)
 """
 
+CONTAINED_ITEMS = r"""
+WITH texts AS (
+    SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), words AS (
+    SELECT kind, id, coalesce(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), []) AS w FROM texts
+), shingles AS (
+    SELECT kind, id, CASE WHEN len(w) >= 5
+        THEN list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+    FROM words
+), items AS (
+    SELECT kind, id, len(s) AS n, unnest(s) AS item FROM shingles
+)
+SELECT d.id AS doc_id, b.id AS item_id, b.n::INTEGER AS n_item, count(*)::INTEGER AS n_shared,
+    count(*) / b.n::DOUBLE AS containment
+FROM items d JOIN items b ON d.kind = 'd' AND b.kind = 'b' AND d.item = b.item
+GROUP BY d.id, b.id, b.n
+HAVING 100 * count(*) >= 80 * b.n
+"""
+
+SHARED_LINES = """
+WITH lines AS (
+    SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place
+    FROM documents
+), shared AS (
+    SELECT trim(line) AS line FROM lines WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 5
+), marked AS (
+    SELECT doc_id, place, lines.line, shared.line IS NOT NULL AS gone
+    FROM lines LEFT JOIN shared ON trim(lines.line) = shared.line
+)
+SELECT doc_id, count(*)::INTEGER AS n_lines, count(*) FILTER (gone)::INTEGER AS n_removed,
+    md5(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS clean_md5
+FROM marked GROUP BY doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_contained_items": CONTAINED_ITEMS,
+    "op9_shared_lines": SHARED_LINES,
     "op8_near_duplicates": NEAR_DUPLICATES,
 }

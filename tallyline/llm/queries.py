@@ -7,7 +7,10 @@ from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallyline.llm.decontamination import contained_items
+from tallyline.llm.line_dedup import without_shared_lines
 from tallyline.llm.near_dedup import near_duplicates
 from tallyline.llm.token_counts import token_counts
 from tallyline.llm.token_shards import token_shards
@@ -23,6 +26,11 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def op4_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_key")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
@@ -32,7 +40,14 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = without_shared_lines(table(spark, sf_dir, "documents"))
+    return clean.select("doc_id", "n_lines", "n_removed", F.md5("clean_text").alias("clean_md5"))
+
+
 QUERIES: dict[str, Query] = {
+    "op4_contained_items": op4_contained_items,
+    "op9_shared_lines": op9_shared_lines,
     "op1_token_shards": op1_token_shards,
     "op7_token_counts": op7_token_counts,
     "op8_near_duplicates": op8_near_duplicates,
