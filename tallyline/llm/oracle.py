@@ -68,7 +68,20 @@ SELECT doc_id, count(*)::INTEGER AS n_lines, count(*) FILTER (gone)::INTEGER AS
 FROM marked GROUP BY doc_id
 """
 
+EXACT_TOPK = """
+WITH whole AS (
+    SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), pairs AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 5
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_exact_topk": EXACT_TOPK,
     "op4_contained_items": CONTAINED_ITEMS,
     "op9_shared_lines": SHARED_LINES,
     "op8_near_duplicates": NEAR_DUPLICATES,

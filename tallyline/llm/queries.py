@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm.decontamination import contained_items
+from tallyline.llm.exact_topk import exact_topk
 from tallyline.llm.line_dedup import without_shared_lines
 from tallyline.llm.near_dedup import near_duplicates
 from tallyline.llm.token_counts import token_counts
 from tallyline.llm.token_shards import token_shards
+from tallyline.llm.urls import url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +33,23 @@ def op4_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_key")
 
 
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op3_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
@@ -46,6 +65,8 @@ def op9_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_url_verdicts": op3_url_verdicts,
+    "op5_exact_topk": op5_exact_topk,
     "op4_contained_items": op4_contained_items,
     "op9_shared_lines": op9_shared_lines,
     "op1_token_shards": op1_token_shards,
