@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from tallyline.llm.decontamination import contained_items
 from tallyline.llm.exact_topk import exact_topk
 from tallyline.llm.line_dedup import without_shared_lines
+from tallyline.llm.mixing import quality_domains, with_rates
 from tallyline.llm.near_dedup import near_duplicates
 from tallyline.llm.token_counts import token_counts
 from tallyline.llm.token_shards import token_shards
+from tallyline.llm.toxicity import toxicity
 from tallyline.llm.urls import url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +52,11 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", F.round("p_low_quality", 6).alias("p_low_quality"), F.round("p_toxic", 6).alias("p_toxic"), "rejected")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
@@ -64,7 +71,17 @@ def op9_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "n_lines", "n_removed", F.md5("clean_text").alias("clean_md5"))
 
 
+MIX = {"good": 0.88, "low": 0.12, "toxic": 0.0}
+
+
+def op10_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = quality_domains(table(spark, sf_dir, "labels"))
+    return with_rates(table(spark, sf_dir, "documents"), labels, MIX).select("doc_id", "n_tokens", "rate", "copies")
+
+
 QUERIES: dict[str, Query] = {
+    "op6_toxicity": op6_toxicity,
+    "op10_mixing_rates": op10_mixing_rates,
     "op3_url_verdicts": op3_url_verdicts,
     "op5_exact_topk": op5_exact_topk,
     "op4_contained_items": op4_contained_items,
