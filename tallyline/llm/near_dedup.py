@@ -83,16 +83,23 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(sizes, pa.int64()),
                 pa.array(keys, pa.binary()),
                 pa.array(values, pa.list_(pa.int32())),
+                *piece.columns[2:],
             ],
-            names=["row", "doc_id", "text", "n_shingles", "set_key", "signature"],
+            names=["row", "doc_id", "text", "n_shingles", "set_key", "signature", *piece.schema.names[2:]],
         )
         row += n
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """One row per document: a row number, id, text, set size, set key and signature; written to the shared folder."""
+def sketches(docs: DataFrame, keep: str | None = None) -> DataFrame:
+    """One row per document: a row number, id, text, set size, set key and signature; written to the shared folder.
+
+    The column ``keep`` is passed on.
+    """
     schema = "row long, doc_id long, text string, n_shingles long, set_key binary, signature array<int>"
-    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketched, schema), "near-sketches")
+    if keep:
+        schema += f", {keep} {docs.schema[keep].dataType.simpleString()}"
+    read = docs.select(F.col("doc_id").cast("long"), "text", *([keep] if keep else []))
+    return written(read.mapInArrow(_sketched, schema), "near-sketches")
 
 
 def postings(classes: DataFrame, matches: int, coords: int = COORDS) -> DataFrame:
@@ -304,3 +311,22 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(85, 100)) -
         "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
+
+
+def one_of_each(docs: DataFrame, similarity: Fraction = Fraction(85, 100)) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without near duplicates: of each component the row with the least
+    (doc_id, row number) stays, and every document with an empty set."""
+    others = [c for c in docs.columns if c != "text"]
+    own = F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others))).alias("own")
+    rows = sketches(docs.select("doc_id", "text", own), keep="own")
+    classes, linked = similar_classes(rows, similarity)
+    named = classes.join(linked.withColumnRenamed("node", "row"), "row", "left").select(
+        "set_key", F.coalesce("component", "row").alias("component"), F.struct("least_id", "row").alias("first")
+    )
+    # One row of a class is known by its number; the component keeps its class with the least id.
+    kept = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    stays = with_possible_partner(rows, kept, "row").join(kept, "row", "left_semi")
+    whole = stays.unionByName(rows.where("set_key IS NULL"))
+    return whole.select(
+        *(F.col("text") if c == "text" else F.col(f"own.c{others.index(c)}").alias(c) for c in docs.columns)
+    )

@@ -54,7 +54,8 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", F.round("p_low_quality", 6).alias("p_low_quality"), F.round("p_toxic", 6).alias("p_toxic"), "rejected")
+    chances = (F.round(p, 6).alias(p) for p in ("p_low_quality", "p_toxic"))
+    return found.select("doc_id", *chances, "rejected")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +72,7 @@ def op9_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "n_lines", "n_removed", F.md5("clean_text").alias("clean_md5"))
 
 
-MIX = {"good": 0.88, "low": 0.12, "toxic": 0.0}
+MIX = {"good": 0.88, "low": 0.12}
 
 
 def op10_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
