@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyline.llm.context_mixing import scored_texts
 from tallyline.llm.decontamination import contained_items
 from tallyline.llm.exact_topk import exact_topk
 from tallyline.llm.line_dedup import without_shared_lines
@@ -35,6 +36,10 @@ def op4_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_key")
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored_texts(table(spark, sf_dir, "documents"))
+
+
 URL_RULES = [
     ("org", "/", "allow"),
     ("example.org", "/es/", "block"),
@@ -81,6 +86,7 @@ def op10_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_context_mixing": op2_context_mixing,
     "op6_toxicity": op6_toxicity,
     "op10_mixing_rates": op10_mixing_rates,
     "op3_url_verdicts": op3_url_verdicts,
