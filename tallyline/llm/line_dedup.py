@@ -69,9 +69,10 @@ def without_shared_lines(docs: DataFrame, site: str = "source", min_sites: int =
     )
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda _, i: ~F.array_contains("gone", i))
+    # One way to join the texts at every size; a hot text is split by the join itself.
     touched = (
         with_possible_partner(keyed, gone, "text_key")
-        .join(gone, "text_key", "left")
+        .join(gone.hint("merge"), "text_key", "left")
         .withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
         .select(
             "doc_id",
