@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyline.llm.own_columns import packed, unpacked
 from tallyline.llm.prefilter import surely_without_partner, with_possible_partner
 from tallyline.sources.scratch import written
 
@@ -116,8 +117,8 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -
 def without_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text contains no item."""
     bad = written(contained_items(docs, items, percent).select("text_key").distinct(), "contained-texts")
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    keyed = packed(docs).withColumn("text_key", F.xxhash64("text"))
     clean = surely_without_partner(keyed, bad, "text_key").union(
         with_possible_partner(keyed, bad, "text_key").join(bad, "text_key", "left_anti").select(keyed.columns)
     )
-    return clean.select(docs.columns)
+    return clean.select(*unpacked(docs.columns))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyline.llm.own_columns import packed, unpacked
 from tallyline.llm.prefilter import with_possible_partner
 from tallyline.sources.scratch import written
 
@@ -143,20 +144,16 @@ def with_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], le
     chance = F.pmod(F.xxhash64("doc_id", "text_key", F.lit("copies")), F.lit(1_000_000)) / 1_000_000
     whole = F.floor("rate")
     copies = (whole + (F.col("rate") - whole > chance).cast("int")).cast("int")
-    return (
-        docs.drop("n_tokens", "rate", "copies")
-        .withColumn("text_key", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")))
-        .join(rates, "text_key")
-        .withColumn("copies", copies)
-        .drop("text_key")
-    )
+    rest = docs.drop("n_tokens", "rate", "copies")
+    rated = packed(rest).withColumn("text_key", F.xxhash64("text")).join(rates, "text_key")
+    return rated.select(*unpacked(rest.columns), "n_tokens", "rate", copies.alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float], least: float = 0.0) -> DataFrame:
     """The rows of ``docs`` as often as their copies, with their own columns."""
-    rated = with_rates(docs, labels, targets, least)
-    repeated = rated.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(docs.columns)
+    rated = with_rates(packed(docs), labels, targets, least).where("copies > 0")
+    repeated = rated.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(*unpacked(docs.columns))
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:

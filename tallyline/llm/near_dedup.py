@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm.components import connected_components
+from tallyline.llm.own_columns import packed, unpacked
 from tallyline.llm.prefilter import with_possible_partner
 from tallyline.llm.words import shingle_sets, slices
 from tallyline.sources.scratch import written
@@ -316,9 +317,7 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(85, 100)) -
 def one_of_each(docs: DataFrame, similarity: Fraction = Fraction(85, 100)) -> DataFrame:
     """The rows of ``docs``, with all their columns, without near duplicates: of each component the row with the least
     (doc_id, row number) stays, and every document with an empty set."""
-    others = [c for c in docs.columns if c != "text"]
-    own = F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others))).alias("own")
-    rows = sketches(docs.select("doc_id", "text", own), keep="own")
+    rows = sketches(packed(docs), keep="own")
     classes, linked = similar_classes(rows, similarity)
     named = classes.join(linked.withColumnRenamed("node", "row"), "row", "left").select(
         "set_key", F.coalesce("component", "row").alias("component"), F.struct("least_id", "row").alias("first")
@@ -327,6 +326,4 @@ def one_of_each(docs: DataFrame, similarity: Fraction = Fraction(85, 100)) -> Da
     kept = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     stays = with_possible_partner(rows, kept, "row").join(kept, "row", "left_semi")
     whole = stays.unionByName(rows.where("set_key IS NULL"))
-    return whole.select(
-        *(F.col("text") if c == "text" else F.col(f"own.c{others.index(c)}").alias(c) for c in docs.columns)
-    )
+    return whole.select(*unpacked(docs.columns))

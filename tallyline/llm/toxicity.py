@@ -22,10 +22,11 @@ from tallyline.sources.scratch import written
 FEATURES = 1 << 18
 FOLDS = 3
 TRAIN_ROWS = 20_000
-EPOCHS = 6
-BATCH = 64
+EPOCHS = 12
+BATCH = 32
 RATE = 0.3
-SPARSITY = 2e-4
+SPARSITY = 1e-3
+START = 1e-2
 BUCKETS = 1_000_000
 
 
@@ -54,7 +55,7 @@ def fit_link(features: np.ndarray, bounds: np.ndarray, earlier: np.ndarray, y: n
     """Logistic regression by proximal adaptive steps in a fixed order; most weights end at exactly zero."""
     n, extra = len(y), earlier.shape[1]
     weights = np.zeros(FEATURES + extra + 1)
-    squares = np.full(len(weights), 1e-2)
+    squares = np.full(len(weights), START)
     rate_of_ones = (y.sum() + 1) / (n + 2)
     weights[-1] = np.log(rate_of_ones / (1 - rate_of_ones))
     for epoch in range(EPOCHS):
