@@ -206,32 +206,42 @@ def scenario_lines(ol: DataFrame, mode: str = "unit") -> DataFrame:
         F.col("line_quantity" if mode == "unit" else "line_freight_cost").alias("_scale"),
     )
     bounds = market(ol).select("lower_price", "upper_price", "slope")
-    return with_row(lines.filter(F.col("_q") > 0), bounds, "_m")
+    return with_row(lines, bounds, "_m")
+
+
+# From here on a double has no fraction, and may be too large for a long.
+WHOLE = float(2**53)
+
+
+def whole_quantity(wanted: Column) -> Column:
+    """The quantity in whole units, one at least."""
+    return F.greatest(F.when(wanted < WHOLE, F.floor(F.least(wanted, F.lit(WHOLE))).cast("double")).otherwise(wanted), F.lit(1.0))
 
 
 def scenario_rows(ol: DataFrame, steps: int = 100, demand: str = "power", mode: str = "unit") -> DataFrame:
-    """What-if freight prices, one row per line and price step.
+    """What-if freight prices, one row per line and price step; lines with a negative quantity are kept.
 
     Step ``a`` offers ``lower + a / (steps - 1) * (upper - lower)``. The grid is
     generated next to its line: no join and no shuffle.
     """
     step = F.col("step").cast("double") / F.lit(float(max(steps - 1, 1)))
     candidate = F.col("_m.lower_price") + step * (F.col("_m.upper_price") - F.col("_m.lower_price"))
-    wanted = F.col("_q") * demand_response(
-        F.col("new_price") / F.col("_q"), F.col("_ref"), F.col("_m.slope"), demand
-    )
+    # A returned or empty line has no unit price to react to: its demand stays as it is.
+    unit_price = F.try_divide(F.col("new_price"), F.col("_q"))
+    response = F.when(F.col("_q") > 0, demand_response(unit_price, F.col("_ref"), F.col("_m.slope"), demand)).otherwise(1.0)
+    wanted = F.col("_q") * response
     return (
         scenario_lines(ol, mode)
         .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
         .withColumn("new_price", F.greatest(candidate * F.col("_scale"), F.lit(0.01)))
-        .withColumn("new_quantity", F.greatest(F.floor(F.least(wanted, F.lit(1e15))).cast("double"), F.lit(1.0)))
+        .withColumn("new_quantity", whole_quantity(wanted))
         .select(
             LINE_KEY,
             "step",
             "new_price",
             "new_quantity",
             ((F.col("new_price") - F.col("_c")) / F.col("new_price")).alias("margin_rate"),
-            ((F.col("new_price") - F.col("_c")) / F.col("_q") * F.col("new_quantity")).alias("profit"),
+            (F.try_divide(F.col("new_price") - F.col("_c"), F.col("_q")) * F.col("new_quantity")).alias("profit"),
         )
     )
 
@@ -263,11 +273,11 @@ def price_scenarios(ol: DataFrame, steps: int = 100, demand: str = "power", mode
             price = np.maximum((low + step / last * (high - low)) * scale, 0.01)
             with np.errstate(all="ignore"):
                 if demand == "exp":
-                    response = np.exp(-slope * (price / q))
+                    response = np.where(q > 0, np.exp(-slope * (price / q)), 1.0)
                 else:
-                    response = np.where(ref > 0, np.power(price / q / ref, slope), 1.0)
-            quantity = np.maximum(np.floor(np.minimum(q * response, 1e15)), 1.0)
-            profit = (price - c) / q * quantity
+                    response = np.where((q > 0) & (ref > 0), np.power(price / q / ref, slope), 1.0)
+                quantity = np.maximum(np.floor(q * response), 1.0)
+                profit = np.where(q != 0, (price - c) / q * quantity, np.nan)
             offer = np.stack([np.full_like(price, step), price, quantity, (price - c) / price, profit])
             found = offer if found is None else np.where(profit > found[4], offer, found)
         out = pd.DataFrame(found.T, columns=["step", "new_price", "new_quantity", "margin_rate", "profit"])

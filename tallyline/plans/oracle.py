@@ -68,7 +68,7 @@ ol AS (
 
 
 def es(expression: str) -> str:
-    return f"CAST(sum(CAST({expression} AS DECIMAL(24,6))) AS DOUBLE)"
+    return f"CAST(sum(CAST({expression} AS DECIMAL(38,12))) AS DOUBLE)"
 
 
 def sums(*names: str) -> str:
@@ -369,11 +369,10 @@ offers AS (
          CAST(step AS INTEGER) AS step,
          greatest((lower_price + CAST(step AS DOUBLE) / 99 * (upper_price - lower_price)) * line_quantity,
                   CAST(0.01 AS DOUBLE)) AS new_price
-  FROM priced, market, range(0, 100) steps(step)
-  WHERE line_quantity > 0),
+  FROM priced, market, range(0, 100) steps(step)),
 scenario_rows AS (
   SELECT *, (new_price - c) / q * new_quantity AS profit, (new_price - c) / new_price AS margin_rate
-  FROM (SELECT *, greatest(floor(q * CASE WHEN ref > 0 THEN pow(new_price / q / ref, slope) ELSE 1 END), 1)
+  FROM (SELECT *, greatest(floor(q * CASE WHEN q > 0 AND ref > 0 THEN pow(new_price / q / ref, slope) ELSE 1 END), 1)
                     AS new_quantity
         FROM offers)),
 best AS (

@@ -129,3 +129,12 @@ def test_filters_reach_the_scan(spark, tmp_path):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(order_region,north)" in text
     assert "IsNotNull(customer_name)" in text
+
+
+def test_sums_keep_small_and_large_values(spark):
+    from tallyline.functions.columns import exact_sum
+
+    small = spark.range(1000).select(F.lit(4e-7).alias("v"))
+    assert small.agg(exact_sum("v")).first()[0] == pytest.approx(4e-4, rel=1e-12)
+    mixed = spark.createDataFrame([(1e16,), (-2.75,), (0.1,), (None,)], "v double")
+    assert mixed.agg(exact_sum("v")).first()[0] == pytest.approx(1e16 - 2.65, rel=1e-15)

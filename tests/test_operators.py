@@ -17,6 +17,7 @@ from tallyline.operators import drilldown as dr
 from tallyline.operators import elasticity as el
 from tallyline.operators import freight as fr
 from tallyline.operators import inventory as inv
+from tallyline.operators import pricing as pr
 from tallyline.operators import products as po
 from tallyline.operators import profile as pf
 from tallyline.operators import statistics as st
@@ -356,3 +357,15 @@ def test_consolidation_on_one_day(spark):
     got = fr.consolidation_savings(clean_lines(lines(spark, *rows))).first()
     assert got.avg_cost_unconsolidated == pytest.approx((10 + 5 + 5) / 3)
     assert got.avg_cost_consolidated == pytest.approx((6 + 5) / 2)
+
+
+def test_scenarios_keep_returned_and_huge_lines(ol):
+    returned, huge = (r[0] for r in ol.select(LINE_KEY).orderBy(LINE_KEY).limit(2).collect())
+    quantity = F.when(F.col(LINE_KEY) == returned, -3.0).when(F.col(LINE_KEY) == huge, 1e16).otherwise(F.col("line_quantity"))
+    changed = ol.withColumn("line_quantity", quantity)
+    best = pr.price_scenarios(changed, steps=5)
+    assert best.count() == ol.count()
+    found = by(best.where(F.col(LINE_KEY).isin(returned, huge)), LINE_KEY)
+    assert found[returned]["new_quantity"] == 1.0 and found[huge]["new_quantity"] >= 1.0
+    every = pr.scenario_rows(changed, steps=5)
+    assert every.count() == 5 * ol.count() and every.where("new_quantity < 1").count() == 0
