@@ -167,7 +167,7 @@ def url_verdicts(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     )
     scored_hosts = written(hosts.select("host", "n").join(host_scores, "host", "left"), "url-host-scores")
     # At most BUCKETS numbers; a page's tokens are summed where it is read, so no token is shuffled.
-    by_bucket = {r["bucket"]: r["odds"] for r in odds.toLocalIterator()}
+    by_bucket = {r["bucket"]: r["odds"] for r in odds.collect()}
     sent = judged.sparkSession.sparkContext.broadcast(
         np.array([by_bucket.get(k, unseen) for k in range(BUCKETS)], np.float64)
     )
