@@ -14,7 +14,17 @@ from tokenizers import Tokenizer
 from llm_fixtures import SF, edge_rows, make_docs  # noqa: F401
 from tallyline.llm import near_dedup
 from tallyline.llm.components import connected_components
-from tallyline.llm.context_mixing import Code, mixed_bits, scored_texts
+from tallyline.llm.context_mixing import (
+    BLOCKS,
+    ORDERS,
+    Code,
+    Decisions,
+    _inputs,
+    context_counts,
+    context_odds,
+    mixed_bits,
+    scored_texts,
+)
 from tallyline.llm.decontamination import contained_items, without_items
 from tallyline.llm.line_dedup import without_shared_lines
 from tallyline.llm.mixing import fitted_rates, mixed_documents, with_rates
@@ -229,6 +239,38 @@ def test_seen_texts_score_better(make_docs):
     assert np.mean(like) < 1.2 < np.mean(unlike)
 
 
+def test_context_counts_stay_apart_and_grow(make_docs):
+    rng = np.random.default_rng(11)
+    letters = list("abcdefghijklmnopqrstuvwxyz0123456789.,;:!?-+*/=()[]{}<>@#$%&")
+    rows = [(k, "".join(rng.choice(letters, 1500))) for k in range(40)]
+    expected, places = defaultdict(Counter), []
+    for _, t in rows:
+        padded = [257] * 5 + list(t.encode()) + [256]
+        for i in range(5, len(padded)):
+            context = tuple(padded[i - 5 : i])
+            expected[context][padded[i]] += 1
+            places.append(context)
+    contexts = context_counts(make_docs(rows)).toArrow()
+    half = context_counts(make_docs(rows[:20])).count()
+    assert contexts.num_rows > 1.8 * half
+    code = Code(np.bincount(list("".join(t for _, t in rows).encode()), minlength=257))
+    d = Decisions(pa.array([t for _, t in rows]), code)
+    paths = {(n, b): set() for n in range(256) for b in (0, 1)}
+    for symbol in range(257):
+        for j in range(code.first[symbol], code.first[symbol] + code.lengths[symbol]):
+            paths[code.nodes[j], code.bits[j]].add(symbol)
+    # The decisions are in order of steps; so are these places.
+    within = np.concatenate([np.arange(len(t) + 1) for _, t in rows])
+    step = np.where(within < BLOCKS[-1], np.searchsorted(BLOCKS, within, "right"), len(BLOCKS) - 1 + within // BLOCKS[-1])
+    ordered = [places[i] for i in np.argsort(step, kind="stable")]
+    # Rows that come twice, as from a block that two tasks read, count once.
+    got = _inputs(d, code, [context_odds(pa.concat_tables([contexts, contexts]), code)])[:, ORDERS.index(5)]
+    for i in rng.integers(0, len(got), 3000):
+        seen = expected[ordered[d.place[i]]]
+        zeros, ones = (sum(seen[s] for s in paths[d.node[i], b]) for b in (0, 1))
+        assert abs(got[i] - np.log((ones + 0.4) / (zeros + 0.4))) < 1e-5
+
+
 # toxicity
 
 
