@@ -312,6 +312,36 @@ def test_rates_meet_the_targets(spark):
     assert abs(shares[0] - 0.8) < 1e-3 and 0.7 < shares[1] < 0.81
 
 
+@pytest.mark.parametrize(
+    "posterior, targets, least",
+    [
+        ((4.0, 2.0), (0.5, 0.5), 0.0),
+        ((4.0, 2.0), (0.3, 0.7), 0.0),
+        ((6.0, 2.0, 0.05), (0.88, 0.11, 0.01), 0.0),
+        ((6.0, 2.0, 0.05), (0.88, 0.12, 0.0), 0.0),
+        ((4.0, 2.0, 0.5), (0.2, 0.4, 0.4), 1.0),
+        ((40.0, 20.0), (0.1, 0.9), 0.0),
+    ],
+)
+def test_rates_of_soft_rare_and_zero_domains(spark, posterior, targets, least):
+    rng = np.random.default_rng(9)
+    p = rng.dirichlet(posterior, 1500)
+    rows = [(k, 1 + k % 3, float(rng.integers(1, 900)), *map(float, x)) for k, x in enumerate(p)]
+    schema = "text_key long, m long, n double, " + ", ".join(f"p{k} double" for k in range(len(targets)))
+    got = fitted_rates(spark.createDataFrame(rows, schema), list(targets), least).toPandas()
+    p = got[[f"p{k}" for k in range(len(targets))]].to_numpy()
+    mass, rate = (got.m * got.n).to_numpy(), got.rate.to_numpy()
+    total, have = mass.sum(), mass @ p
+    size = max([total, *(least * h / t for h, t in zip(have, targets) if t > 0)])
+    goals = np.array(targets) * size
+    tokens = (mass * rate) @ p
+    if least == 0 and posterior[0] < 10:
+        assert np.abs(tokens - goals).max() < 2e-3 * total
+    # At the optimum no rate can move: the slope is 0, or above 0 where the rate is at its least.
+    slope = p @ ((tokens - goals) / np.maximum(goals, 0.01 * size)) + 1e-5 * (rate - 1)
+    assert np.abs(slope[rate > least + 1e-6]).max() < 2e-5 and slope.min() > -2e-5
+
+
 def test_mixing_edges(spark, make_docs, edge_rows):
     labels = spark.createDataFrame([(5, "a"), (8, "b"), (9, None), (4, "other")], "doc_id long, domain string")
     docs = make_docs(edge_rows).withColumn("rate", F.lit("old"))
