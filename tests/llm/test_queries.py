@@ -44,3 +44,11 @@ def test_pipeline(spark):
     total = found.agg({"n_tokens": "sum"}).first()[0]
     last = found.orderBy("start", ascending=False).first()
     assert last["start"] + last["n_tokens"] == total
+
+
+def test_mix_has_every_domain_of_the_labels(spark):
+    from tallyline.llm.mixing import quality_domains
+    from tallyline.llm.queries import MIX
+
+    domains = quality_domains(spark.read.parquet(f"{SF}/labels.parquet")).select("domain").distinct().collect()
+    assert {r["domain"] for r in domains} == set(MIX) and MIX["toxic"] == 0
