@@ -305,21 +305,24 @@ FOREST_NUMBERS = ("line_volume_cbm", "line_quantity", "line_product_cost", "line
 FOREST_CATEGORIES = ("order_channel", "order_region", "category_1")
 
 
-def revenue_forest(ol: DataFrame, trees: int = 100) -> tuple[PipelineModel, DataFrame, DataFrame]:
-    """Total revenue from costs and category codes: model, importances, holdout scores."""
+def revenue_forest(ol: DataFrame, trees: int = 100, depth: int = 30) -> tuple[PipelineModel, DataFrame, DataFrame]:
+    """Total revenue from costs and category codes: model, importances, holdout scores.
+
+    Trees grow as deep as Spark allows.
+    """
     features = [*FOREST_NUMBERS, *(f"{c}_code" for c in FOREST_CATEGORIES)]
     coded = category_codes(ol.select(LINE_KEY, "total_revenue", *FOREST_NUMBERS, *FOREST_CATEGORIES), FOREST_CATEGORIES)
     train, test = train_test_split(coded)
     stages = [
         VectorAssembler(inputCols=features, outputCol="features"),
-        RandomForestRegressor(labelCol="total_revenue", featuresCol="features", numTrees=trees, seed=SEED),
+        RandomForestRegressor(labelCol="total_revenue", featuresCol="features", numTrees=trees, maxDepth=depth, seed=SEED),
     ]
     model, scores = _fit_and_score(train, test, stages, "total_revenue")
     return model, _importance_rows(ol.sparkSession, features, model.stages[-1].featureImportances.toArray()), scores
 
 
 def margin_boosted_trees(
-    ol: DataFrame, rounds: int = 200, depth: int = 8, leak_free: bool = False
+    ol: DataFrame, rounds: int = 200, depth: int = 20, leak_free: bool = False
 ) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """Delivered margin by boosted trees over encoded categories and the measures."""
     ol = ol.select(LINE_KEY, "delivered_margin", *ENCODED, *MEASURES)

@@ -244,11 +244,6 @@ SQL_CHECKED: dict[str, Query] = {
 }
 
 
-# Boosting rounds, trees and depth of the registered model queries; the operators' own
-# defaults are larger.
-CHECK_ROUNDS, CHECK_DEPTH, CHECK_TREES = 20, 5, 20
-
-
 def _predicted(ol: DataFrame) -> DataFrame:
     """Order lines with the margin model's prediction."""
     numeric = (*mo.ORDER_NUMBERS, "line_freight_revenue")
@@ -331,10 +326,10 @@ PROPERTY_CHECKED: dict[str, Query] = {
     "customer_segments": on_lines(lambda ol: mo.customer_segments(_predicted(ol), "predicted_margin")),
     "margin_linear_model": on_lines(lambda ol: mo.margin_linear_model(ol)[1]),
     "margin_linear_scores": on_lines(lambda ol: mo.margin_linear_model(ol)[2]),
-    "revenue_forest": on_lines(lambda ol: mo.revenue_forest(ol, CHECK_TREES)[1]),
-    "margin_boosted_trees": on_lines(lambda ol: mo.margin_boosted_trees(ol, CHECK_ROUNDS, CHECK_DEPTH)[1]),
+    "revenue_forest": on_lines(lambda ol: mo.revenue_forest(ol)[1]),
+    "margin_boosted_trees": on_lines(lambda ol: mo.margin_boosted_trees(ol)[1]),
     "margin_regressor_cv": on_lines(lambda ol: mo.margin_regressor_cv(ol)[2]),
-    "margin_regressor_importance": on_lines(lambda ol: mo.margin_regressor_cv(ol, folds=2)[1]),
+    "margin_regressor_importance": on_lines(lambda ol: mo.margin_regressor_cv(ol)[1]),
     "freight_price_from_model": on_lines(_freight_price_from_model),
     "profit_and_quantity_models": on_lines(_model_scores),
     "scenario_score_models": on_lines(_scenario_score_models),

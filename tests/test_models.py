@@ -1,10 +1,12 @@
 """Models, clusters, series and pricing by their properties."""
 
 import datetime as dt
+import inspect
 
 import numpy as np
 import pandas as pd
 import pytest
+from conftest import SF
 from fixtures import by, lines
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from tallyline.operators import pricing as pr
 from tallyline.operators import series as se
 from tallyline.operators.lines import clean_lines
 from tallyline.operators.statistics import regression_metrics
+from tallyline.plans import queries as registry
 from tallyline.schema import LINE_KEY
 
 
@@ -240,3 +243,24 @@ def test_segment_multipliers_weigh_lines(ol):
     got = by(pr.segment_multipliers(ol, segments), "customer_segment")
     want = ol.join(segments, "customer_name").groupBy("customer_segment").agg(F.avg("delivered_margin").alias("m")).collect()
     assert {k: pytest.approx(r.segment_multiplier) for k, r in got.items()} == {r.customer_segment: r.m for r in want}
+
+
+@pytest.mark.parametrize("query", ["revenue_forest", "margin_boosted_trees", "margin_regressor_importance"])
+def test_registered_models_are_the_whole_ones(spark, ol, monkeypatch, query):
+    name = "margin_regressor_cv" if query == "margin_regressor_importance" else query
+    calls, whole = [], inspect.signature(getattr(mo, name))
+
+    def called(*args, **kwargs):
+        calls.append(whole.bind(*args, **kwargs))
+        calls[0].apply_defaults()
+        return None, spark.range(1).toDF("importance"), None
+
+    monkeypatch.setattr(mo, name, called)
+    registry.PROPERTY_CHECKED[query](spark, SF)
+    given = calls[0].arguments
+    expected = {
+        "revenue_forest": {"trees": 100, "depth": 30},
+        "margin_boosted_trees": {"rounds": 200, "depth": 20},
+        "margin_regressor_cv": {"folds": 5},
+    }
+    assert {k: given[k] for k in expected[name]} == expected[name]
