@@ -1,7 +1,7 @@
 """Encodings, clusters and regression models on Spark ML.
 
 Nothing here depends on the number of distinct category values fitting on the
-driver: linear models hash categories into a fixed number of slots, trees use
+driver: linear models hash categories into slots, many times as many as there are levels, trees use
 one mean-encoded number per category column.
 """
 
@@ -92,11 +92,25 @@ def target_encode(
     ).drop("_overall")
 
 
-def feature_stages(numeric: Sequence[str], categorical: Sequence[str], slots: int = 256) -> list:
+SLOTS_A_LEVEL, LEAST_SLOTS = 32, 1 << 14
+
+
+def slot_counts(ready: DataFrame, categorical: Sequence[str]) -> list[int]:
+    """Per column a power of two, at least ``SLOTS_A_LEVEL`` times its (estimated) number of levels.
+
+    So about one level in 32 at most shares its slot, however many levels there are.
+    """
+    if not categorical:
+        return []
+    levels = ready.agg(*(F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(categorical))).first()
+    return [max(LEAST_SLOTS, 1 << (SLOTS_A_LEVEL * max(1, n) - 1).bit_length()) for n in levels]
+
+
+def feature_stages(numeric: Sequence[str], categorical: Sequence[str], slots: Sequence[int]) -> list:
     """Median imputation and standardising of numbers, hashed one-hot of categories.
 
     Hashing needs no fitted vocabulary: unseen values are never an error and the
-    vector has ``slots`` places per category column whatever the data. Missing
+    vector has its number of ``slots`` places for each category column. Missing
     categories are one more value (see ``prepare``).
     """
     filled = [f"{c}_filled" for c in numeric]
@@ -104,7 +118,7 @@ def feature_stages(numeric: Sequence[str], categorical: Sequence[str], slots: in
         Imputer(strategy="median", inputCols=list(numeric), outputCols=filled),
         VectorAssembler(inputCols=filled, outputCol="_numbers"),
         StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True),
-        *(FeatureHasher(inputCols=[c], outputCol=f"{c}_hashed", numFeatures=slots) for c in categorical),
+        *(FeatureHasher(inputCols=[c], outputCol=f"{c}_hashed", numFeatures=n) for c, n in zip(categorical, slots)),
         VectorAssembler(inputCols=["_scaled", *(f"{c}_hashed" for c in categorical)], outputCol="features"),
     ]
 
@@ -117,8 +131,16 @@ def prepare(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -
     )
 
 
-def preprocessing(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], slots: int = 256) -> PipelineModel:
-    return Pipeline(stages=feature_stages(numeric, categorical, slots)).fit(prepare(df, numeric, categorical))
+def preprocessing(
+    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], slots: int | None = None
+) -> PipelineModel:
+    """With ``slots`` every category column has so many; by default as many as its levels need."""
+    ready = prepare(df, numeric, categorical)
+    return Pipeline(stages=feature_stages(numeric, categorical, _slots(ready, categorical, slots))).fit(ready)
+
+
+def _slots(ready: DataFrame, categorical: Sequence[str], slots: int | None) -> list[int]:
+    return slot_counts(ready, categorical) if slots is None else [slots] * len(categorical)
 
 
 # --- saving -------------------------------------------------------------------
@@ -347,15 +369,15 @@ def fit_regressor(
     label: str,
     numeric: Sequence[str],
     categorical: Sequence[str],
-    slots: int = 256,
+    slots: int | None = None,
     penalty: float = 0.001,
 ) -> PipelineModel:
     """Ridge regression of ``label`` on standardised numbers and hashed categories."""
+    ready = prepare(df.filter(F.col(label).isNotNull()), numeric, categorical)
     stages = [
-        *feature_stages(numeric, categorical, slots),
+        *feature_stages(numeric, categorical, _slots(ready, categorical, slots)),
         LinearRegression(labelCol=label, featuresCol="features", solver="l-bfgs", regParam=penalty, maxIter=50),
     ]
-    ready = prepare(df.filter(F.col(label).isNotNull()), numeric, categorical)
     return fit_once(Pipeline(stages=stages), ready.select(label, *numeric, *categorical))
 
 
@@ -393,7 +415,7 @@ def quantity_model(ol: DataFrame) -> PipelineModel:
 def margin_regressor_cv(
     ol: DataFrame,
     folds: int = 5,
-    slots: int = 256,
+    slots: int | None = None,
     categorical: Sequence[str] = (*CATEGORY_COLUMNS, "item_number", "order_channel", "order_region"),
 ) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """Cross-validated regression of delivered margin: model, importances, scores.
@@ -407,11 +429,12 @@ def margin_regressor_cv(
     folded = prepare(train, MEASURES, categorical).select(
         label, *MEASURES, *categorical, fold_of(LINE_KEY, folds).alias("fold")
     )
+    widths = _slots(folded, categorical, slots)
     regression = LinearRegression(
         labelCol=label, featuresCol="features", solver="l-bfgs", regParam=0.001, maxIter=50
     )
     validator = CrossValidator(
-        estimator=Pipeline(stages=[*feature_stages(MEASURES, categorical, slots), regression]),
+        estimator=Pipeline(stages=[*feature_stages(MEASURES, categorical, widths), regression]),
         estimatorParamMaps=ParamGridBuilder().build(),
         evaluator=RegressionEvaluator(labelCol=label, metricName="r2"),
         numFolds=folds,
@@ -428,9 +451,10 @@ def margin_regressor_cv(
         "r2",
     )
     weights = abs(model.stages[-1].coefficients.toArray())
-    numbers = len(MEASURES)
-    importance = [float(w) for w in weights[:numbers]]
-    for i in range(len(categorical)):
-        block = weights[numbers + i * slots : numbers + (i + 1) * slots]
+    end = len(MEASURES)
+    importance = [float(w) for w in weights[:end]]
+    for width in widths:
+        start, end = end, end + width
+        block = weights[start:end]
         importance.append(float(block[block > 0].mean()) if (block > 0).any() else 0.0)
     return model, _importance_rows(ol.sparkSession, [*MEASURES, *categorical], importance), scores

@@ -109,6 +109,19 @@ def test_tree_models_learn(ol):
     assert scores.first().mae > 0
 
 
+def test_items_that_shared_a_slot_are_apart(spark):
+    rows = [(f"item{k}", float(k)) for k in range(2000)]
+    df = spark.createDataFrame(rows, "item_number string, x double")
+    vectors = mo.preprocessing(df, ["x"], ["item_number"]).transform(df).select("item_number_hashed").collect()
+    places = {int(r[0].indices[0]) for r in vectors}
+    assert len(places) > 0.96 * len(rows)
+    two = spark.createDataFrame([("item0", 0.0), *((f"item{k}", 100.0) for k in range(1, 30))] * 20, "item_number string, y double")
+    two = two.withColumn("x", F.rand(3))
+    model = mo.fit_regressor(two, "y", ["x"], ["item_number"])
+    got = dict(mo.predict(model, two, ["x"], ["item_number"], "p").groupBy("item_number").agg(F.avg("p")).collect())
+    assert got["item0"] < 10 and min(v for k, v in got.items() if k != "item0") > 90
+
+
 def test_cross_validation_scores(ol):
     planted = ol.withColumn("delivered_margin", 4.0 * F.col("line_quantity") + 1.0)
     _, importance, scores = mo.margin_regressor_cv(planted, folds=3, slots=16, categorical=("order_channel",))
