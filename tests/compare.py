@@ -39,7 +39,8 @@ def difference(spark_df, relation) -> str | None:
     left, right = spark_df.toPandas(), relation.df()
     if sorted(left.columns) != sorted(right.columns):
         return f"columns {sorted(set(left.columns) ^ set(right.columns))}"
-    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE"}
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+             "boolean": "BOOLEAN"}
     ours = {n: kinds.get(t, t) for n, t in spark_df.dtypes}
     theirs = {n: str(t) for n, t in zip(relation.columns, relation.types)}
     if ours != theirs:

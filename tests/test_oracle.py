@@ -4,7 +4,9 @@ import pytest
 from compare import difference, duck
 from conftest import SF
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from tallyline.plans.oracle import oracle_sql
+from tallyline.plans.queries import all_queries as queries
 
 SQL = oracle_sql()
 
