@@ -13,6 +13,7 @@ from tallyline.llm.context_mixing import scored_texts
 from tallyline.llm.decontamination import contained_items
 from tallyline.llm.exact_topk import exact_topk
 from tallyline.llm.line_dedup import without_shared_lines
+from tallyline.llm.merkle import merkle_manifest, proof_digest
 from tallyline.llm.mixing import quality_domains, with_rates
 from tallyline.llm.near_dedup import near_duplicates
 from tallyline.llm.token_counts import token_counts
@@ -85,6 +86,14 @@ def op10_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_rates(table(spark, sf_dir, "documents"), labels, MIX).select("doc_id", "n_tokens", "rate", "copies")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    received = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = merkle_manifest(table(spark, sf_dir, "documents"), received)
+    proof = proof_digest(F.col("steps")).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
 QUERIES: dict[str, Query] = {
     "op2_context_mixing": op2_context_mixing,
     "op6_toxicity": op6_toxicity,
@@ -96,4 +105,5 @@ QUERIES: dict[str, Query] = {
     "op1_token_shards": op1_token_shards,
     "op7_token_counts": op7_token_counts,
     "op8_near_duplicates": op8_near_duplicates,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
