@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyline.llm.context_mixing import scored_texts
 from tallyline.llm.decontamination import contained_items
 from tallyline.llm.exact_topk import exact_topk
+from tallyline.llm.html_text import main_text
 from tallyline.llm.line_dedup import without_shared_lines
 from tallyline.llm.merkle import merkle_manifest, proof_digest
 from tallyline.llm.mixing import quality_domains, with_rates
@@ -86,6 +87,10 @@ def op10_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_rates(table(spark, sf_dir, "documents"), labels, MIX).select("doc_id", "n_tokens", "rate", "copies")
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
     received = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
@@ -105,5 +110,6 @@ QUERIES: dict[str, Query] = {
     "op1_token_shards": op1_token_shards,
     "op7_token_counts": op7_token_counts,
     "op8_near_duplicates": op8_near_duplicates,
+    "op12_main_text": op12_main_text,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
