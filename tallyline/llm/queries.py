@@ -17,6 +17,7 @@ from tallyline.llm.line_dedup import without_shared_lines
 from tallyline.llm.merkle import merkle_manifest, proof_digest
 from tallyline.llm.mixing import quality_domains, with_rates
 from tallyline.llm.near_dedup import near_duplicates
+from tallyline.llm.token_alignment import aligned_tokens
 from tallyline.llm.token_counts import token_counts
 from tallyline.llm.token_shards import token_shards
 from tallyline.llm.toxicity import toxicity
@@ -87,6 +88,11 @@ def op10_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_rates(table(spark, sf_dir, "documents"), labels, MIX).select("doc_id", "n_tokens", "rate", "copies")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return aligned_tokens(table(spark, sf_dir, "documents"), *paths)
+
+
 def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
@@ -110,6 +116,7 @@ QUERIES: dict[str, Query] = {
     "op1_token_shards": op1_token_shards,
     "op7_token_counts": op7_token_counts,
     "op8_near_duplicates": op8_near_duplicates,
+    "op11_token_alignment": op11_token_alignment,
     "op12_main_text": op12_main_text,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
