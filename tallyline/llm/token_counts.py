@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tallyline.llm.words import numbered_words, slices
 
@@ -25,12 +26,39 @@ REMEMBERED = 400_000
 NO_RANK = np.int32(2**31 - 1)
 
 # White space that a byte-wise \\s does not know, and the pattern's parts that no letter or digit run can hold.
-OTHER_SPACE = r"\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WIDE_SPACE = r"\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+OTHER_SPACE = rf"\x{{1c}}-\x{{1f}}{WIDE_SPACE}"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-SEPARATE = r"('s|'t|'re|'ve|'m|'ll|'d|[^\s\pL\pN]+)"
+SEPARATE = rf"('s|'t|'re|'ve|'m|'ll|'d|[^\s\pL\pN{WIDE_SPACE}]+)"
 ONE_PIECE = rf"^(\pL+|\pN|[^\s\pL\pN{OTHER_SPACE}]+)$"
 
 
+@cache
+def unsure_letters() -> str:
+    """A pattern of the characters that libraries with different Unicode versions take differently.
+
+    These are the ones that no version here has assigned, and those whose class or lower case differs between them.
+    """
+    characters = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    kinds = [unicodedata.category(c) for c in characters]
+    assigned = [k != "Cn" for k in kinds]
+    known = pa.array([c for c, a in zip(characters, assigned) if a])
+    joined = "".join(known.to_pylist())
+    differs = np.zeros(len(known), bool)
+    for kind in "LN":
+        here = np.array([k[0] == kind for k, a in zip(kinds, assigned) if a])
+        theirs = pc.match_substring_regex(known, rf"\p{kind}").to_numpy(zero_copy_only=False)
+        others = set(regex.findall(rf"\p{{{kind}}}", joined))
+        differs |= (here != theirs) | (here != np.array([c in others for c in joined]))
+    low = pc.utf8_lower(known).to_pylist()
+    differs |= np.array([c.lower() != x and c != "\u0130" for c, x in zip(joined, low)])
+    unsure = np.ones(len(characters), bool)
+    unsure[np.flatnonzero(assigned)] = differs
+    codes = np.array([ord(c) for c in characters])[unsure]
+    runs = np.split(codes, np.flatnonzero(np.diff(codes) != 1) + 1)
+    return "[" + "".join(rf"\x{{{r[0]:x}}}-\x{{{r[-1]:x}}}" for r in runs) + "]"
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: itself where printable, else the next free letter from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -89,6 +117,8 @@ class MergeCounter:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.pairs = PairRanks([(vocab[a], vocab[b]) for a, b in merges], [vocab[a + b] for a, b in merges])
         letters = byte_letters()
+        self.byte_of = {letter: byte for byte, letter in enumerate(letters)}
+        self.library = Tokenizer.from_file(path)
         self.inner = np.array([vocab[x] for x in letters], np.int32)
         self.last = np.array([vocab[x + suffix] for x in letters], np.int32)
         self.pattern = regex.compile(pattern)
@@ -132,13 +162,14 @@ class MergeCounter:
             ends = np.cumsum(sizes)
         return counts
 
-    def _pieces(self, text: str) -> tuple[int, list[str]]:
-        """Number of special strings in a text, and the pieces of what lies between them."""
+    def _pieces(self, text: str) -> tuple[int, list[bytes]]:
+        """Number of special strings in a text, and the library's pieces of what lies between them."""
         parts = self.special.split(text) if self.special else [text]
         found = []
         for part in parts:
-            lowered = "".join(c.lower() for c in unicodedata.normalize("NFC", part))
-            found += self.pattern.findall(lowered)
+            normal = self.library.normalizer.normalize_str(part)
+            for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(normal):
+                found.append(bytes(self.byte_of[c] for c in piece))
         return len(parts) - 1, found
 
     def count_chunks(self, chunks: pa.Array) -> np.ndarray:
@@ -159,13 +190,13 @@ class MergeCounter:
 
     def count_texts(self, texts: pa.Array) -> np.ndarray:
         texts = pc.fill_null(texts, "")
-        odd = np.zeros(len(texts), bool)
+        odd = pc.match_substring_regex(texts, unsure_letters()).to_numpy(zero_copy_only=False)
         for token in self.special_strings:
             odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         counts = np.zeros(len(texts), np.int64)
         for k in np.flatnonzero(odd):
             special, pieces = self._pieces(texts[k].as_py())
-            counts[k] = special + (int(self.count_sequences([p.encode() for p in pieces]).sum()) if pieces else 0)
+            counts[k] = special + (int(self.count_sequences(pieces).sum()) if pieces else 0)
         if odd.any():
             texts = pc.if_else(pa.array(odd), "", texts)
         # Below U+0300 there is nothing to compose.
