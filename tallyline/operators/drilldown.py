@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.columns import exact_mean, sums
-from tallyline.operators.grouping import attach, has_large_groups, top_per_group
+from tallyline.operators.grouping import top_per_group
 from tallyline.operators.products import MONEY
 from tallyline.operators.profile import grouped, long_form
 from tallyline.schema import CATEGORY_COLUMNS
@@ -29,61 +29,47 @@ def members(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataF
     return long_form(df, columns, "member_column", "member", keep=keys).distinct()
 
 
-def member_lists(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Sorted distinct member values of each group as one array per column.
-
-    Members are made distinct before they meet in a group, so a list is built
-    from its own elements and never from the group's lines.
-    """
-    return (
-        members(df, keys, columns)
-        .groupBy(*keys)
-        .agg(
-            *(
-                F.array_sort(F.collect_list(F.when(F.col("member_column") == c, F.col("member")))).alias(c)
-                for c in columns
-            )
-        )
-    )
-
-
-def joined_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Arrays as comma-separated text."""
-    return df.withColumns({c: F.array_join(c, ", ") for c in columns})
-
-
-def totals_with_lists(
-    df: DataFrame, keys: Sequence[str], totals: Sequence[Column], lists: Sequence[str], large: bool
+def totals_and_members(
+    df: DataFrame, keys: Sequence[str], measures: Sequence[str], totals: Sequence[Column], columns: Sequence[str]
 ) -> DataFrame:
-    """Aggregates and sorted member lists per group.
+    """Per group one row of ``totals`` over ``measures`` (``member_column`` and ``member`` null) and a row for each distinct member.
 
-    One pass with ``collect_set`` while groups are small. With a large group
-    every map task would send its own copy of a long list to one reducer, so
-    the members are then made distinct first, spread by member.
+    One aggregation at every size: a line goes in once for the totals and once a member column, each combined before the
+    shuffle, and no group's members ever meet in one place. Missing members are left out.
     """
-    if large:
-        return attach(df.groupBy(*keys).agg(*totals), member_lists(df, keys, lists), keys)
-    return df.groupBy(*keys).agg(*totals, *(F.array_sort(F.collect_set(c)).alias(c) for c in lists))
-
+    whole = F.struct(F.lit(None).cast("string").alias("member_column"), F.lit(None).cast("string").alias("member"))
+    ways = [F.struct(F.lit(c).alias("member_column"), F.col(c).alias("member")) for c in columns]
+    names = [c for c in df.columns if c in {*keys, *measures}]
+    long = df.select(*names, F.explode(F.array(whole, *ways)).alias("_way")).select(*names, "_way.*")
+    long = long.filter(F.col("member_column").isNull() | F.col("member").isNotNull())
+    is_total = F.col("member_column").isNull()
+    long = long.withColumns({m: F.when(is_total, F.col(m)) for m in measures})
+    found = long.groupBy(*keys, "member_column", "member").agg(*totals)
+    own = [c for c in found.columns if c not in {*keys, "member_column", "member"}]
+    return found.select(*keys, "member_column", "member", *(F.when(is_total, F.col(c)).alias(c) for c in own))
+
+
+def with_text_lists(drilldown: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A row a group for files: the totals, and the members of each column as sorted text.
+
+    The one place where a group's members meet; only for tables whose cells are meant to hold them.
+    """
+    place = drilldown.columns.index("member_column")
+    keys, totals = drilldown.columns[:place], drilldown.columns[place + 2 :]
+    lists = (F.array_sort(F.collect_list(F.when(F.col("member_column") == c, F.col("member")))) for c in columns)
+    return drilldown.groupBy(*keys).agg(
+        *(F.max(c).alias(c) for c in totals), *(F.array_join(x, ", ").alias(c) for c, x in zip(columns, lists))
+    )
 
-def loss_orders(ol: DataFrame, large_rows: int | None = None) -> DataFrame:
-    """One row per order with a negative-margin line: sums, mean margin and member lists.
 
-    The orders are picked by a flag in the same aggregation, which saves the
-    self join.
-    """
-    known = ol.filter(F.col("order_number").isNotNull())
+def loss_orders(ol: DataFrame) -> DataFrame:
+    """Orders with a negative-margin line: a row of sums and the mean margin, and a row for each category and item in it."""
+    measures = ["line_quantity", "line_volume_cbm", *MONEY, "delivered_margin"]
     totals = [
         *sums("line_quantity", "line_volume_cbm", *MONEY),
         F.avg("delivered_margin").alias("avg_delivered_margin"),
-        F.min("delivered_margin").alias("_least"),
     ]
-    large = has_large_groups(known, ["order_number"], large_rows)
-    return (
-        totals_with_lists(known, ["order_number"], totals, ORDER_MEMBERS, large)
-        .filter(F.col("_least") < 0)
-        .drop("_least")
-    )
+    return totals_and_members(negative_margin_lines(ol), ["order_number"], measures, totals, ORDER_MEMBERS)
 
 
 def loss_order_count(ol: DataFrame) -> DataFrame:
@@ -125,44 +111,39 @@ def _by_category(
 
 
 def _drilldown(
-    ol: DataFrame,
-    key: str,
-    lists: Sequence[str],
-    categories: dict[str, Sequence[str]] | None,
-    large_rows: int | None,
+    ol: DataFrame, key: str, columns: Sequence[str], categories: dict[str, Sequence[str]] | None
 ) -> DataFrame:
-    known = ol.filter(F.col(key).isNotNull())
-    long = _by_category(known, [key, "delivered_margin", "line_volume_cbm", *MONEY, *lists], categories)
+    measures = ["delivered_margin", "line_volume_cbm", *MONEY]
+    long = _by_category(ol.filter(F.col(key).isNotNull()), [key, *measures, *columns], categories)
     totals = [
         F.avg("delivered_margin").alias("delivered_margin"),
         F.avg("line_volume_cbm").alias("line_volume_cbm"),
         *sums(*MONEY),
     ]
-    # A group of (category, key) has at most the lines of its key.
-    large = has_large_groups(known, [key], large_rows)
-    return totals_with_lists(long, ["category_column", "category_value", key], totals, lists, large)
+    return totals_and_members(long, ["category_column", "category_value", key], measures, totals, columns)
 
 
-def item_drilldown(
-    ol: DataFrame, categories: dict[str, Sequence[str]] | None = None, large_rows: int | None = None
-) -> DataFrame:
-    """Per category value and item: mean margin and volume, sums, member lists.
+def item_drilldown(ol: DataFrame, categories: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """Per category value and item: a row of mean margin and volume and sums, and a row for each region, agreement and customer.
 
     ``categories`` limits the work to some values per category column; all
     values are handled in one job either way.
     """
-    return _drilldown(ol, "item_number", ITEM_MEMBERS, categories, large_rows)
+    return _drilldown(ol, "item_number", ITEM_MEMBERS, categories)
 
 
-def agreement_drilldown(
-    ol: DataFrame, categories: dict[str, Sequence[str]] | None = None, large_rows: int | None = None
-) -> DataFrame:
-    """Per category value and agreement: mean margin and volume, sums, item list."""
-    return _drilldown(ol, "customer_agreement", AGREEMENT_MEMBERS, categories, large_rows)
+def agreement_drilldown(ol: DataFrame, categories: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """Per category value and agreement: a row of mean margin and volume and sums, and a row for each item."""
+    return _drilldown(ol, "customer_agreement", AGREEMENT_MEMBERS, categories)
+
+
+def category_values(ol: DataFrame, key: str = "item_number") -> DataFrame:
+    """Category columns and values that a drill-down by ``key`` has."""
+    return _by_category(ol.filter(F.col(key).isNotNull()), [], None).distinct()
 
 
 def item_drilldown_members(ol: DataFrame, categories: dict[str, Sequence[str]] | None = None) -> DataFrame:
-    """The item drill-down's lists in long form, for lists too long for one cell."""
+    """The item drill-down's members alone."""
     keys = ["category_column", "category_value", "item_number"]
     long = _by_category(ol.filter(F.col("item_number").isNotNull()), ["item_number", *ITEM_MEMBERS], categories)
     return members(long, keys, ITEM_MEMBERS)
@@ -180,10 +161,15 @@ def category_overall_margin(ol: DataFrame) -> DataFrame:
     )
 
 
+def _totals(drilldown: DataFrame) -> DataFrame:
+    """The rows of totals, of a drill-down or of one read from files."""
+    return drilldown.filter("member_column IS NULL") if "member_column" in drilldown.columns else drilldown
+
+
 def lowest_items(drilldown: DataFrame, n: int = 10) -> DataFrame:
     """Items with the lowest margin of each category value."""
     return top_per_group(
-        drilldown.select("category_column", "category_value", "item_number", "delivered_margin"),
+        _totals(drilldown).select("category_column", "category_value", "item_number", "delivered_margin"),
         ["category_column", "category_value"],
         [F.asc("delivered_margin"), F.asc("item_number")],
         n,
@@ -193,16 +179,18 @@ def lowest_items(drilldown: DataFrame, n: int = 10) -> DataFrame:
 def lowest_members(drilldown: DataFrame, member: str, n: int = 10) -> DataFrame:
     """Agreements or regions with the lowest mean of item margins in each category value.
 
-    ``drilldown`` holds the member lists as arrays or as comma-separated text.
+    ``drilldown`` comes from :func:`item_drilldown`, or from files, where the members are comma-separated text.
     """
-    values = F.col(member)
-    if dict(drilldown.dtypes)[member] == "string":
-        values = F.split(values, ",")
-    table = (
-        drilldown.select("category_column", "category_value", "delivered_margin", F.explode(values).alias(member))
-        .withColumn(member, F.trim(member))
-        .groupBy("category_column", "category_value", member)
-        .agg(exact_mean("delivered_margin").alias("avg_delivered_margin"))
+    keys = ["category_column", "category_value", "item_number"]
+    margins = _totals(drilldown)
+    if "member_column" in drilldown.columns:
+        own = drilldown.filter(F.col("member_column") == member).select(*keys, F.col("member").alias(member))
+        table = own.join(margins.select(*keys, "delivered_margin"), keys)
+    else:
+        table = margins.select(*keys, "delivered_margin", F.explode(F.split(member, ",")).alias(member))
+        table = table.withColumn(member, F.trim(member))
+    table = table.groupBy("category_column", "category_value", member).agg(
+        exact_mean("delivered_margin").alias("avg_delivered_margin")
     )
     return top_per_group(
         table,

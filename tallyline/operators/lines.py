@@ -34,15 +34,18 @@ def with_totals(df: DataFrame) -> DataFrame:
     )
 
 
+def enriched_lines(df: DataFrame) -> DataFrame:
+    """All order lines with their margins, totals and unit price; what a missing value makes unknown is NULL."""
+    require_columns(df, ORDER_LINES.names)
+    return with_totals(with_margins(df)).withColumn("avg_price", ratio("line_product_revenue", "line_quantity"))
+
+
 def clean_lines(df: DataFrame) -> DataFrame:
     """Enrich the order lines and keep those without any missing value.
 
     A zero quantity makes ``avg_price`` NULL, so such lines are dropped too.
     """
-    require_columns(df, ORDER_LINES.names)
-    enriched = with_totals(with_margins(df)).withColumn(
-        "avg_price", ratio("line_product_revenue", "line_quantity")
-    )
+    enriched = enriched_lines(df)
     # One predicate per column, not ``dropna``: each can be pushed to the scan or
     # dropped when the column cannot be NULL, and unused columns stay pruned.
     for name in (*ORDER_LINES.names, "avg_price"):

@@ -279,6 +279,71 @@ DRILL_KEYS = ["category_column", "category_value", "item_number"]
 DRILL_DOUBLES = ["delivered_margin", "line_volume_cbm", *MONEY]
 
 
+def drilldown(key: str, members: Sequence[str]) -> str:
+    """A row of totals a group, and a row a distinct member."""
+    source = by_category(f"{key}, delivered_margin, line_volume_cbm, {', '.join((*MONEY, *members))}")
+    group = f"category_column, category_value, {key}"
+    rows = "\nUNION ALL\n".join(
+        f"SELECT DISTINCT {group}, '{m}' AS member_column, {m} AS member, {', '.join('NULL::DOUBLE' for _ in DRILL_DOUBLES)}\n"
+        f"FROM lines WHERE {m} IS NOT NULL"
+        for m in members
+    )
+    return q(
+        f"""SELECT {group}, NULL AS member_column, NULL AS member, avg(delivered_margin) AS delivered_margin,
+       avg(line_volume_cbm) AS line_volume_cbm, {sums(*MONEY)}
+FROM lines GROUP BY ALL
+UNION ALL
+{rows}""",
+        ["category_column", "category_value", key, "member_column", "member"],
+        DRILL_DOUBLES,
+        ctes=f"lines AS (SELECT * FROM ({source}) WHERE {key} IS NOT NULL AND category_value IS NOT NULL)",
+    )
+
+
+LOSS_ORDERS = q(
+    f"""SELECT order_number, NULL AS member_column, NULL AS member, {sums('line_quantity', 'line_volume_cbm', *MONEY)},
+       avg(delivered_margin) AS avg_delivered_margin
+FROM loss GROUP BY order_number
+"""
+    + "".join(
+        f"""UNION ALL
+SELECT DISTINCT order_number, '{c}', {c}, {', '.join(['NULL::DOUBLE'] * 7)} FROM loss WHERE {c} IS NOT NULL
+"""
+        for c in (*CATEGORIES, "item_number")
+    ),
+    ["order_number", "member_column", "member"],
+    ["line_quantity", "line_volume_cbm", *MONEY, "avg_delivered_margin"],
+    ctes="loss AS (SELECT * FROM ol WHERE order_number IN (SELECT order_number FROM ol WHERE delivered_margin < 0))",
+)
+
+# Rules by which values are missing; the totals of a group without any value are 0.
+GAPS = """gaps AS (
+  SELECT * REPLACE (
+    CASE WHEN CAST(item_number AS BIGINT) % 7 = 1 THEN NULL ELSE customer_name END AS customer_name,
+    CASE WHEN (CAST(item_number AS BIGINT) + CAST(order_number AS BIGINT)) % 11 = 2 THEN NULL ELSE customer_agreement END
+      AS customer_agreement,
+    CASE WHEN CAST(order_number AS BIGINT) % 13 = 3 THEN NULL ELSE order_region END AS order_region,
+    CASE WHEN CAST(item_number AS BIGINT) % 17 = 4 THEN NULL ELSE category_2 END AS category_2,
+    CASE WHEN (CAST(item_number AS BIGINT) + 2 * CAST(order_number AS BIGINT)) % 19 = 5 THEN NULL ELSE item_number END
+      AS item_number,
+    CASE WHEN CAST(order_number AS BIGINT) % 23 = 6 THEN NULL ELSE order_channel END AS order_channel,
+    CASE WHEN (CAST(item_number AS BIGINT) + 3 * CAST(order_number AS BIGINT)) % 9 = 7 THEN NULL ELSE line_freight_cost END
+      AS line_freight_cost,
+    CASE WHEN (CAST(item_number AS BIGINT) + 5 * CAST(order_number AS BIGINT)) % 29 = 8 THEN NULL
+         ELSE line_product_revenue END AS line_product_revenue)
+  FROM base
+),
+ol AS ("""
+
+
+def gapped(sql: str, *keys: str) -> str:
+    """A twin over the lines with missing values; groups without a key are left out."""
+    over = sql.replace("ol AS (", GAPS, 1).replace("FROM base\n  WHERE line_quantity <> 0", "FROM gaps", 1)
+    for m in (*MEASURES, "total_revenue", "total_cost"):
+        over = over.replace(f"{es(m)} AS {m}", f"coalesce({es(m)}, 0) AS {m}")
+    return f"SELECT * FROM ({over}) WHERE {' AND '.join(f'{k} IS NOT NULL' for k in keys)}"
+
+
 def lowest(member: str) -> str:
     members = by_category(f"item_number, {member}, delivered_margin")
     return q(
@@ -416,7 +481,7 @@ CORRELATED = (
 )
 
 
-def oracle_sql() -> dict[str, str]:
+def whole_lines_sql() -> dict[str, str]:
     top_items = f"SELECT item_number FROM ol GROUP BY item_number ORDER BY {es('total_profit')} DESC, item_number LIMIT 5"
     top_agreements = (
         f"SELECT customer_agreement FROM ol GROUP BY customer_agreement "
@@ -884,14 +949,7 @@ FROM (SELECT corr(line_volume_cbm, delivered_margin) AS r, count(*) AS n FROM ol
             [KEY, "order_number"],
             [],
         ),
-        "loss_orders": q(
-            f"""SELECT order_number, {sums('line_quantity', 'line_volume_cbm', *MONEY)},
-       avg(delivered_margin) AS avg_delivered_margin,
-       {', '.join(text_list(c) for c in (*CATEGORIES, 'item_number'))}
-FROM ol WHERE order_number IN (SELECT order_number FROM ol WHERE delivered_margin < 0) GROUP BY order_number""",
-            ["order_number", *CATEGORIES, "item_number"],
-            ["line_quantity", "line_volume_cbm", *MONEY, "avg_delivered_margin"],
-        ),
+        "loss_orders": LOSS_ORDERS,
         "loss_order_count": q(
             "SELECT count(DISTINCT order_number) AS order_count FROM ol WHERE delivered_margin < 0", ["order_count"], []
         ),
@@ -908,7 +966,7 @@ FROM (SELECT category_column, category_value, avg(delivered_margin) AS avg_deliv
             ["avg_delivered_margin"],
             tail=" WHERE k <= 5",
         ),
-        "item_drilldown": q("SELECT * FROM drill", [*DRILL_KEYS, *ITEM_LISTS], DRILL_DOUBLES, ctes=ITEM_DRILLDOWN),
+        "item_drilldown": drilldown("item_number", ITEM_LISTS),
         "item_drilldown_members": q(
             "\nUNION\n".join(
                 f"SELECT category_column, category_value, item_number, '{m}' AS member_column, {m} AS member "
@@ -918,14 +976,7 @@ FROM (SELECT category_column, category_value, avg(delivered_margin) AS avg_deliv
             [*DRILL_KEYS, "member_column", "member"],
             [],
         ),
-        "agreement_drilldown": q(
-            f"""SELECT category_column, category_value, customer_agreement, avg(delivered_margin) AS delivered_margin,
-       avg(line_volume_cbm) AS line_volume_cbm, {sums(*MONEY)}, {text_list('item_number')}
-FROM ({by_category('customer_agreement, item_number, delivered_margin, line_volume_cbm, ' + ', '.join(MONEY))})
-GROUP BY 1, 2, 3""",
-            ["category_column", "category_value", "customer_agreement", "item_number"],
-            DRILL_DOUBLES,
-        ),
+        "agreement_drilldown": drilldown("customer_agreement", ["item_number"]),
         "category_overall_margin": q(
             f"""SELECT *, format('Overall delivered margin: {{:.2f}}%', avg_delivered_margin) AS overall_margin
 FROM (SELECT category_column, category_value, avg(delivered_margin) AS avg_delivered_margin
@@ -1104,3 +1155,30 @@ FROM (SELECT line_freight_cost, line_freight_cost - (50 + 2500 * line_volume_cbm
             "order_totals", ["line_volume_cbm", "line_freight_cost", "freight_cost_per_cbm"], ctes=FREIGHT
         ),
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    plain = whole_lines_sql()
+    categories = ("category_column", "category_value")
+    gaps = {
+        "monthly_margin_gaps": gapped(
+            q(
+                """SELECT category_2, last_day(order_date) AS month_end, avg(delivered_margin) AS avg_delivered_margin
+FROM ol GROUP BY 1, 2""",
+                ["category_2", "month_end"],
+                ["avg_delivered_margin"],
+            ),
+            "category_2",
+        ),
+        "margin_swings_gaps": gapped(plain["margin_swings_product"], "category_2"),
+        "negative_margins_gaps": gapped(plain["negative_margins"], "item_number"),
+        "negative_margin_lines_gaps": gapped(plain["negative_margin_lines"], "order_number"),
+        "loss_orders_gaps": gapped(LOSS_ORDERS, "order_number"),
+        "mean_margin_by_agreement_gaps": gapped(plain["mean_margin_by_agreement"], "customer_agreement"),
+        "bottom_categories_gaps": gapped(
+            plain["bottom_categories"].replace("GROUP BY 1, 2", "WHERE category_value IS NOT NULL GROUP BY 1, 2"), *categories
+        ),
+        "item_drilldown_gaps": gapped(plain["item_drilldown"], *categories),
+        "agreement_drilldown_gaps": gapped(plain["agreement_drilldown"], *categories),
+    }
+    return plain | gaps

@@ -58,18 +58,30 @@ def on_lines(operator: Callable[[DataFrame], DataFrame], digits: int | None = 6)
     return lambda spark, sf_dir: rounded(operator(order_lines(spark, sf_dir)), digits)
 
 
-def _texts(operator: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-    def run(ol: DataFrame) -> DataFrame:
-        df = operator(ol)
-        return dr.joined_text(df, [f.name for f in df.schema if isinstance(f.dataType, T.ArrayType)])
+def on_all_lines(operator: Callable[[DataFrame], DataFrame], digits: int | None = 6) -> Query:
+    """For tables whose lines may have missing values: nothing is dropped beforehand."""
+    return lambda spark, sf_dir: rounded(operator(li.enriched_lines(star_view(spark, sf_dir))), digits)
 
-    return run
+
+def with_gaps(ol: DataFrame) -> DataFrame:
+    """Order lines with some values missing, by rules that SQL can repeat."""
+    item, order = F.col("item_number").cast("bigint"), F.col("order_number").cast("bigint")
+    rules = {
+        "customer_name": item % 7 == 1, "customer_agreement": (item + order) % 11 == 2, "order_region": order % 13 == 3,
+        "category_2": item % 17 == 4, "item_number": (item + 2 * order) % 19 == 5, "order_channel": order % 23 == 6,
+        "line_freight_cost": (item + 3 * order) % 9 == 7, "line_product_revenue": (item + 5 * order) % 29 == 8,
+    }
+    return ol.withColumns({c: F.when(~rule, F.col(c)) for c, rule in rules.items()})
+
+
+def on_gaps(operator: Callable[[DataFrame], DataFrame], digits: int | None = 6) -> Query:
+    return lambda spark, sf_dir: rounded(operator(li.enriched_lines(with_gaps(star_view(spark, sf_dir)))), digits)
 
 
 def _read_drilldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the whole item drill-down, then read one category column back."""
     path = scratch_dir(spark, "item-drilldown")
-    ds.write_drilldown(dr.item_drilldown(order_lines(spark, sf_dir)), path)
+    ds.write_drilldown(dr.item_drilldown(li.enriched_lines(star_view(spark, sf_dir))), path)
     return rounded(ds.read_drilldown(spark, path, "category_1"))
 
 
@@ -179,37 +191,47 @@ SQL_CHECKED: dict[str, Query] = {
     "profitability_extremes": on_lines(lambda ol: inv.profitability_extremes(ol, "item_number")),
     "margin_volume_flags": on_lines(inv.margin_volume_flags),
     # dashboard
-    "monthly_margin": on_lines(lambda ol: da.monthly_margin(ol, "category_1")),
-    "monthly_margin_selected": on_lines(
+    "monthly_margin": on_all_lines(lambda ol: da.monthly_margin(ol, "category_1")),
+    "monthly_margin_selected": on_all_lines(
         lambda ol: da.monthly_margin_wide(ol, "order_channel", "freight_margin", ["1-URGENT", "2-HIGH"]).select(
             "month_end", F.col("1-URGENT").alias("urgent"), F.col("2-HIGH").alias("high")
         )
     ),
-    "overall_monthly_margin": on_lines(lambda ol: da.overall_monthly_margin(ol, "category_2", "product_margin")),
-    "margin_swings": on_lines(lambda ol: da.margin_swings(ol, "category_1")),
-    "margin_swings_product": on_lines(lambda ol: da.margin_swings(ol, "category_2", "product_margin")),
-    "margin_swings_freight": on_lines(lambda ol: da.margin_swings(ol, "item_number", "freight_margin")),
-    "negative_margins": on_lines(lambda ol: da.negative_margins(ol, "item_number")),
-    "negative_margins_product": on_lines(lambda ol: da.negative_margins(ol, "category_3", "product_margin")),
-    "negative_margins_freight": on_lines(lambda ol: da.negative_margins(ol, "order_region", "freight_margin")),
-    "dimension_values": on_lines(da.dimension_values),
-    "feature_f_scores": on_lines(lambda ol: da.feature_f_scores(ol, "customer_agreement")),
-    "numeric_f_score": on_lines(lambda ol: da.numeric_f_score(ol, "line_volume_cbm")),
+    "overall_monthly_margin": on_all_lines(lambda ol: da.overall_monthly_margin(ol, "category_2", "product_margin")),
+    "margin_swings": on_all_lines(lambda ol: da.margin_swings(ol, "category_1")),
+    "margin_swings_product": on_all_lines(lambda ol: da.margin_swings(ol, "category_2", "product_margin")),
+    "margin_swings_freight": on_all_lines(lambda ol: da.margin_swings(ol, "item_number", "freight_margin")),
+    "negative_margins": on_all_lines(lambda ol: da.negative_margins(ol, "item_number")),
+    "negative_margins_product": on_all_lines(lambda ol: da.negative_margins(ol, "category_3", "product_margin")),
+    "negative_margins_freight": on_all_lines(lambda ol: da.negative_margins(ol, "order_region", "freight_margin")),
+    "dimension_values": on_all_lines(da.dimension_values),
+    "feature_f_scores": on_all_lines(lambda ol: da.feature_f_scores(ol, "customer_agreement")),
+    "numeric_f_score": on_all_lines(lambda ol: da.numeric_f_score(ol, "line_volume_cbm")),
     # drill-down
-    "negative_margin_lines": on_lines(lambda ol: dr.negative_margin_lines(ol).select(LINE_KEY, "order_number")),
-    "loss_orders": on_lines(_texts(dr.loss_orders)),
-    "loss_order_count": on_lines(dr.loss_order_count),
-    "mean_margin_by_agreement": on_lines(lambda ol: dr.mean_margin_by(ol, "customer_agreement")),
-    "bottom_categories": on_lines(dr.bottom_categories),
-    "item_drilldown": on_lines(_texts(dr.item_drilldown)),
-    "item_drilldown_members": on_lines(dr.item_drilldown_members),
-    "agreement_drilldown": on_lines(_texts(dr.agreement_drilldown)),
-    "category_overall_margin": on_lines(dr.category_overall_margin),
-    "drilldown_catalog": on_lines(lambda ol: ds.drilldown_catalog(dr.item_drilldown(ol))),
+    "negative_margin_lines": on_all_lines(lambda ol: dr.negative_margin_lines(ol).select(LINE_KEY, "order_number")),
+    "loss_orders": on_all_lines(dr.loss_orders),
+    "loss_order_count": on_all_lines(dr.loss_order_count),
+    "mean_margin_by_agreement": on_all_lines(lambda ol: dr.mean_margin_by(ol, "customer_agreement")),
+    "bottom_categories": on_all_lines(dr.bottom_categories),
+    "item_drilldown": on_all_lines(dr.item_drilldown),
+    "item_drilldown_members": on_all_lines(dr.item_drilldown_members),
+    "agreement_drilldown": on_all_lines(dr.agreement_drilldown),
+    "category_overall_margin": on_all_lines(dr.category_overall_margin),
+    "drilldown_catalog": on_all_lines(lambda ol: ds.drilldown_catalog(dr.category_values(ol))),
     "read_drilldown": _read_drilldown,
-    "lowest_items": on_lines(lambda ol: dr.lowest_items(dr.item_drilldown(ol))),
-    "lowest_agreements": on_lines(lambda ol: dr.lowest_members(dr.item_drilldown(ol), "customer_agreement")),
-    "lowest_regions": on_lines(lambda ol: dr.lowest_members(_texts(dr.item_drilldown)(ol), "order_region")),
+    "lowest_items": on_all_lines(lambda ol: dr.lowest_items(dr.item_drilldown(ol))),
+    "lowest_agreements": on_all_lines(lambda ol: dr.lowest_members(dr.item_drilldown(ol), "customer_agreement")),
+    "lowest_regions": on_all_lines(lambda ol: dr.lowest_members(dr.item_drilldown(ol), "order_region")),
+    # the same tables where values are missing
+    "monthly_margin_gaps": on_gaps(lambda ol: da.monthly_margin(ol, "category_2")),
+    "margin_swings_gaps": on_gaps(lambda ol: da.margin_swings(ol, "category_2", "product_margin")),
+    "negative_margins_gaps": on_gaps(lambda ol: da.negative_margins(ol, "item_number")),
+    "negative_margin_lines_gaps": on_gaps(lambda ol: dr.negative_margin_lines(ol).select(LINE_KEY, "order_number")),
+    "loss_orders_gaps": on_gaps(dr.loss_orders),
+    "mean_margin_by_agreement_gaps": on_gaps(lambda ol: dr.mean_margin_by(ol, "customer_agreement")),
+    "bottom_categories_gaps": on_gaps(dr.bottom_categories),
+    "item_drilldown_gaps": on_gaps(dr.item_drilldown),
+    "agreement_drilldown_gaps": on_gaps(dr.agreement_drilldown),
     # statistics
     "correlation_matrix": on_lines(st.correlation_matrix),
     "anova_channel": on_lines(lambda ol: st.anova_f(ol, "order_channel")),

@@ -101,7 +101,7 @@ SECTIONS: dict[str, dict[str, Operator]] = {
         "margin_volume_flags": inv.margin_volume_flags,
     },
     "losses": {
-        "loss_orders": dr.loss_orders,
+        "loss_orders": lambda ol: dr.with_text_lists(dr.loss_orders(ol), dr.ORDER_MEMBERS),
         "mean_margin_by_agreement": lambda ol: dr.mean_margin_by(ol, "customer_agreement"),
         "bottom_categories": dr.bottom_categories,
     },

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyline.operators.drilldown import AGREEMENT_MEMBERS, ITEM_MEMBERS, joined_text
+from tallyline.operators.drilldown import AGREEMENT_MEMBERS, ITEM_MEMBERS, with_text_lists
 from tallyline.operators.products import MONEY
 
 PARTITIONS = ("category_column", "category_value")
@@ -27,14 +28,14 @@ AGREEMENT_SCHEMA = _schema("customer_agreement", AGREEMENT_MEMBERS)
 
 
 def write_drilldown(drilldown: DataFrame, path: str) -> None:
-    """One folder per category column and value; lists become comma-separated text.
+    """One folder per category column and value; the members of a group become comma-separated text.
 
     The rebalance hint gathers small categories into one file each and splits
     large ones over several tasks.
     """
-    lists = [f.name for f in drilldown.schema if isinstance(f.dataType, T.ArrayType)]
+    members = ITEM_MEMBERS if "item_number" in drilldown.columns else AGREEMENT_MEMBERS
     (
-        joined_text(drilldown, lists)
+        with_text_lists(drilldown, members)
         .hint("rebalance", *PARTITIONS)
         .write.mode("overwrite")
         .partitionBy(*PARTITIONS)
@@ -43,6 +44,17 @@ def write_drilldown(drilldown: DataFrame, path: str) -> None:
     )
 
 
+# What a partition folder's name holds as %XX besides control characters, and the name that stands for none.
+ESCAPED = "\"#%'*/:=?\\{[]^\x7f"
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def partition_folder(column: str, value: str) -> str:
+    """Name of the folder that Spark writes a partition value to."""
+    shown = "".join(f"%{ord(c):02X}" if c in ESCAPED or ord(c) < 32 else c for c in value)
+    return f"{column}={shown or NO_VALUE}"
+
+
 def read_drilldown(
     spark: SparkSession,
     path: str,
@@ -50,18 +62,22 @@ def read_drilldown(
     category_value: str | None = None,
     schema: T.StructType = ITEM_SCHEMA,
 ) -> DataFrame:
-    """Read back a drill-down; only matching folders are listed and read.
+    """Read back a drill-down; only the folder of the asked category is listed and read.
 
     A category without results, or a folder that does not exist, gives an empty table.
     """
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location):
-        return spark.createDataFrame([], schema)
-    df = spark.read.schema(schema).option("header", True).csv(path)
+    asked = [(c, v) for c, v in zip(PARTITIONS, (category_column, category_value)) if v is not None]
+    folder = path
     if category_column is not None:
-        df = df.filter(F.col("category_column") == category_column)
-    if category_value is not None:
-        df = df.filter(F.col("category_value") == category_value)
+        folder = "/".join([path, *(partition_folder(c, v) for c, v in asked)])
+    try:
+        df = spark.read.schema(schema).option("header", True).option("basePath", path).csv(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    for column, value in asked:
+        df = df.filter(F.col(column) == value)
     return df
 
 

@@ -21,7 +21,7 @@ from tallyline.operators import pricing as pr
 from tallyline.operators import products as po
 from tallyline.operators import profile as pf
 from tallyline.operators import statistics as st
-from tallyline.operators.lines import clean_lines, with_margins, with_totals
+from tallyline.operators.lines import clean_lines, enriched_lines, with_margins, with_totals
 from tallyline.plans.queries import all_queries
 from tallyline.schema import LINE_KEY
 from tallyline.sources import drilldown as ds
@@ -210,25 +210,49 @@ def test_mixed_order_keeps_both_lines(spark):
     ]
     df = clean_lines(lines(spark, *rows))
     assert dr.negative_margin_lines(df).count() == 2
-    order = dr.joined_text(dr.loss_orders(df), ["item_number"]).first()
+    order = dr.with_text_lists(dr.loss_orders(df), dr.ORDER_MEMBERS).first()
     assert (order.order_number, order.item_number, order.line_quantity) == ("m", "a, b", 4.0)
     assert dr.loss_order_count(df).first()[0] == 1
 
 
 @pytest.mark.parametrize("operator", [dr.loss_orders, dr.item_drilldown, dr.agreement_drilldown])
-def test_lists_are_the_same_for_large_groups(ol, operator):
-    lists = [n for n, t in operator(ol).dtypes if t.startswith("array")]
-    keys = [k for k in ("order_number", "category_column", "category_value", "item_number", "customer_agreement")
-            if k in operator(ol).columns and k not in lists]
-    small, large = operator(ol).select(*keys, *lists), operator(ol, large_rows=2).select(*keys, *lists)
-    one_pass = operator(ol, large_rows=10**9)._jdf.queryExecution().optimizedPlan().toString()
-    assert "LeftOuter" not in one_pass
-    assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
+def test_drilldowns_have_one_plan_without_lists(spark, ol, operator):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("drilldown-build", "building")
+    table = operator(ol)
+    assert not tracker.getJobIdsForGroup("drilldown-build")
+    spark.sparkContext._jsc.clearJobGroup()
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_" not in plan and "array" not in {t[:5] for _, t in table.dtypes}
+    totals, members = table.filter("member_column IS NULL"), table.filter("member_column IS NOT NULL")
+    keys = table.columns[: table.columns.index("member_column")]
+    assert totals.count() == totals.select(keys).distinct().count() == members.select(keys).distinct().count()
+    assert members.count() == members.distinct().count() and members.filter("line_product_revenue IS NOT NULL").count() == 0
+
+
+def test_missing_values_leave_other_figures_alone(spark):
+    rows = [
+        {"customer_name": None, "line_product_cost": 500.0},
+        {"line_freight_cost": None, "order_region": None},
+        {"item_number": None, "line_quantity": 0.0},
+        {"order_number": None, "line_product_cost": 500.0},
+        {"category_1": None, "customer_agreement": None},
+    ]
+    df = enriched_lines(lines(spark, *rows))
+    assert df.count() == 5
+    order = by(dr.with_text_lists(dr.loss_orders(df), dr.ORDER_MEMBERS), "order_number")["o1"]
+    assert (order.line_product_revenue, order.line_freight_cost, order.item_number) == (400.0, 30.0, "i1")
+    drill = {(r.category_column, r.item_number): r for r in dr.with_text_lists(dr.item_drilldown(df), dr.ITEM_MEMBERS).collect()}
+    assert set(drill) == {(f"category_{k}", "i1") for k in (1, 2, 3)}
+    assert (drill["category_2", "i1"].line_product_revenue, drill["category_1", "i1"].line_product_revenue) == (400.0, 300.0)
+    assert (drill["category_1", "i1"].order_region, drill["category_1", "i1"].customer_name) == ("north", "c1")
+    assert dr.loss_order_count(df).first()[0] == 1
+    assert da.negative_margins(df, "item_number").count() == 1
 
 
 def test_loss_orders_cover_all_negative_lines(ol):
     bad = ol.filter("delivered_margin < 0").select("order_number").distinct()
-    kept = dr.loss_orders(ol).select("order_number")
+    kept = dr.loss_orders(ol).filter("member_column IS NULL").select("order_number")
     assert bad.exceptAll(kept).count() == 0 and kept.exceptAll(bad).count() == 0
 
 
@@ -260,10 +284,13 @@ def test_drilldown_lists_and_selected_categories(spark):
     ]
     df = clean_lines(lines(spark, *rows))
     picked = dr.item_drilldown(df, {"category_1": ["x"], "category_2": ["nothing"]}).collect()
-    assert len(picked) == 1
-    assert (picked[0].order_region, picked[0].customer_agreement) == (["north", "south"], ["a", "b"])
+    found = [(r.member_column, r.member) for r in picked]
+    assert sorted(x for x in found if x[0]) == [
+        ("customer_agreement", "a"), ("customer_agreement", "b"), ("customer_name", "c1"), ("order_region", "north"), ("order_region", "south")
+    ]
+    assert found.count((None, None)) == 1
     everything = dr.item_drilldown(df)
-    assert everything.count() == 4
+    assert everything.filter("member_column IS NULL").count() == 4
     lowest = dr.lowest_members(everything.filter("category_value = 'x'"), "order_region").collect()
     assert [r.order_region for r in lowest] == ["north", "south"]
     long = dr.item_drilldown_members(df, {"category_1": ["x"]})
@@ -276,9 +303,16 @@ def test_drilldown_files(spark, tmp_path):
     ds.write_drilldown(dr.item_drilldown(df), path)
     back = ds.read_drilldown(spark, path, "category_1", "w w")
     assert [(r.item_number, r.order_region) for r in back.collect()] == [("i1", "south")]
-    assert "PartitionFilters: [isnotnull(category_column" in back._jdf.queryExecution().executedPlan().toString()
+    assert len(back.inputFiles()) == 1 and "w w" in back.inputFiles()[0].replace("%20", " ")
+    assert back.columns[-2:] == ["category_column", "category_value"] and back.first().category_value == "w w"
     assert ds.read_drilldown(spark, path, "category_1", "none").count() == 0
     assert ds.read_drilldown(spark, str(tmp_path / "missing")).count() == 0
+    odd = "a=b/c:d%e'f"
+    strange = clean_lines(lines(spark, {"category_1": odd}, {"category_1": "{x}*?"}))
+    ds.write_drilldown(dr.item_drilldown(strange), str(tmp_path / "odd"))
+    for value in (odd, "{x}*?"):
+        assert [r.category_value for r in ds.read_drilldown(spark, str(tmp_path / "odd"), "category_1", value).collect()] == [value]
+    assert ds.read_drilldown(spark, str(tmp_path / "odd"), "category_1").count() == 2
     listed = ds.drilldown_catalog(ds.read_drilldown(spark, path)).collect()
     assert [tuple(r) for r in listed] == [
         ("category_1", "w w"), ("category_1", "x"), ("category_2", "y"), ("category_3", "z")
