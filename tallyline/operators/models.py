@@ -56,7 +56,7 @@ def code_table(df: DataFrame, columns: Sequence[str], split_rows: int | None = N
 
 def category_codes(df: DataFrame, columns: Sequence[str], split_rows: int | None = None) -> DataFrame:
     """Add ``<column>_code``; missing values get -1. The columns themselves are kept."""
-    codes = code_table(df, columns, split_rows)
+    codes = written(code_table(df, columns, split_rows), "codes")
     for c in columns:
         own = codes.filter(F.col("dimension") == c).select(
             F.col("value").alias(c), F.col("code").alias(f"{c}_code")

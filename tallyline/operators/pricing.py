@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -246,12 +246,49 @@ def scenario_rows(ol: DataFrame, steps: int = 100, demand: str = "power", mode:
     )
 
 
+def _offer(step: int, last: float, demand: str, q, c, ref, scale, low, high, slope) -> tuple[np.ndarray, ...]:
+    """Price, quantity, margin rate and profit of one price step for arrays of lines; the profit of an empty line is NaN."""
+    price = np.maximum((low + step / last * (high - low)) * scale, 0.01)
+    with np.errstate(all="ignore"):
+        if demand == "exp":
+            response = np.where(q > 0, np.exp(-slope * (price / q)), 1.0)
+        else:
+            response = np.where((q > 0) & (ref > 0), np.power(price / q / ref, slope), 1.0)
+        quantity = np.maximum(np.floor(q * response), 1.0)
+        profit = np.where(q != 0, (price - c) / q * quantity, np.nan)
+    return price, quantity, (price - c) / price, profit
+
+
+SCENARIO_INPUTS = ("_q", "_c", "_ref", "_scale", "_m.lower_price", "_m.upper_price", "_m.slope")
+
+
 def scenario_summary(ol: DataFrame, steps: int = 100, demand: str = "power", mode: str = "unit") -> DataFrame:
-    """Mean margin rate, total quantity and mean profit of each price step over all lines."""
-    return scenario_rows(ol, steps, demand, mode).groupBy("step").agg(
-        F.avg("margin_rate").alias("avg_margin_rate"),
-        F.sum("new_quantity").alias("total_quantity"),
-        F.avg("profit").alias("avg_profit"),
+    """Mean margin rate, total quantity and mean profit of each price step over all lines.
+
+    The figures of ``scenario_rows``; a task adds up its lines a step at a time and hands on one row a step, so no line
+    is multiplied.
+    """
+    last = float(max(steps - 1, 1))
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((steps, 5))
+        for batch in batches:
+            columns = [batch[c].to_numpy(dtype=float) for c in batch.columns]
+            for step in range(steps):
+                _, quantity, rate, profit = _offer(step, last, demand, *columns)
+                known = ~np.isnan(profit)
+                total[step] += len(rate), rate.sum(), quantity.sum(), known.sum(), profit[known].sum()
+        if total[0, 0]:
+            out = pd.DataFrame(total, columns=["n", "rate", "quantity", "known", "profit"])
+            out.insert(0, "step", np.arange(steps, dtype=np.int32))
+            yield out
+
+    lines = scenario_lines(ol, mode).select(*(F.col(c).alias(f"x{i}") for i, c in enumerate(SCENARIO_INPUTS)))
+    parts = lines.mapInPandas(summed, "step int, n double, rate double, quantity double, known double, profit double")
+    return parts.groupBy("step").agg(
+        (F.sum("rate") / F.sum("n")).alias("avg_margin_rate"),
+        F.sum("quantity").alias("total_quantity"),
+        F.try_divide(F.sum("profit"), F.sum("known")).alias("avg_profit"),
     )
 
 
@@ -267,28 +304,18 @@ def price_scenarios(ol: DataFrame, steps: int = 100, demand: str = "power", mode
     def best(
         q: pd.Series, c: pd.Series, ref: pd.Series, scale: pd.Series, low: pd.Series, high: pd.Series, slope: pd.Series
     ) -> pd.DataFrame:
-        q, c, ref, scale, low, high, slope = (s.to_numpy(dtype=float) for s in (q, c, ref, scale, low, high, slope))
+        columns = [s.to_numpy(dtype=float) for s in (q, c, ref, scale, low, high, slope)]
         found = None
         for step in range(steps):
-            price = np.maximum((low + step / last * (high - low)) * scale, 0.01)
-            with np.errstate(all="ignore"):
-                if demand == "exp":
-                    response = np.where(q > 0, np.exp(-slope * (price / q)), 1.0)
-                else:
-                    response = np.where((q > 0) & (ref > 0), np.power(price / q / ref, slope), 1.0)
-                quantity = np.maximum(np.floor(q * response), 1.0)
-                profit = np.where(q != 0, (price - c) / q * quantity, np.nan)
-            offer = np.stack([np.full_like(price, step), price, quantity, (price - c) / price, profit])
+            price, quantity, rate, profit = _offer(step, last, demand, *columns)
+            offer = np.stack([np.full_like(price, step), price, quantity, rate, profit])
             found = offer if found is None else np.where(profit > found[4], offer, found)
         out = pd.DataFrame(found.T, columns=["step", "new_price", "new_quantity", "margin_rate", "profit"])
         return out.astype({"step": "int32"})
 
     return (
         scenario_lines(ol, mode)
-        .select(
-            LINE_KEY,
-            best("_q", "_c", "_ref", "_scale", "_m.lower_price", "_m.upper_price", "_m.slope").alias("_s"),
-        )
+        .select(LINE_KEY, best(*SCENARIO_INPUTS).alias("_s"))
         .select(LINE_KEY, "_s.step", "_s.new_price", "_s.new_quantity", "_s.margin_rate", "_s.profit")
     )
 

@@ -123,10 +123,42 @@ def daily_totals(ol: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
-    """Equal-width bin counts between the column's minimum and maximum."""
+    """``bin, bin_start, bin_end, rows`` of all equal-width bins between the column's minimum and maximum, empty ones too.
+
+    The last bin holds its end. With one value all rows are in the first bin; without values there are no bins.
+    """
     bounds = df.agg(F.min(column).alias("low"), F.max(column).alias("high"))
     low, high, x = F.col("_bounds.low"), F.col("_bounds.high"), F.col(column)
     number = F.when(low == high, 1).otherwise(
         F.least(F.width_bucket(x, low, high, F.lit(bins)).cast("int"), F.lit(bins))
     )
-    return with_row(df.select(column), bounds, "_bounds").filter(x.isNotNull()).groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
+    known = with_row(df.select(column), bounds, "_bounds").filter(x.isNotNull())
+    counts = known.groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
+    # At most ``bins`` rows on both sides.
+    every = bounds.filter("low IS NOT NULL").select("low", "high", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+    edge = lambda k: F.col("low") + (F.col("high") - F.col("low")) * (k / F.lit(float(bins)))
+    return every.join(F.broadcast(counts), "bin", "left").select(
+        "bin",
+        edge(F.col("bin") - 1).alias("bin_start"),
+        edge(F.col("bin")).alias("bin_end"),
+        F.coalesce("rows", F.lit(0)).alias("rows"),
+    )
+
+
+DAILY_METRICS = (
+    "line_volume_cbm",
+    "line_product_revenue",
+    "line_freight_revenue",
+    "line_product_cost",
+    "line_freight_cost",
+    "total_revenue",
+    "total_cost",
+    "avg_product_margin",
+    "avg_freight_margin",
+    "avg_delivered_margin",
+)
+
+
+def daily_summary(ol: DataFrame) -> DataFrame:
+    """Description of all daily figures."""
+    return describe(daily_totals(ol), DAILY_METRICS)

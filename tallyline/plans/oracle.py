@@ -92,9 +92,24 @@ VALUE_AND_MARGIN = (
     "count(*) AS order_count, avg(total_revenue) AS avg_order_value, avg(delivered_margin) AS avg_delivered_margin"
 )
 CATEGORIES = ("category_1", "category_2", "category_3")
+CODED = (*CATEGORIES, "item_number", "order_channel", "order_region", "customer_agreement")
 DIMENSIONS = (*CATEGORIES, "order_channel", "order_region", "item_number", "customer_name", "customer_agreement")
 
 
+def histogram(source: str, column: str, bins: int, ctes: str = "") -> str:
+    return q(
+        f"""SELECT bin, low + (high - low) * ((bin - 1) / CAST({bins} AS DOUBLE)) AS bin_start,
+       low + (high - low) * (bin / CAST({bins} AS DOUBLE)) AS bin_end, coalesce(rows, 0) AS rows
+FROM (SELECT min({column}) AS low, max({column}) AS high, CAST(unnest(range(1, {bins + 1})) AS INTEGER) AS bin FROM {source})
+LEFT JOIN (
+  SELECT CAST(least(floor({bins} * (({column} - low) / (high - low))) + 1, {bins}) AS INTEGER) AS bin, count(*) AS rows
+  FROM {source}, (SELECT min({column}) AS low, max({column}) AS high FROM {source}) GROUP BY 1) USING (bin)""",
+        ["bin", "rows"],
+        ["bin_start", "bin_end"],
+        ctes=ctes,
+    )
+
+
 def by_category(columns: str, source: str = "ol") -> str:
     """Lines once per category column."""
     return "\nUNION ALL\n".join(
@@ -570,7 +585,7 @@ FROM ol""",
             None,
         ),
         "key_metric_summary": describe("ol", [*CORRELATED[:6], *CORRELATED[7:]]),
-        "daily_summary": describe("daily", ["line_volume_cbm", "total_revenue", "total_cost"], 4, DAILY),
+        "daily_summary": describe("daily", ["line_volume_cbm", *MONEY, "total_revenue", "total_cost", *AVG3], 4, DAILY),
         "order_line_counts": q(
             f"""SELECT *, row_number() OVER (PARTITION BY category_column ORDER BY order_lines DESC, category_value) AS k
 FROM (SELECT category_column, category_value, count(*) AS order_lines FROM ({by_category('1')}) GROUP BY 1, 2)""",
@@ -592,13 +607,7 @@ SELECT * FROM (SELECT 'order_region', order_region, count(*) AS n FROM ol GROUP
              "line_freight_cost", "total_revenue", "total_cost", *AVG3],
             ctes=DAILY,
         ),
-        "histogram": q(
-            """SELECT CAST(least(floor(50 * ((line_volume_cbm - low) / (high - low))) + 1, 50) AS INTEGER) AS bin,
-       count(*) AS rows
-FROM ol, (SELECT min(line_volume_cbm) AS low, max(line_volume_cbm) AS high FROM ol) GROUP BY 1""",
-            ["bin", "rows"],
-            [],
-        ),
+        "histogram": histogram("ol", "line_volume_cbm", 50),
         "customer_features": q(
             f"""SELECT *, greatest(avg_order_value * purchase_frequency * customer_lifetime_days, 0) AS clv
 FROM (SELECT *, (total_product_revenue + total_freight_revenue) / order_count AS avg_order_value,
@@ -1104,10 +1113,10 @@ FROM ol""",
             f"SELECT {KEY}, "
             + ", ".join(
                 f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS INTEGER) AS {c}_code"
-                for c in ("order_channel", "order_region", "category_1")
+                for c in CODED
             )
             + " FROM ol",
-            [KEY, "order_channel_code", "order_region_code", "category_1_code"],
+            [KEY, *(f"{c}_code" for c in CODED)],
             [],
         ),
         "target_encode": q(
@@ -1125,26 +1134,17 @@ FROM ol""",
             ["customer_name"],
             ["total_revenue", "line_quantity", "avg_delivered_margin", "avg_predicted_margin"],
         ),
-        "histogram_clv": q(
-            f"""SELECT CAST(least(floor(20 * ((clv - low) / (high - low))) + 1, 20) AS INTEGER) AS bin, count(*) AS rows
-FROM clvs, (SELECT min(clv) AS low, max(clv) AS high FROM clvs) GROUP BY 1""",
-            ["bin", "rows"],
-            [],
-            ctes=f"""clvs AS (
+        "histogram_clv": histogram(
+            "clvs",
+            "clv",
+            20,
+            f"""clvs AS (
   SELECT greatest(r / n * (n / CAST(d AS DOUBLE)) * d, 0) AS clv
   FROM (SELECT {es('line_product_revenue')} + {es('line_freight_revenue')} AS r, count(*) AS n,
                date_diff('day', min(order_date), max(order_date)) + 1 AS d
         FROM ol GROUP BY customer_name))""",
         ),
-        "histogram_freight_cost": q(
-            """SELECT CAST(least(floor(30 * ((freight_cost_per_cbm - low) / (high - low))) + 1, 30) AS INTEGER) AS bin,
-       count(*) AS rows
-FROM order_totals, (SELECT min(freight_cost_per_cbm) AS low, max(freight_cost_per_cbm) AS high FROM order_totals)
-GROUP BY 1""",
-            ["bin", "rows"],
-            [],
-            ctes=FREIGHT,
-        ),
+        "histogram_freight_cost": histogram("order_totals", "freight_cost_per_cbm", 30, FREIGHT),
         "regression_metrics": q(
             """SELECT avg(e * e) AS mse, avg(abs(e)) AS mae, 1 - avg(e * e) / nullif(var_pop(line_freight_cost), 0) AS r2
 FROM (SELECT line_freight_cost, line_freight_cost - (50 + 2500 * line_volume_cbm) AS e FROM ol)""",
@@ -1152,7 +1152,7 @@ FROM (SELECT line_freight_cost, line_freight_cost - (50 + 2500 * line_volume_cbm
             ["mse", "mae", "r2"],
         ),
         "order_describe": describe(
-            "order_totals", ["line_volume_cbm", "line_freight_cost", "freight_cost_per_cbm"], ctes=FREIGHT
+            "order_totals", ["line_volume_cbm", "line_freight_cost", "line_freight_revenue", "freight_cost_per_cbm"], ctes=FREIGHT
         ),
     }
 

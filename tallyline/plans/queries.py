@@ -117,9 +117,7 @@ SQL_CHECKED: dict[str, Query] = {
     "model_inputs": on_lines(lambda ol: li.model_inputs(ol, keep=(LINE_KEY,)), None),
     # profile
     "key_metric_summary": on_lines(pf.key_metric_summary),
-    "daily_summary": on_lines(
-        lambda ol: pf.describe(pf.daily_totals(ol), ["line_volume_cbm", "total_revenue", "total_cost"]), 4
-    ),
+    "daily_summary": on_lines(pf.daily_summary, 4),
     "order_line_counts": on_lines(pf.order_line_counts),
     "channel_region_counts": on_lines(pf.channel_region_counts),
     "daily_totals": on_lines(pf.daily_totals),
@@ -243,7 +241,7 @@ SQL_CHECKED: dict[str, Query] = {
         )
     ),
     "order_describe": on_lines(
-        lambda ol: pf.describe(fr.order_summary(ol), ["line_volume_cbm", "line_freight_cost", "freight_cost_per_cbm"])
+        lambda ol: pf.describe(fr.order_summary(ol), ["line_volume_cbm", "line_freight_cost", "line_freight_revenue", "freight_cost_per_cbm"])
     ),
     # series
     "seasonal_decompose": on_lines(se.seasonal_decompose),
@@ -312,7 +310,7 @@ def _target_encoded(ol: DataFrame) -> DataFrame:
 
 
 def _coded(ol: DataFrame) -> DataFrame:
-    columns = mo.FOREST_CATEGORIES
+    columns = mo.LINE_CATEGORIES
     return mo.category_codes(ol, columns).select(LINE_KEY, *(f"{c}_code" for c in columns))
 
 

@@ -362,6 +362,24 @@ def test_planted_line_is_found(spark):
     assert fit.train_rows + fit.test_rows == 500
 
 
+def test_histogram_has_empty_bins_and_edges(spark):
+    df = spark.createDataFrame([(0.0,), (0.5,), (10.0,), (None,)], "x double")
+    got = [tuple(r) for r in pf.histogram(df, "x", 5).orderBy("bin").collect()]
+    assert got == [(1, 0.0, 2.0, 2), (2, 2.0, 4.0, 0), (3, 4.0, 6.0, 0), (4, 6.0, 8.0, 0), (5, 8.0, 10.0, 1)]
+    assert pf.histogram(df.filter("x IS NULL"), "x", 5).count() == 0
+    assert [r.rows for r in pf.histogram(df.filter("x = 0.5"), "x", 3).orderBy("bin").collect()] == [1, 0, 0]
+
+
+@pytest.mark.parametrize("demand,mode", [("power", "unit"), ("exp", "multiplier")])
+def test_scenario_summary_adds_up_the_rows(ol, demand, mode):
+    rows = pr.scenario_rows(ol, 7, demand, mode).toPandas().groupby("step")
+    got = pr.scenario_summary(ol, 7, demand, mode).toPandas().set_index("step").sort_index()
+    assert list(got.avg_margin_rate) == pytest.approx(list(rows.margin_rate.mean()))
+    assert list(got.total_quantity) == pytest.approx(list(rows.new_quantity.sum()))
+    assert list(got.avg_profit) == pytest.approx(list(rows.profit.mean()))
+    assert "sequence(" not in pr.scenario_summary(ol, 7)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_histogram_counts_every_line(ol):
     got = pf.histogram(ol, "line_volume_cbm").agg(F.sum("rows"), F.max("bin"), F.min("bin")).first()
     assert tuple(got) == (ol.count(), 50, 1)
