@@ -32,7 +32,7 @@ def shared_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
         lines.groupBy("line", "check")
         .agg(F.hll_sketch_agg("site", F.lit(REGISTERS_LOG2)).alias("sites"))
         .select("line", "check", F.hll_sketch_estimate("sites").alias("sites"))
-        .where(F.col("sites") > 1),
+        .where(F.col("sites") > (1 if min_sites > 1 else 0)),
         "line-sites",
     )
     band = max(1.0, BAND_ERRORS * 1.04 / 2 ** (REGISTERS_LOG2 / 2) * min_sites)

@@ -49,7 +49,9 @@ class PieceEncoder:
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.added = [t.content for t in added]
+        # Pieces seen of late, and those before them: frequent ones pass from one to the other.
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -57,10 +59,12 @@ class PieceEncoder:
         return np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum())), sizes
 
     def _pieces(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
         new = [x for x in names if x not in known]
+        known.update([(x, before[x]) for x in new if x in before])
+        new = [x for x in new if x not in known]
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
             ids, sizes = self._library(part)

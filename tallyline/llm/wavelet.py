@@ -33,17 +33,16 @@ def encode(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> by
     n, planes = len(values), max(1, int(values.max()).bit_length()) if len(values) else 1
     zeros, ones_before, blocks = [], [], []
     for plane in range(planes - 1, -1, -1):
-        bits = (values >> values.dtype.type(plane)) & values.dtype.type(1)
-        mask = bits.astype(bool)
+        mask = (values & values.dtype.type(1 << plane)) != 0
         packed = np.packbits(mask, bitorder="little")
-        starts = np.arange(0, n, BLOCK_BITS)
-        ones = np.add.reduceat(mask, starts, dtype=np.uint64) if n else np.empty(0, np.uint64)
+        starts = np.arange(0, len(packed), BLOCK_BITS // 8)
+        ones = np.add.reduceat(np.bitwise_count(packed), starts, dtype=np.uint64) if n else np.empty(0, np.uint64)
         ones_before.append(np.concatenate((np.zeros(1, np.uint64), np.cumsum(ones)))[:-1].astype("<u8"))
         step = BLOCK_BITS // 8
         blocks += [_compress(packed[i : i + step].tobytes()) for i in range(0, len(packed), step)]
-        low = values[~mask]
+        low = values.compress(~mask)
         zeros.append(len(low))
-        values = np.concatenate((low, values[mask]))
+        values = np.concatenate((low, values.compress(mask)))
     sections = [
         np.array([len(b) for b in blocks], "<u4").tobytes(),
         b"".join(x.tobytes() for x in ones_before),
@@ -99,7 +98,7 @@ class WaveletShard:
 
     def _plane(self, level: int) -> np.ndarray:
         found = [self._read_block(level, k) for k in range(self.per_plane)]
-        return np.concatenate([*found, np.empty(0, np.uint8)]).astype(bool)
+        return np.concatenate([*found, np.empty(0, np.uint8)]).view(bool)
 
     def _ones(self, level: int, i: int) -> int:
         """Ones among the first ``i`` bits of a plane."""
@@ -173,7 +172,7 @@ class WaveletShard:
         for level in range(self.planes - 1, -1, -1):
             mask, zeros = self._plane(level), self.zeros[level]
             merged = np.empty_like(values)
-            merged[mask] = values[zeros:] | kind(1 << (self.planes - 1 - level))
-            merged[~mask] = values[:zeros]
+            merged[np.flatnonzero(mask)] = values[zeros:] | kind(1 << (self.planes - 1 - level))
+            merged[np.flatnonzero(~mask)] = values[:zeros]
             values = merged
         return values

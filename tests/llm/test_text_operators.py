@@ -186,7 +186,7 @@ def test_shared_lines_by_brute_force(spark):
         for line in (text or "").split("\n"):
             if site:
                 sites[line.strip(" ")].add(site)
-    for least in (2, 5, 9):
+    for least in (1, 2, 5, 9):
         expected = Counter()
         for d, _, text in rows:
             lines = text.split("\n") if text is not None else []
