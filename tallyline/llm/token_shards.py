@@ -22,7 +22,7 @@ from tallyline.sources.scratch import scratch_dir, written
 
 SHARD_TOKENS = 4 << 20
 TASK_BYTES = 8 << 20
-REMEMBERED = 600_000
+REMEMBERED = 1_600_000
 # Where a byte-level pre-tokenizer surely begins a new piece: at a single space between two characters that are not
 # white space, between a letter or digit and punctuation, and around a single line feed. Only letters of old
 # standing are named, so it doesn't matter which Unicode version a pattern library knows.
