@@ -31,7 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return token_shards(table(spark, sf_dir, "documents"), vocabulary, 2, remembered=1_600_000)
 
 
 def op4_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:

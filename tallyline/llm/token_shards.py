@@ -22,7 +22,7 @@ from tallyline.sources.scratch import scratch_dir, written
 
 SHARD_TOKENS = 4 << 20
 TASK_BYTES = 8 << 20
-REMEMBERED = 1_600_000
+REMEMBERED = 600_000
 # Where a byte-level pre-tokenizer surely begins a new piece: at a single space between two characters that are not
 # white space, between a letter or digit and punctuation, and around a single line feed. Only letters of old
 # standing are named, so it doesn't matter which Unicode version a pattern library knows.
@@ -41,7 +41,7 @@ class PieceEncoder:
     once; texts with added tokens in them, or with spaces next to white space, are encoded as they are.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -49,6 +49,7 @@ class PieceEncoder:
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.added = [t.content for t in added]
+        self.remembered = remembered
         # Pieces seen of late, and those before them: frequent ones pass from one to the other.
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -59,7 +60,7 @@ class PieceEncoder:
         return np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum())), sizes
 
     def _pieces(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > REMEMBERED // 2:
+        if len(self.known) > self.remembered // 2:
             self.known, self.before = {}, self.known
         known, before = self.known, self.before
         new = [x for x in names if x not in known]
@@ -105,8 +106,8 @@ class PieceEncoder:
 
 
 @cache
-def piece_encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+def piece_encoder(path: str, remembered: int) -> PieceEncoder:
+    return PieceEncoder(path, remembered)
 
 
 def _put(folder: str, name: str, content: bytes) -> None:
@@ -120,12 +121,15 @@ def _put(folder: str, name: str, content: bytes) -> None:
     store.move(part, f"{path}/{name}")
 
 
-def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def write_shards(
+    docs: DataFrame, folder: str, vocabulary: str, end_id: int, shard_tokens: int = SHARD_TOKENS, remembered: int = REMEMBERED
+) -> DataFrame:
     """Encode all texts and write them to ``folder``; the manifest (``part, shard, name, documents, tokens``) comes back.
 
     Rows are dealt by ranges of doc_id (nulls first; rows that share an id by a hash of the text, so a hot id is spread),
     about 8 MB of text a task, so shards follow one another in doc_id order. A task closes a shard at ``shard_tokens``
-    ids; a document is never cut. Files go to any store that Arrow's file systems reach.
+    ids; a document is never cut. Files go to any store that Arrow's file systems reach. A worker keeps the ids of up to
+    ``remembered`` pieces (about 200 bytes each).
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("text")]
@@ -138,7 +142,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, sha
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, shard = piece_encoder(vocabulary), TaskContext.get().partitionId(), 0
+        encoder, part, shard = piece_encoder(vocabulary, remembered), TaskContext.get().partitionId(), 0
         pending: list[np.ndarray] = []
         doc_ids: list[int | None] = []
         lengths: list[int] = []
@@ -199,7 +203,9 @@ def read_documents(spark: SparkSession, folder: str, manifest: DataFrame) -> Dat
     )
 
 
-def token_shards(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None) -> DataFrame:
+def token_shards(
+    docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, remembered: int = REMEMBERED
+) -> DataFrame:
     """Write the shards of ``docs`` (to a new shared folder, unless one is given) and read the documents back.
 
     A null or empty text has the end id only. Rows that share a doc_id, null too, are written one after another in an
@@ -207,7 +213,7 @@ def token_shards(docs: DataFrame, vocabulary: str, end_id: int, folder: str | No
     """
     spark = docs.sparkSession
     folder = folder or scratch_dir(spark, "token-shards")
-    manifest = write_shards(docs, folder, vocabulary, end_id)
+    manifest = write_shards(docs, folder, vocabulary, end_id, remembered=remembered)
     if manifest.isEmpty():
         schema = "doc_id long, start long, n_tokens long, ids_crc32 long, shard string"
         return spark.createDataFrame([], schema)
