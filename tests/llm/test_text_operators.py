@@ -12,19 +12,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from llm_fixtures import SF, edge_rows, make_docs  # noqa: F401
-from tallyline.llm import near_dedup
+from tallyline.llm import context_mixing, near_dedup
 from tallyline.llm.components import connected_components
-from tallyline.llm.context_mixing import (
-    BLOCKS,
-    ORDERS,
-    Code,
-    Decisions,
-    _inputs,
-    context_counts,
-    context_odds,
-    mixed_bits,
-    scored_texts,
-)
+from tallyline.llm.context_mixing import FIRST_WEIGHT, GATES, LONG, ORDERS, Block, Code, keys_of, scored_texts
 from tallyline.llm.decontamination import contained_items, without_items
 from tallyline.llm.line_dedup import without_shared_lines
 from tallyline.llm.mixing import fitted_rates, mixed_documents, with_rates
@@ -215,17 +205,125 @@ def test_base_scores_and_code_lengths(make_docs, edge_rows):
     assert scored_texts(make_docs([])).count() == 0
 
 
+def pieces_of(text):
+    """Plainly: up to and with a white-space byte or the end, 24 bytes at most."""
+    found = [b""]
+    for x in (text or "").translate(A_TO_Z).encode() + b"\xff":
+        found[-1] += bytes([x])
+        if x in b" \t\n\v\f\r\xff" or len(found[-1]) == LONG:
+            found.append(b"")
+    return [f for f in found if f]
+
+
+def contexts_of(piece, i):
+    padded = (256,) * max(ORDERS) + tuple(piece)
+    return [(k, padded[i + max(ORDERS) - k : i + max(ORDERS)]) for k in ORDERS] + [("piece", piece[:i])]
+
+
+def subtrees(code):
+    paths = defaultdict(set)
+    for symbol in range(256):
+        for j in range(code.first[symbol], code.first[symbol] + code.lengths[symbol]):
+            paths[int(code.nodes[j]), int(code.bits[j])].add(symbol)
+    return paths
+
+
+def test_keys_spell_the_texts(edge_rows):
+    texts = [t for _, t in edge_rows] + ["a" * 23 + " b", "a" * 24 + "\n", "é" * 40, " \t x  "]
+    keys, text_of = keys_of(pa.array(texts, pa.string()))
+    for k, text in enumerate(texts):
+        mine = [key.as_py() for key, t in zip(keys, text_of) if t == k]
+        assert sorted(key[1:] for key in mine if key[0] < 2) == sorted(pieces_of(text))
+        whole = [key[1:-1].decode() for key in mine if key[0] == 0 and len(key) > 2]
+        assert Counter(whole + [key[1:].decode() for key in mine if key[0] == 2]) == Counter(split(text))
+
+
+def block_of(counts, code):
+    """One block of all pieces, with the counts of the contexts that other blocks may share."""
+    keys = [b"\x00" + p for p in sorted(counts)]
+    pieces = pa.table({"key": pa.array(keys, pa.binary()), "c": [counts[k[1:]] for k in keys]})
+    places = context_mixing.Places(pieces.column("key").combine_chunks())
+    rows = defaultdict(Counter)
+    for k, at in context_mixing._shared(places):
+        for pair, piece in zip(places.pairs[k][at].tolist(), places.piece[at].tolist()):
+            rows[pair >> 8][pair & 255] += counts[keys[piece][1:]]
+    found = pa.table(
+        {
+            "context": pa.array(list(rows), pa.int64()),
+            "symbols": pa.array([list(r) for r in rows.values()], pa.list_(pa.int16())),
+            "counts": pa.array([list(r.values()) for r in rows.values()], pa.list_(pa.int64())),
+        }
+    )
+    return Block(pieces, found, code)
+
+
 def test_model_is_a_probability_and_learns():
-    code = Code(np.bincount(list(b"abababab cab"), minlength=257))
+    rng = np.random.default_rng(3)
+    counts = Counter(bytes(rng.choice(list(b"abc"), rng.integers(1, 5)).tolist()) + b" " for _ in range(400))
+    code = Code(np.bincount(list(b"".join(counts.elements())), minlength=256))
     assert sum(2.0 ** -code.lengths) == 1.0
-    flat = np.zeros((5, 1 << 21), np.float32)
-    texts = pa.array(["ab", "", None, "é" * 300], pa.string())
-    lengths = [sum(code.lengths[list((t or "").encode()) + [256]]) for t in texts.to_pylist()]
-    assert np.allclose(mixed_bits(texts, code, flat), lengths)
-    # A text's bits do not depend on its neighbours.
-    odds = np.random.default_rng(1).normal(0, 1, flat.shape).astype(np.float32)
-    alone = [mixed_bits(pa.array([t], pa.string()), code, odds)[0] for t in texts.to_pylist()]
-    assert np.allclose(mixed_bits(texts, code, odds), alone)
+    weights = rng.normal(0.3, 0.2, (GATES, len(ORDERS) + 1))
+    # Pieces without an occurrence: every byte that may follow a beginning.
+    for begin in (b"", b"ab", b"zz"):
+        trial = Counter(counts)
+        trial.update({begin + bytes([x]): 0 for x in range(256)} | {begin: 0} if begin else {bytes([x]): 0 for x in range(256)})
+        block = block_of(trial, code)
+        cost = {k.as_py()[1:]: c for k, c in zip(block.keys, block.costs(weights))}
+        before = cost[begin] if begin else 0
+        assert np.allclose(sum(2.0 ** (before - cost[begin + bytes([x])]) for x in range(256)), 1)
+    block = block_of(counts, code)
+    learned = context_mixing.merged_weights(*block.learned())
+
+    def left_out(weights):
+        total = 0
+        for x, bits, gates, piece in block.chunks(without_own=True):
+            margin = (x * weights[gates]).sum(axis=1) * (bits * 2.0 - 1)
+            total += (block.times[piece] * np.log1p(np.exp(-margin))).sum()
+        return total
+
+    assert left_out(learned) < 0.98 * left_out(np.full(learned.shape, FIRST_WEIGHT))
+
+
+def test_scores_are_the_plain_ones(make_docs, edge_rows, monkeypatch):
+    rng = np.random.default_rng(2)
+    vocabulary = ["".join(rng.choice(list("abcdeé"), rng.integers(1, 9))) for _ in range(60)]
+    # The text of 30,000 different words takes the plain way too long.
+    rows = [r for r in edge_rows if r[0] != 8]
+    rows += [(100 + k, " ".join(rng.choice(vocabulary, 15))) for k in range(40)] + [(300, "x" * 60), (301, "x" * 50)]
+    weights = rng.normal(0.3, 0.1, (GATES, len(ORDERS) + 1))
+    # Many small blocks, so that beginnings of pieces are shared between blocks; weights as given.
+    monkeypatch.setattr(context_mixing, "BLOCK_PIECES", 20)
+    monkeypatch.setattr(context_mixing, "merged_weights", lambda *_: weights)
+    held = {d: crc32(str(d).encode() if d is not None else b"") % 10 == 0 for d, _ in rows}
+    seen, symbols = defaultdict(Counter), Counter()
+    for d, t in rows:
+        for piece in [] if held[d] else pieces_of(t):
+            for i, symbol in enumerate(piece):
+                symbols[symbol] += 1
+                for context in contexts_of(piece, i):
+                    seen[context][symbol] += 1
+    code = Code(np.array([symbols[x] for x in range(256)]))
+    under = subtrees(code)
+    known = {}
+
+    def bits(piece):
+        if piece not in known:
+            total = np.zeros(len(context_mixing.SHARPNESSES))
+            for i, symbol in enumerate(piece):
+                for j in range(code.first[symbol], code.first[symbol] + code.lengths[symbol]):
+                    node, bit = int(code.nodes[j]), int(code.bits[j])
+                    n = [[sum(seen[c][x] for x in under[node, b]) for b in (0, 1)] for c in contexts_of(piece, i)]
+                    gate = min(int(np.log2(sum(n[-1]) + 1)), GATES - 1)
+                    odds = sum(w * np.log((one + 0.4) / (zero + 0.4)) for w, (zero, one) in zip(weights[gate], n))
+                    total += [np.log2(1 + np.exp(-s * odds * (2 * bit - 1))) for s in context_mixing.SHARPNESSES]
+            known[piece] = total
+        return known[piece]
+
+    expected = Counter()
+    for d, t in rows:
+        total = sum(bits(p) for p in pieces_of(t))
+        expected[(d, round(float(np.log10(np.mean(2.0 ** (total.min() - total))) - total.min() * np.log10(2)), 3))] += 1
+    assert Counter((r["doc_id"], round(r["score"], 3)) for r in scored_texts(make_docs(rows)).collect()) == expected
 
 
 def test_seen_texts_score_better(make_docs):
@@ -239,38 +337,6 @@ def test_seen_texts_score_better(make_docs):
     assert np.mean(like) < 1.2 < np.mean(unlike)
 
 
-def test_context_counts_stay_apart_and_grow(make_docs):
-    rng = np.random.default_rng(11)
-    letters = list("abcdefghijklmnopqrstuvwxyz0123456789.,;:!?-+*/=()[]{}<>@#$%&")
-    rows = [(k, "".join(rng.choice(letters, 1500))) for k in range(40)]
-    expected, places = defaultdict(Counter), []
-    for _, t in rows:
-        padded = [257] * 5 + list(t.encode()) + [256]
-        for i in range(5, len(padded)):
-            context = tuple(padded[i - 5 : i])
-            expected[context][padded[i]] += 1
-            places.append(context)
-    contexts = context_counts(make_docs(rows)).toArrow()
-    half = context_counts(make_docs(rows[:20])).count()
-    assert contexts.num_rows > 1.8 * half
-    code = Code(np.bincount(list("".join(t for _, t in rows).encode()), minlength=257))
-    d = Decisions(pa.array([t for _, t in rows]), code)
-    paths = {(n, b): set() for n in range(256) for b in (0, 1)}
-    for symbol in range(257):
-        for j in range(code.first[symbol], code.first[symbol] + code.lengths[symbol]):
-            paths[code.nodes[j], code.bits[j]].add(symbol)
-    # The decisions are in order of steps; so are these places.
-    within = np.concatenate([np.arange(len(t) + 1) for _, t in rows])
-    step = np.where(within < BLOCKS[-1], np.searchsorted(BLOCKS, within, "right"), len(BLOCKS) - 1 + within // BLOCKS[-1])
-    ordered = [places[i] for i in np.argsort(step, kind="stable")]
-    # Rows that come twice, as from a block that two tasks read, count once.
-    got = _inputs(d, code, [context_odds(pa.concat_tables([contexts, contexts]), code)])[:, ORDERS.index(5)]
-    for i in rng.integers(0, len(got), 3000):
-        seen = expected[ordered[d.place[i]]]
-        zeros, ones = (sum(seen[s] for s in paths[d.node[i], b]) for b in (0, 1))
-        assert abs(got[i] - np.log((ones + 0.4) / (zeros + 0.4))) < 1e-5
-
-
 # toxicity
 
 
