@@ -214,10 +214,12 @@ def table_quantiles(
     high_p = [min(p + margin, 1.0) for p in probabilities]
 
     def sketch(c: str) -> Column:
-        return F.percentile_approx(c, low_p + high_p, accuracy)
+        # Below this many rows a bracket may be narrower than two neighbours.
+        whole = F.array(*[F.min(c)] * k, *[F.max(c)] * k)
+        return F.when(F.count(c) < 2 * accuracy, whole).otherwise(F.percentile_approx(c, low_p + high_p, accuracy))
 
-    edges = df.agg(F.array(*(sketch(c) for c in columns)).alias("of"))
     k = len(probabilities)
+    edges = df.agg(F.array(*(sketch(c) for c in columns)).alias("of"))
     values = F.array(*(F.struct(F.lit(i).alias("m"), F.col(c).alias("v")) for i, c in enumerate(columns)))
     long = df.select(F.explode(values).alias("_x")).select("_x.m", "_x.v").filter(F.col("v").isNotNull())
     v, e = F.col("v"), F.col("_e")

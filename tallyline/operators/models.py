@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import FeatureHasher, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -20,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions.columns import exact_sum, fold_of, in_train_split, ratio
+from tallyline.operators.clusters import UNIT, assign_clusters, fit_clusters
 from tallyline.operators.customers import CUSTOMER_FEATURES, customer_features, segment_features
 from tallyline.operators.freight import region_freight
 from tallyline.operators.grouping import attach, exact_quantiles, with_positions, with_row
@@ -176,37 +176,15 @@ def fit_once(estimator: Estimator, df: DataFrame):
 # --- clusters -----------------------------------------------------------------
 
 
-def fit_clusters(table: DataFrame, key: str, features: Sequence[str], k: int) -> tuple[PipelineModel, DataFrame]:
-    """k-means on standardised features; returns the model and the rows it was fitted on.
-
-    Rows are ordered by key inside their partitions, so the same seed sees the
-    same rows on a rerun.
-    """
-    ready = written(table.dropna("any", subset=list(features)), "clusters").sortWithinPartitions(key)
-    model = Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(features), outputCol="_raw"),
-            StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True),
-            KMeans(featuresCol="_scaled", predictionCol="cluster", k=k, seed=SEED),
-        ]
-    ).fit(ready)
-    return model, ready
-
-
-def assign_clusters(table: DataFrame, key: str, features: Sequence[str], k: int) -> DataFrame:
-    model, ready = fit_clusters(table, key, features, k)
-    return model.transform(ready).select(*table.columns, "cluster")
-
-
 def customer_clusters(ol: DataFrame, k: int = 5) -> DataFrame:
-    return assign_clusters(customer_features(ol), "customer_name", CUSTOMER_FEATURES, k)
+    return assign_clusters(customer_features(ol), CUSTOMER_FEATURES, k)
 
 
 def cluster_feature_importance(ol: DataFrame, k: int = 5) -> DataFrame:
     """Absolute mean of the standardised cluster centres per feature."""
-    model, _ = fit_clusters(customer_features(ol), "customer_name", CUSTOMER_FEATURES, k)
-    centres = model.stages[-1].clusterCenters()
-    rows = [(f, float(abs(sum(c[i] for c in centres) / len(centres)))) for i, f in enumerate(CUSTOMER_FEATURES)]
+    centres, _ = fit_clusters(customer_features(ol), CUSTOMER_FEATURES, k)
+    means = [sum(c) / len(c) / UNIT for c in zip(*centres.values())]
+    rows = [(f, abs(m)) for f, m in zip(CUSTOMER_FEATURES, means)]
     return ol.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
@@ -214,7 +192,7 @@ REGION_FEATURES = ("avg_line_volume_cbm", "avg_freight_cost_per_cbm")
 
 
 def region_clusters(ol: DataFrame, k: int = 3) -> DataFrame:
-    return assign_clusters(region_freight(ol), "order_region", REGION_FEATURES, k)
+    return assign_clusters(region_freight(ol), REGION_FEATURES, k)
 
 
 PROFIT_FEATURES = ("line_quantity", *MONEY, "total_profit", "avg_profit_margin")
@@ -230,7 +208,7 @@ def profitability_factors(ol: DataFrame) -> DataFrame:
 
 
 def profitability_clusters(ol: DataFrame, k: int = 3) -> DataFrame:
-    return assign_clusters(profitability_factors(ol), "item_number", PROFIT_FEATURES, k)
+    return assign_clusters(profitability_factors(ol), PROFIT_FEATURES, k)
 
 
 SEGMENT_FEATURES = ("total_revenue", "line_quantity", "avg_delivered_margin", "avg_predicted_margin")
@@ -239,7 +217,7 @@ SEGMENT_FEATURES = ("total_revenue", "line_quantity", "avg_delivered_margin", "a
 def customer_segments(predicted: DataFrame, prediction: str, k: int = 3) -> DataFrame:
     """Segment and mean predicted margin of each customer."""
     table = segment_features(predicted, prediction)
-    return assign_clusters(table, "customer_name", SEGMENT_FEATURES, k).withColumnRenamed(
+    return assign_clusters(table, SEGMENT_FEATURES, k).withColumnRenamed(
         "cluster", "customer_segment"
     )
 
@@ -275,6 +253,21 @@ def best_and_worst_cluster(profile: DataFrame, metric: str) -> DataFrame:
     )
 
 
+def cluster_describe(clustered: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Rows, mean, sample deviation, least, exact quartiles and largest value of each feature in each cluster."""
+    long = long_form(clustered, features, "metric", "value", ["cluster"])
+    quartiles = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["cluster", "metric"])
+    sums = long.groupBy("cluster", "metric").agg(
+        F.count("value").alias("rows"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
+        F.min("value").cast("double").alias("least"),
+        F.max("value").cast("double").alias("most"),
+    )
+    shown = [F.col("quantiles")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))]
+    return sums.join(quartiles, ["cluster", "metric"]).select(*sums.columns, *shown)
+
+
 def cluster_outliers(clustered: DataFrame, key: str, features: Sequence[str], limit: float = 3.0) -> DataFrame:
     """Values more than ``limit`` population deviations from their cluster's mean, else NULL.
 

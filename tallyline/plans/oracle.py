@@ -490,6 +490,165 @@ month_margins AS (
          avg(delivered_margin) / nullif((SELECT avg(delivered_margin) FROM ol), 0) AS month_multiplier
   FROM ol GROUP BY 1)"""
 
+CUSTOMERS = f"""SELECT *, greatest(avg_order_value * purchase_frequency * customer_lifetime_days, 0) AS clv
+FROM (SELECT *, (total_product_revenue + total_freight_revenue) / order_count AS avg_order_value,
+             order_count / CAST(customer_lifetime_days AS DOUBLE) AS purchase_frequency
+      FROM (SELECT customer_name, count(*) AS order_count, {es('line_product_revenue')} AS total_product_revenue,
+                   {es('line_freight_revenue')} AS total_freight_revenue, {es('line_volume_cbm')} AS total_volume,
+                   CAST(date_diff('day', min(order_date), max(order_date)) + 1 AS INTEGER) AS customer_lifetime_days
+            FROM ol GROUP BY customer_name))"""
+
+FACTORS = f"""SELECT item_number, {sums('line_quantity', 'line_product_revenue', 'line_product_cost', 'line_freight_revenue',
+                                           'line_freight_cost', 'total_profit')},
+       avg(total_profit / nullif(line_product_revenue, 0) * 100) AS avg_profit_margin FROM ol GROUP BY item_number"""
+
+SEGMENT_ROWS = f"""SELECT customer_name, {sums('total_revenue', 'line_quantity')}, avg(delivered_margin) AS avg_delivered_margin,
+       avg(product_margin) AS avg_predicted_margin FROM ol GROUP BY customer_name"""
+
+
+def clusters(rows: str, key: str, features: Sequence[str], k: int) -> str:
+    """Tables up to ``clustered``: the rows with their cluster, by at most 100 moves of the centres."""
+    numbered = list(enumerate(features))
+    known = " AND ".join(f"{f} IS NOT NULL" for f in features)
+    means = ", ".join(f"CAST(floor(CAST(sum(z{i}) AS DOUBLE) / count(*) + 0.5) AS BIGINT) AS c{i}" for i, _ in numbered)
+    away = " + ".join(f"(CAST(z{i} AS DOUBLE) - c{i}) * (CAST(z{i} AS DOUBLE) - c{i})" for i, _ in numbered)
+    nearest = f"min({{'d': {away}, 'c': cluster}}).c"
+    moments = ", ".join(f"avg({f}) AS m{i}, stddev_pop({f}) AS s{i}" for i, f in numbered)
+    places = ", ".join(
+        f"CAST(floor(coalesce(({f} - m{i}) / nullif(s{i}, 0), 0) * 1000000.0 + 0.5) AS BIGINT) AS z{i}" for i, f in numbered
+    )
+    kept = ", ".join(f"any_value(z{i}) AS z{i}" for i, _ in numbered)
+    cuts = ", ".join(f"{i / k}" for i in range(1, k))
+    score = " + ".join(f"z{i}" for i, _ in numbered)
+    part = " + ".join(f"CAST({score} > cuts[{i}] AS INTEGER)" for i in range(1, k))
+    return f"""cluster_rows AS MATERIALIZED (SELECT * FROM ({rows}) WHERE {known}),
+cluster_points AS MATERIALIZED (
+  SELECT {key}, {places} FROM cluster_rows, (SELECT {moments} FROM cluster_rows)),
+cluster_parts AS (
+  SELECT p.*, CAST({part} AS INTEGER) AS part
+  FROM cluster_points p, (SELECT quantile_cont(CAST({score} AS DOUBLE), [{cuts}]) AS cuts FROM cluster_points)),
+centres AS MATERIALIZED (
+  WITH RECURSIVE moves AS (
+    SELECT 0 AS step, part AS cluster, {means} FROM cluster_parts GROUP BY part
+    UNION ALL
+    SELECT step + 1 AS step, cluster, {means}
+    FROM (SELECT {key}, step, {nearest} AS cluster, {kept} FROM cluster_points, moves WHERE step < 100 GROUP BY {key}, step)
+    GROUP BY step, cluster)
+  SELECT * FROM moves WHERE step = (SELECT max(step) FROM moves)),
+clustered AS MATERIALIZED (
+  SELECT * FROM cluster_rows
+  JOIN (SELECT {key}, {nearest} AS cluster FROM cluster_points, centres GROUP BY {key}) USING ({key}))"""
+
+
+CUSTOMER_FEATURES = (
+    "order_count", "total_product_revenue", "total_freight_revenue", "total_volume", "avg_order_value",
+    "purchase_frequency", "clv",
+)
+REGION_FEATURES = ("avg_line_volume_cbm", "avg_freight_cost_per_cbm")
+FACTOR_FEATURES = (
+    "line_quantity", "line_product_revenue", "line_product_cost", "line_freight_revenue", "line_freight_cost",
+    "total_profit", "avg_profit_margin",
+)
+SEGMENT_FEATURES = ("total_revenue", "line_quantity", "avg_delivered_margin", "avg_predicted_margin")
+
+
+def cluster_profile(features: Sequence[str], more: str = "") -> str:
+    means = ", ".join(f"round_even(avg({f}), 2) AS avg_{f}" for f in features)
+    return f"""SELECT cluster, {means}, count(*) AS members,
+       round_even(count(*) / sum(count(*)) OVER () * 100, 2) AS percentage{more} FROM clustered GROUP BY cluster"""
+
+
+def clusters_sql() -> dict[str, str]:
+    customers = clusters(CUSTOMERS, "customer_name", CUSTOMER_FEATURES, 5)
+    regions = f"{FREIGHT},\n" + clusters("SELECT * FROM regions", "order_region", REGION_FEATURES, 3)
+    factors = clusters(FACTORS, "item_number", FACTOR_FEATURES, 3)
+    segments = clusters(SEGMENT_ROWS, "customer_name", SEGMENT_FEATURES, 3)
+    long = " UNION ALL ".join(
+        f"SELECT cluster, '{f}' AS metric, CAST({f} AS DOUBLE) AS value FROM clustered" for f in CUSTOMER_FEATURES
+    )
+    outlying = ", ".join(
+        f"CASE WHEN abs(({f} - avg({f}) OVER c) / nullif(stddev_pop({f}) OVER c, 0)) > 3 THEN {f} END AS {f}"
+        for f in CUSTOMER_FEATURES
+    )
+    importance = " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, abs(avg(CAST(c{i} AS DOUBLE)) / 1000000.0) AS importance FROM centres"
+        for i, f in enumerate(CUSTOMER_FEATURES)
+    )
+    return {
+        "customer_clusters": q(
+            "SELECT * FROM clustered",
+            ["customer_name", "order_count", "customer_lifetime_days", "cluster"],
+            CUSTOMER_FEATURES[1:],
+            ctes=customers,
+        ),
+        "customer_cluster_profile": q(
+            cluster_profile(CUSTOMER_FEATURES, ", quantile_cont(clv, 0.5) AS median_clv"),
+            ["cluster", "members"],
+            [*(f"avg_{f}" for f in CUSTOMER_FEATURES), "percentage", "median_clv"],
+            ctes=customers,
+        ),
+        "best_and_worst_cluster": q(
+            """SELECT arg_max(cluster, avg_clv) AS high_value_cluster, arg_min(cluster, avg_clv) AS low_value_cluster
+FROM (SELECT cluster, round_even(avg(clv), 2) AS avg_clv FROM clustered GROUP BY cluster)""",
+            ["high_value_cluster", "low_value_cluster"],
+            [],
+            ctes=customers,
+        ),
+        "cluster_feature_importance": q(importance, ["feature"], ["importance"], ctes=customers),
+        "cluster_outliers": q(
+            f"""SELECT * FROM (SELECT customer_name, cluster, {outlying} FROM clustered WINDOW c AS (PARTITION BY cluster))
+WHERE {" OR ".join(f"{f} IS NOT NULL" for f in CUSTOMER_FEATURES)}""",
+            ["customer_name", "cluster", "order_count"],
+            CUSTOMER_FEATURES[1:],
+            ctes=customers,
+        ),
+        "customer_cluster_describe": q(
+            f"""SELECT cluster, metric, count(value) AS rows, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS least,
+       max(value) AS most, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50,
+       quantile_cont(value, 0.75) AS p75 FROM ({long}) GROUP BY cluster, metric""",
+            ["cluster", "metric", "rows"],
+            ["mean", "std", "least", "most", "p25", "p50", "p75"],
+            4,
+            ctes=customers,
+        ),
+        "region_clusters": q(
+            "SELECT * FROM clustered",
+            ["order_region", "cluster"],
+            ["avg_line_volume_cbm", "avg_line_freight_cost", "avg_freight_cost_per_cbm"],
+            ctes=regions,
+        ),
+        "region_cluster_profile": q(
+            cluster_profile(REGION_FEATURES),
+            ["cluster", "members"],
+            [*(f"avg_{f}" for f in REGION_FEATURES), "percentage"],
+            ctes=regions,
+        ),
+        "profitability_factors": q(FACTORS, ["item_number"], FACTOR_FEATURES),
+        "profitability_clusters": q(
+            "SELECT * FROM clustered", ["item_number", "cluster"], FACTOR_FEATURES, ctes=factors
+        ),
+        "profitability_cluster_profile": q(
+            cluster_profile(FACTOR_FEATURES),
+            ["cluster", "members"],
+            [*(f"avg_{f}" for f in FACTOR_FEATURES), "percentage"],
+            ctes=factors,
+        ),
+        "customer_segments_observed": q(
+            "SELECT * EXCLUDE (cluster), cluster AS customer_segment FROM clustered",
+            ["customer_name", "customer_segment"],
+            SEGMENT_FEATURES,
+            ctes=segments,
+        ),
+        "line_segments": q(
+            f"""SELECT ol.{KEY}, customer_name, cluster AS customer_segment, avg_predicted_margin
+FROM ol LEFT JOIN clustered USING (customer_name)""",
+            [KEY, "customer_name", "customer_segment"],
+            ["avg_predicted_margin"],
+            ctes=segments,
+        ),
+    }
+
+
 CORRELATED = (
     "line_volume_cbm", "line_quantity", "line_product_revenue", "line_product_cost", "line_freight_revenue",
     "line_freight_cost", "total_revenue", "product_margin", "freight_margin", "delivered_margin",
@@ -609,13 +768,7 @@ SELECT * FROM (SELECT 'order_region', order_region, count(*) AS n FROM ol GROUP
         ),
         "histogram": histogram("ol", "line_volume_cbm", 50),
         "customer_features": q(
-            f"""SELECT *, greatest(avg_order_value * purchase_frequency * customer_lifetime_days, 0) AS clv
-FROM (SELECT *, (total_product_revenue + total_freight_revenue) / order_count AS avg_order_value,
-             order_count / CAST(customer_lifetime_days AS DOUBLE) AS purchase_frequency
-      FROM (SELECT customer_name, count(*) AS order_count, {es('line_product_revenue')} AS total_product_revenue,
-                   {es('line_freight_revenue')} AS total_freight_revenue, {es('line_volume_cbm')} AS total_volume,
-                   CAST(date_diff('day', min(order_date), max(order_date)) + 1 AS INTEGER) AS customer_lifetime_days
-            FROM ol GROUP BY customer_name))""",
+            CUSTOMERS,
             ["customer_name", "order_count", "customer_lifetime_days"],
             ["total_product_revenue", "total_freight_revenue", "total_volume", "avg_order_value",
              "purchase_frequency", "clv"],
@@ -1158,7 +1311,7 @@ FROM (SELECT line_freight_cost, line_freight_cost - (50 + 2500 * line_volume_cbm
 
 
 def oracle_sql() -> dict[str, str]:
-    plain = whole_lines_sql()
+    plain = whole_lines_sql() | clusters_sql()
     categories = ("category_column", "category_value")
     gaps = {
         "monthly_margin_gaps": gapped(

@@ -319,11 +319,6 @@ SQL_CHECKED |= {
     "category_codes": on_lines(_coded),
     "target_encode": on_lines(_target_encoded),
     "segment_features": on_lines(lambda ol: cu.segment_features(ol, "product_margin")),
-}
-
-# Depend on library, seed or iteration: checked by their properties in tests.
-PROPERTY_CHECKED: dict[str, Query] = {
-    "anova_test": on_lines(lambda ol: st.anova_test(ol, "order_channel")),
     "customer_clusters": on_lines(mo.customer_clusters),
     "customer_cluster_profile": on_lines(
         lambda ol: mo.cluster_profile(mo.customer_clusters(ol), cu.CUSTOMER_FEATURES, "clv")
@@ -343,6 +338,21 @@ PROPERTY_CHECKED: dict[str, Query] = {
     "profitability_cluster_profile": on_lines(
         lambda ol: mo.cluster_profile(mo.profitability_clusters(ol), mo.PROFIT_FEATURES)
     ),
+    "customer_cluster_describe": on_lines(
+        lambda ol: mo.cluster_describe(mo.customer_clusters(ol), cu.CUSTOMER_FEATURES), 4
+    ),
+    "profitability_factors": on_lines(mo.profitability_factors),
+    "customer_segments_observed": on_lines(lambda ol: mo.customer_segments(ol, "product_margin")),
+    "line_segments": on_lines(
+        lambda ol: mo.with_segments(ol, mo.customer_segments(ol, "product_margin")).select(
+            LINE_KEY, "customer_name", "customer_segment", "avg_predicted_margin"
+        )
+    ),
+}
+
+# Depend on library, seed or iteration: checked by their properties in tests.
+PROPERTY_CHECKED: dict[str, Query] = {
+    "anova_test": on_lines(lambda ol: st.anova_test(ol, "order_channel")),
     "customer_segments": on_lines(lambda ol: mo.customer_segments(_predicted(ol), "predicted_margin")),
     "margin_linear_model": on_lines(lambda ol: mo.margin_linear_model(ol)[1]),
     "margin_linear_scores": on_lines(lambda ol: mo.margin_linear_model(ol)[2]),

@@ -112,3 +112,10 @@ def test_top_per_group_prunes_before_the_shuffle(spark):
     top = g.top_per_group(df, ["k"], [F.desc("v"), F.asc("id")], 2)
     assert top.groupBy("k").count().agg(F.max("count")).first()[0] == 2
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_table_quantiles_of_few_rows(spark):
+    for n in (1, 2, 5, 200):
+        values = [float((7 * i) % n) for i in range(n)]
+        got = g.table_quantiles(spark.createDataFrame([(v,) for v in values], "v double"), ["v"], [0.2, 1 / 3, 2 / 3, 0.8]).first()
+        assert got.quantiles == pytest.approx(pd.Series(values).quantile([0.2, 1 / 3, 2 / 3, 0.8]).tolist())

@@ -10,6 +10,7 @@ from conftest import SF
 from fixtures import by, lines
 from pyspark.sql import functions as F
 
+from tallyline.operators import clusters
 from tallyline.operators import customers as cu
 from tallyline.operators import models as mo
 from tallyline.operators import pricing as pr
@@ -44,6 +45,18 @@ def test_clusters_are_complete_and_repeatable(ol):
     assert best.high_value_cluster == max(profile, key=lambda r: r.avg_clv).cluster
 
 
+def test_clusters_of_odd_tables(spark):
+    schema = "k string, x double, y double"
+    blobs = [(f"{g}-{i}", 10.0 * g + i % 3, 5.0 * g - i % 2) for g in range(3) for i in range(70)]
+    rows = spark.createDataFrame([*blobs, ("none", None, 1.0)], schema)
+    found = clusters.assign_clusters(rows.repartition(5), ["x", "y"], 3)
+    assert {(r.k.split("-")[0], r.cluster) for r in found.collect()} == {("0", 0), ("1", 1), ("2", 2)}
+    same = clusters.assign_clusters(spark.createDataFrame([("a", 1.0, 2.0)] * 9, schema), ["x", "y"], 3)
+    assert [r.cluster for r in same.collect()] == [0] * 9
+    assert clusters.assign_clusters(rows.limit(0), ["x", "y"], 3).count() == 0
+    assert clusters.assign_clusters(rows.where("x IS NULL"), ["x", "y"], 3).count() == 0
+
+
 def test_outliers_match_z_scores(spark):
     rows = [("a%d" % i, 0, float(i % 5), 1.0) for i in range(60)] + [("far", 0, 500.0, 1.0), ("one", 1, 9.0, 9.0)]
     df = spark.createDataFrame(rows, "k string, cluster int, x double, y double")
