@@ -1,8 +1,8 @@
 """Encodings, clusters and regression models on Spark ML.
 
 Nothing here depends on the number of distinct category values fitting on the
-driver: linear models hash categories into slots, many times as many as there are levels, trees use
-one mean-encoded number per category column.
+driver: the line models keep a table of effects a category (``ridge``), ``fit_regressor`` hashes categories into slots,
+many times as many as there are levels, trees use one mean-encoded number per category column.
 """
 
 from __future__ import annotations
@@ -11,20 +11,19 @@ from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import FeatureHasher, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyline.functions.columns import exact_sum, fold_of, in_train_split, ratio
+from tallyline.functions.columns import clipped, exact_sum, fold_of, in_train_split, ratio
 from tallyline.operators.clusters import UNIT, assign_clusters, fit_clusters
 from tallyline.operators.customers import CUSTOMER_FEATURES, customer_features, segment_features
 from tallyline.operators.freight import region_freight
 from tallyline.operators.grouping import attach, exact_quantiles, with_positions, with_row
 from tallyline.operators.products import MONEY
 from tallyline.operators.profile import grouped, long_form
+from tallyline.operators.ridge import Ridges, Target, fit_ridges
 from tallyline.operators.statistics import regression_metrics
 from tallyline.operators.trees import boosted, forest, gain_by_tree, mean_gain
 from tallyline.sources.scratch import written
@@ -399,71 +398,74 @@ def predict(
 
 
 ORDER_NUMBERS = ("line_volume_cbm", "line_quantity", "line_product_cost")
+# By model: the label as a column, and the numbers it is told from.
+LINE_MODELS = {
+    "line_freight_cost": ORDER_NUMBERS,
+    "delivered_margin": (*ORDER_NUMBERS, "line_freight_revenue"),
+    "total_profit": MEASURES,
+    "line_quantity": tuple(m for m in MEASURES if m != "line_quantity"),
+}
 
 
-def freight_cost_model(ol: DataFrame) -> PipelineModel:
-    """Freight cost from what is known before shipping."""
-    return fit_regressor(ol, "line_freight_cost", ORDER_NUMBERS, LINE_CATEGORIES)
+def model_label(name: str) -> Column:
+    """What a line model learns: margins from -1 to 1, unknown ones 0; other labels as they are."""
+    if name == "delivered_margin":
+        return F.coalesce(clipped(name, -1.0, 1.0), F.lit(0.0))
+    return F.col(name).cast("double")
 
 
-def margin_model(ol: DataFrame) -> PipelineModel:
-    """Delivered margin from the order and its freight revenue."""
-    return fit_regressor(ol, "delivered_margin", (*ORDER_NUMBERS, "line_freight_revenue"), LINE_CATEGORIES)
+def line_models(ol: DataFrame, names: Sequence[str] = tuple(LINE_MODELS), learn: Column | None = None) -> Ridges:
+    """Freight cost before shipping, delivered margin, profit and quantity of a line, by the same scans."""
+    targets = [Target(n, model_label(n), LINE_MODELS[n], learn) for n in names]
+    return fit_ridges(ol, targets, LINE_CATEGORIES)
 
 
-def profit_model(ol: DataFrame) -> PipelineModel:
-    return fit_regressor(ol, "total_profit", MEASURES, LINE_CATEGORIES)
+def line_model_scores(ol: DataFrame, names: Sequence[str] = tuple(LINE_MODELS)) -> DataFrame:
+    """Scores of the line models on lines held out."""
+    is_train = in_train_split(LINE_KEY)
+    model = line_models(ol, names, is_train)
+    labelled = ol.where(~is_train).withColumns({f"_label_{n}": model_label(n) for n in names})
+    scored = model.predict(labelled, {n: f"_predicted_{n}" for n in names})
+    both = F.explode(
+        F.array(*(F.struct(F.lit(n).alias("label"), F.col(f"_label_{n}").alias("y"), F.col(f"_predicted_{n}").alias("p")) for n in names))
+    )
+    e = F.col("y") - F.col("p")
+    return scored.select(both.alias("_s")).select("_s.*").groupBy("label").agg(
+        F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), (1.0 - ratio(F.avg(e * e), F.var_pop("y"))).alias("r2")
+    )
 
 
-def quantity_model(ol: DataFrame) -> PipelineModel:
-    return fit_regressor(
-        ol, "line_quantity", tuple(m for m in MEASURES if m != "line_quantity"), LINE_CATEGORIES
-    )
+CV_CATEGORIES = (*CATEGORY_COLUMNS, "item_number", "order_channel", "order_region")
 
 
 def margin_regressor_cv(
-    ol: DataFrame,
-    folds: int = 5,
-    slots: int | None = None,
-    categorical: Sequence[str] = (*CATEGORY_COLUMNS, "item_number", "order_channel", "order_region"),
-) -> tuple[PipelineModel, DataFrame, DataFrame]:
+    ol: DataFrame, folds: int = 5, categorical: Sequence[str] = CV_CATEGORIES
+) -> tuple[Ridges, DataFrame, DataFrame]:
     """Cross-validated regression of delivered margin: model, importances, scores.
 
-    Folds come from a hash of the line key. Scores hold the mean and deviation
-    of R squared over the folds and the holdout's MSE, MAE and R squared. The
-    importance of a column is the mean absolute weight of its places.
+    Folds come from a hash of the line key; all are fitted by the scans that fit the whole. Scores hold the mean and
+    deviation of R squared over the folds and the holdout's MSE, MAE and R squared.
     """
     label = "delivered_margin"
-    train, test = train_test_split(ol)
-    folded = prepare(train, MEASURES, categorical).select(
-        label, *MEASURES, *categorical, fold_of(LINE_KEY, folds).alias("fold")
-    )
-    widths = _slots(folded, categorical, slots)
-    regression = LinearRegression(
-        labelCol=label, featuresCol="features", solver="l-bfgs", regParam=0.001, maxIter=50
-    )
-    validator = CrossValidator(
-        estimator=Pipeline(stages=[*feature_stages(MEASURES, categorical, widths), regression]),
-        estimatorParamMaps=ParamGridBuilder().build(),
-        evaluator=RegressionEvaluator(labelCol=label, metricName="r2"),
-        numFolds=folds,
-        foldCol="fold",
+    is_train, fold = in_train_split(LINE_KEY), fold_of(LINE_KEY, folds)
+    whole = Target("whole", F.col(label), MEASURES, is_train)
+    targets = [whole, *(Target(f"fold{f}", F.col(label), MEASURES, is_train & (fold != f)) for f in range(folds))]
+    model = fit_ridges(ol, targets, categorical)
+    needed = dict.fromkeys([label, *MEASURES, *categorical])
+    rows = ol.select(*needed, F.when(is_train, fold).alias("_fold"))
+    scored = model.predict(rows, {t.name: f"_{t.name}" for t in targets})
+    own = F.col("_whole")
+    for f in range(folds):
+        own = F.when(F.col("_fold") == f, F.col(f"_fold{f}")).otherwise(own)
+    e = F.col(label) - own
+    # A row a fold; the holdout has none.
+    by_fold = scored.groupBy("_fold").agg(
+        F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), (1.0 - ratio(F.avg(e * e), F.var_pop(label))).alias("r2")
     )
-    search = fit_once(validator, folded)
-    model = search.bestModel
-    scored = model.transform(prepare(test, MEASURES, categorical)).select(label, "prediction")
-    scores = regression_metrics(scored, label, "prediction").select(
-        F.lit(float(search.avgMetrics[0])).alias("cv_r2_mean"),
-        F.lit(float(search.stdMetrics[0])).alias("cv_r2_std"),
-        "mse",
-        "mae",
-        "r2",
+    held, inside = F.col("_fold").isNull(), F.col("_fold").isNotNull()
+    scores = by_fold.agg(
+        F.avg(F.when(inside, F.col("r2"))).alias("cv_r2_mean"),
+        F.stddev_pop(F.when(inside, F.col("r2"))).alias("cv_r2_std"),
+        *(F.max(F.when(held, F.col(c))).alias(c) for c in ("mse", "mae", "r2")),
     )
-    weights = abs(model.stages[-1].coefficients.toArray())
-    end = len(MEASURES)
-    importance = [float(w) for w in weights[:end]]
-    for width in widths:
-        start, end = end, end + width
-        block = weights[start:end]
-        importance.append(float(block[block > 0].mean()) if (block > 0).any() else 0.0)
-    return model, _importance_rows(ol.sparkSession, [*MEASURES, *categorical], importance), scores
+    return model, _importance_rows(ol.sparkSession, *zip(*model.importance("whole"))), scores

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from tallyline.plans.ridge_twin import mean_effects, ridge, slope_sizes
+
 BASE_COLUMNS = (
     "unique_identifier_for_this_line",
     "order_number",
@@ -1310,8 +1312,71 @@ FROM (SELECT line_freight_cost, line_freight_cost - (50 + 2500 * line_volume_cbm
     }
 
 
+TRAIN = f"CAST('0x' || substr(md5({KEY}), 1, 6) AS BIGINT) % 100 < 80"
+FOLD = f"CAST('0x' || substr(md5({KEY}), 7, 6) AS BIGINT) % 5"
+# By model: what it learns, and from which numbers.
+LINE_MODELS = {
+    "line_freight_cost": ("line_freight_cost", ("line_volume_cbm", "line_quantity", "line_product_cost")),
+    "delivered_margin": (
+        "greatest(least(delivered_margin, 1), -1)", ("line_volume_cbm", "line_quantity", "line_product_cost", "line_freight_revenue"),
+    ),
+    "total_profit": ("total_profit", MEASURES),
+    "line_quantity": ("line_quantity", tuple(m for m in MEASURES if m != "line_quantity")),
+}
+SCORES = "avg((y - p) * (y - p)) AS mse, avg(abs(y - p)) AS mae, 1 - avg((y - p) * (y - p)) / nullif(var_pop(y), 0) AS r2"
+
+
+def line_model(name: str, learn: str) -> str:
+    label, numbers = LINE_MODELS[name]
+    rows = f"{name}_model_rows AS (SELECT *, '{name}' AS target, CAST({label} AS DOUBLE) AS y, {learn} AS learn FROM ol)"
+    return f"{rows},\n{ridge(f'{name}_model', numbers, CODED)}"
+
+
+def line_model_scores(*names: str) -> str:
+    ctes = ",\n".join(line_model(n, TRAIN) for n in names)
+    scores = " UNION ALL ".join(f"SELECT '{n}' AS label, {SCORES} FROM {n}_model_scored WHERE NOT learn" for n in names)
+    return q(scores, ["label"], ["mse", "mae", "r2"], 4, ctes)
+
+
+def regressions_sql() -> dict[str, str]:
+    categories = (*CATEGORIES, "item_number", "order_channel", "order_region")
+    folds = f"""cv_rows AS MATERIALIZED (
+  SELECT *, CASE WHEN t = 0 THEN 'whole' ELSE 'fold' || (t - 1) END AS target, delivered_margin AS y, is_train AND (t = 0 OR fold <> t - 1) AS learn
+  FROM (SELECT *, {TRAIN} AS is_train, {FOLD} AS fold FROM ol), range(6) AS targets(t)),
+"""
+    fitted = folds + ridge("cv", MEASURES, categories)
+    predicted = [f"predicted_{n}" for n in LINE_MODELS]
+    joined = " ".join(f"JOIN (SELECT {KEY}, p AS predicted_{n} FROM {n}_model_scored) USING ({KEY})" for n in LINE_MODELS)
+    return {
+        "margin_regressor_cv": q(
+            f"""SELECT avg(CASE WHEN fold IS NOT NULL THEN r2 END) AS cv_r2_mean, stddev_pop(CASE WHEN fold IS NOT NULL THEN r2 END) AS cv_r2_std,
+       max(CASE WHEN fold IS NULL THEN mse END) AS mse, max(CASE WHEN fold IS NULL THEN mae END) AS mae, max(CASE WHEN fold IS NULL THEN r2 END) AS r2
+FROM (SELECT CASE WHEN is_train THEN fold END AS fold, {SCORES} FROM cv_scored
+      WHERE CASE WHEN is_train THEN t = fold + 1 ELSE t = 0 END GROUP BY 1)""",
+            [],
+            ["cv_r2_mean", "cv_r2_std", "mse", "mae", "r2"],
+            ctes=fitted,
+        ),
+        "margin_regressor_importance": q(
+            f"{slope_sizes('cv', MEASURES, 'whole')} UNION ALL {mean_effects('cv', categories, 'whole')}",
+            ["feature"],
+            ["importance"],
+            ctes=fitted,
+        ),
+        "profit_and_quantity_models": line_model_scores("total_profit", "line_quantity"),
+        "freight_and_margin_models": line_model_scores("line_freight_cost", "delivered_margin"),
+        "line_predictions": q(
+            f"SELECT {KEY}, {', '.join(predicted)} FROM (SELECT {KEY} FROM ol) {joined}",
+            [KEY],
+            predicted,
+            4,
+            ",\n".join(line_model(n, "true") for n in LINE_MODELS),
+        ),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
-    plain = whole_lines_sql() | clusters_sql()
+    plain = whole_lines_sql() | clusters_sql() | regressions_sql()
     categories = ("category_column", "category_value")
     gaps = {
         "monthly_margin_gaps": gapped(

@@ -26,7 +26,7 @@ from tallyline.operators import statistics as st
 from tallyline.schema import LINE_KEY
 from tallyline.sources import drilldown as ds
 from tallyline.sources.order_lines import star_view
-from tallyline.sources.scratch import scratch_dir
+from tallyline.sources.scratch import scratch_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -266,38 +266,25 @@ SQL_CHECKED: dict[str, Query] = {
 
 def _predicted(ol: DataFrame) -> DataFrame:
     """Order lines with the margin model's prediction."""
-    numeric = (*mo.ORDER_NUMBERS, "line_freight_revenue")
-    return mo.predict(mo.margin_model(ol), ol, numeric, mo.LINE_CATEGORIES, "predicted_margin")
+    return mo.line_models(ol, ["delivered_margin"]).predict(ol, {"delivered_margin": "predicted_margin"})
 
 
 def _freight_price_from_model(ol: DataFrame) -> DataFrame:
     """Recommended prices from predicted instead of actual freight cost."""
-    scored = mo.predict(
-        mo.freight_cost_model(ol), ol, mo.ORDER_NUMBERS, mo.LINE_CATEGORIES, "predicted_cost"
-    )
+    scored = mo.line_models(ol, ["line_freight_cost"]).predict(ol, {"line_freight_cost": "predicted_cost"})
     return pr.recommend_freight_price(scored, "predicted_cost")
 
 
-def _model_scores(ol: DataFrame) -> DataFrame:
-    """Holdout scores of the profit and quantity models."""
-    train, test = mo.train_test_split(ol)
-    parts = []
-    for label, fit, numeric in (
-        ("total_profit", mo.profit_model, mo.MEASURES),
-        ("line_quantity", mo.quantity_model, tuple(m for m in mo.MEASURES if m != "line_quantity")),
-    ):
-        scored = mo.predict(fit(train), test, numeric, mo.LINE_CATEGORIES, "predicted")
-        scores = st.regression_metrics(scored, label, "predicted")
-        parts.append(scores.select(F.lit(label).alias("label"), "mse", "mae", "r2"))
-    return parts[0].unionByName(parts[1])
+def _line_predictions(ol: DataFrame) -> DataFrame:
+    """What the four line models say of every line."""
+    names = {n: f"predicted_{n}" for n in mo.LINE_MODELS}
+    return mo.line_models(ol).predict(ol, names).select(LINE_KEY, *names.values())
 
 
 def _scenario_score_models(ol: DataFrame) -> DataFrame:
     """Scenario scores from fitted profit, quantity and margin models and k-means segments."""
-    quantity_inputs = tuple(m for m in mo.MEASURES if m != "line_quantity")
-    lines = _predicted(ol).withColumn("month", F.month("order_date"))
-    lines = mo.predict(mo.profit_model(ol), lines, mo.MEASURES, mo.LINE_CATEGORIES, "predicted_profit")
-    lines = mo.predict(mo.quantity_model(ol), lines, quantity_inputs, mo.LINE_CATEGORIES, "predicted_quantity")
+    names = {"total_profit": "predicted_profit", "line_quantity": "predicted_quantity", "delivered_margin": "predicted_margin"}
+    lines = written(mo.line_models(ol, list(names)).predict(ol, names).withColumn("month", F.month("order_date")), "predicted-lines")
     best = pr.price_scenarios(ol).select(LINE_KEY, "new_price")
     scored = lines.join(best, LINE_KEY).select(
         LINE_KEY, "customer_name", "month", "new_price", "predicted_profit", "predicted_quantity", "predicted_margin"
@@ -342,6 +329,11 @@ SQL_CHECKED |= {
         lambda ol: mo.cluster_describe(mo.customer_clusters(ol), cu.CUSTOMER_FEATURES), 4
     ),
     "profitability_factors": on_lines(mo.profitability_factors),
+    "margin_regressor_cv": on_lines(lambda ol: mo.margin_regressor_cv(ol)[2]),
+    "margin_regressor_importance": on_lines(lambda ol: mo.margin_regressor_cv(ol)[1]),
+    "profit_and_quantity_models": on_lines(lambda ol: mo.line_model_scores(ol, ["total_profit", "line_quantity"]), 4),
+    "freight_and_margin_models": on_lines(lambda ol: mo.line_model_scores(ol, ["line_freight_cost", "delivered_margin"]), 4),
+    "line_predictions": on_lines(_line_predictions, 4),
     "customer_segments_observed": on_lines(lambda ol: mo.customer_segments(ol, "product_margin")),
     "line_segments": on_lines(
         lambda ol: mo.with_segments(ol, mo.customer_segments(ol, "product_margin")).select(
@@ -358,10 +350,7 @@ PROPERTY_CHECKED: dict[str, Query] = {
     "margin_linear_scores": on_lines(lambda ol: mo.margin_linear_model(ol)[2]),
     "revenue_forest": on_lines(lambda ol: mo.revenue_forest(ol)[1]),
     "margin_boosted_trees": on_lines(lambda ol: mo.margin_boosted_trees(ol)[1]),
-    "margin_regressor_cv": on_lines(lambda ol: mo.margin_regressor_cv(ol)[2]),
-    "margin_regressor_importance": on_lines(lambda ol: mo.margin_regressor_cv(ol)[1]),
     "freight_price_from_model": on_lines(_freight_price_from_model),
-    "profit_and_quantity_models": on_lines(_model_scores),
     "scenario_score_models": on_lines(_scenario_score_models),
     "forecast_daily": on_lines(se.forecast_daily),
 }

@@ -137,7 +137,7 @@ def test_items_that_shared_a_slot_are_apart(spark):
 
 def test_cross_validation_scores(ol):
     planted = ol.withColumn("delivered_margin", 4.0 * F.col("line_quantity") + 1.0)
-    _, importance, scores = mo.margin_regressor_cv(planted, folds=3, slots=16, categorical=("order_channel",))
+    _, importance, scores = mo.margin_regressor_cv(planted, folds=3, categorical=("order_channel",))
     got = scores.first()
     assert got.cv_r2_mean > 0.99 and got.r2 > 0.99 and got.cv_r2_std < 0.01
     assert importance.first().feature == "line_quantity"
@@ -282,7 +282,7 @@ def test_registered_models_are_the_whole_ones(spark, ol, monkeypatch, query):
         return None, spark.range(1).toDF("importance"), None
 
     monkeypatch.setattr(mo, name, called)
-    registry.PROPERTY_CHECKED[query](spark, SF)
+    registry.all_queries()[query](spark, SF)
     given = calls[0].arguments
     expected = {
         "revenue_forest": {"trees": 100, "depth": 30},
