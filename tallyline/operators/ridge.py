@@ -2,8 +2,9 @@
 
 A prediction is an intercept, a slope times each number, and one effect a category. They are fitted by rounds: first the
 numbers, by normal equations on what the effects leave over, then each category in turn, whose effects are the sums of what
-is left over in the level, divided by its rows plus the penalty. All regressions take their sums from the same
-scans, so folds and other labels cost no further pass. Effects are tables, joined by measured size: nothing of the
+is left over in the level, divided by its rows plus the penalty, less their mean over the levels. After each round the
+numbers follow again. Rounds lead to the least penalised squares of all at once. All regressions take their sums from the
+same scans, so folds and other labels cost no further pass. Effects are tables, joined by measured size: nothing of the
 length of a category's levels reaches the driver, which solves systems of one row a number.
 """
 
@@ -217,16 +218,20 @@ def fit_ridges(
             found.append(_solved(list(target.numbers), *fixed[t], sums[f"l{t}"] or 0.0, crossed, penalty))
         return found
 
+    def centred(table: DataFrame) -> DataFrame:
+        """Effects that add up to 0, as those of the least squares do; the next intercept takes their mean."""
+        means = table.agg(*(F.avg(f"e{t}").alias(f"e{t}") for t in range(len(targets)))).first()
+        return table.select("level", *((F.col(c) - F.lit(m or 0.0)).alias(c) for c, m in means.asDict().items()))
+
     lines = fitted_lines()
-    for turn in range(rounds):
-        if turn:
-            lines = fitted_lines()
+    for _ in range(rounds):
         for k in range(len(categorical)):
             joined, left = beside(k)
             over = [y - _on_line(line, x) for y, line in zip(left, lines)]
             sums = joined.groupBy(F.col(_level(k)).alias("level")).agg(
                 *(F.try_divide(F.sum(F.when(mine[t], o)), F.count(F.when(mine[t], 1)) + F.lit(penalty)).alias(f"e{t}") for t, o in enumerate(over))
             )
-            effects[k] = written(sums.na.fill(0.0), "ridge-effects")
+            effects[k] = centred(written(sums, "ridge-effects"))
+        lines = fitted_lines()
     named = {c: effects[k] for k, c in enumerate(categorical)} if rounds else {}
     return Ridges({t.name: line for t, line in zip(targets, lines)}, named, fills, shifts)

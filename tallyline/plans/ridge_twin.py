@@ -37,7 +37,7 @@ def ridge(name: str, numbers: Sequence[str], categories: Sequence[str]) -> str:
     def on_line(table: str) -> str:
         return _terms([f"{table}.l", *(f"{table}.s{j} * r.{n}" for j, n in enumerate(numbers))])
 
-    for turn in range(ROUNDS):
+    for turn in range(ROUNDS + 1):
         joins, known = beside(None)
         start, line = f"{name}_system{turn}", f"{name}_line{turn}"
         moments = [f"avg(x{j}) AS m{j}" for j in range(size)] + [f"count(*) * covar_pop(x{j}, o) AS b{j}" for j in range(size)]
@@ -57,12 +57,13 @@ def ridge(name: str, numbers: Sequence[str], categories: Sequence[str]) -> str:
             steps,
             f"{line} AS MATERIALIZED (SELECT target, l - ({through}) AS l, {', '.join(f'{s} AS s{j}' for j, s in enumerate(slopes))} FROM {last})",
         ]
-        for k, c in enumerate(categories):
+        for k, c in enumerate(categories if turn < ROUNDS else ()):
             joins, known = beside(k)
             table = f"{name}_effects{turn}_{k}"
             tables.append(
-                f"""{table} AS MATERIALIZED (SELECT r.target, r.{c} AS level, sum(r.y - ({on_line(line)}) - ({known})) / (count(*) + 1.0::DOUBLE) AS e
-  FROM {rows} r JOIN {line} ON {line}.target = r.target{joins} WHERE r.learn GROUP BY 1, 2)"""
+                f"""{table} AS MATERIALIZED (SELECT target, level, e - avg(e) OVER (PARTITION BY target) AS e FROM (
+  SELECT r.target, r.{c} AS level, sum(r.y - ({on_line(line)}) - ({known})) / (count(*) + 1.0::DOUBLE) AS e
+  FROM {rows} r JOIN {line} ON {line}.target = r.target{joins} WHERE r.learn GROUP BY 1, 2))"""
             )
             effects[k] = table
     joins, known = beside(None)
@@ -84,6 +85,6 @@ def slope_sizes(name: str, numbers: Sequence[str], target: str) -> str:
     """A row a number: its slope over one deviation of the rows learned from."""
     return " UNION ALL ".join(
         f"""SELECT '{n}' AS feature, abs(s{j}) * (SELECT stddev_pop({n}) FROM {name}_rows WHERE learn AND target = '{target}') AS importance
-FROM {name}_line{ROUNDS - 1} WHERE target = '{target}'"""
+FROM {name}_line{ROUNDS} WHERE target = '{target}'"""
         for j, n in enumerate(numbers)
     )

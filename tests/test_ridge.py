@@ -35,15 +35,14 @@ def predictions(model, df, target="t"):
     return {r.k: r.p for r in model.predict(df, {target: "p"}).collect()}
 
 
-def test_rounds_come_near_the_whole_solution(spark):
+def test_rounds_lead_to_the_whole_solution(spark):
     rows = planted_rows()
     df = spark.createDataFrame(rows, SCHEMA)
     want, away = whole_system(rows), []
-    for rounds in (1, 3, 6):
+    for rounds in (1, 3, 8):
         got = predictions(fit_ridges(df, [Target("t", F.col("y"), ["x", "w"])], ["g", "h"], rounds), df)
         away.append(max(abs(got[r[0]] - p) for r, p in zip(rows, want)))
-    # The label's deviation is 12, its noise 1. What levels and intercept share moves slowest.
-    assert away[0] >= away[1] >= away[2] and away[1] < 0.01
+    assert away[0] > away[1] > away[2] and away[2] < 1e-3
 
 
 def test_regressions_of_one_scan_equal_single_ones(spark):
