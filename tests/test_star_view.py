@@ -1,0 +1,59 @@
+"""The star view over tables of a few rows."""
+
+import datetime as dt
+
+import pytest
+
+from tallyline.sources.order_lines import star_view
+
+TABLES = {
+    "lineitem": (
+        "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double",
+        [(1, 1, 7, 3, 2.0, 100.0, 0.0, 0.1), (1, 2, 7, 3, 1.0, 50.0, 0.5, 0.0), (2, 1, 8, 3, 1.0, 10.0, 0.0, 0.0), (None, 1, 7, 3, 1.0, 10.0, 0.0, 0.0)],
+    ),
+    "orders": (
+        "o_orderkey long, o_custkey long, o_orderdate date, o_orderpriority string",
+        [(1, 5, dt.date(2024, 1, 1), "high"), (2, None, dt.date(2024, 1, 1), "high"), (None, 5, dt.date(2024, 1, 1), "low")],
+    ),
+    "customer": ("c_custkey long, c_name string, c_nationkey long, c_mktsegment string", [(5, "c5", 4, "tools"), (5, "c5 again", 4, "tools"), (6, "c6", None, "tools")]),
+    "nation": ("n_nationkey long, n_name string", [(4, "north")]),
+    "part": (
+        "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+        [(7, "seven", "b", "t", 10, 5.0), (None, "none", "b", "t", 10, 5.0)],
+    ),
+}
+
+
+@pytest.fixture()
+def tables(spark, tmp_path):
+    for name, (schema, rows) in TABLES.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def exchanges_above(plan, column: str, seen: int = 0) -> int | None:
+    """How many exchanges the rows of the scan with ``column`` pass on the way to the root."""
+    children = plan.children()
+    seen += plan.nodeName() == "Exchange"
+    if not children.size():
+        return seen if column in plan.output().mkString(",") else None
+    found = [exchanges_above(children.apply(i), column, seen) for i in range(children.size())]
+    return next((n for n in found if n is not None), None)
+
+
+def test_lines_meet_every_buyer_row_and_no_missing_key(spark, tables):
+    found = sorted((r.order_number, r.customer_name, r.line_product_revenue) for r in star_view(spark, tables).collect())
+    assert found == [("1", "c5", 25.0), ("1", "c5", 100.0), ("1", "c5 again", 25.0), ("1", "c5 again", 100.0)]
+
+
+def test_lines_are_shuffled_by_order_and_part_only(spark, tables):
+    small, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"
+    before = {name: spark.conf.get(name) for name in (small, adaptive)}
+    spark.conf.set(small, "-1")
+    spark.conf.set(adaptive, "false")
+    try:
+        plan = star_view(spark, tables)._jdf.queryExecution().executedPlan()
+        assert exchanges_above(plan, "l_orderkey") == 2
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
