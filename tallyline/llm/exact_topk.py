@@ -1,15 +1,13 @@
 """Exact top-k inner products by columnar branch-and-bound.
 
 Vectors become integers and are packed into blocks in vertical layout: one row of a block holds one dimension of all its
-vectors. A query block meets a candidate block in one task, where scores grow dimension block by dimension block. What
+vectors. Query blocks meet a candidate block in one task, where scores grow dimension block by dimension block. What
 the remaining dimensions can still add is bounded by the product of both remaining norms; candidates whose upper
 bound is below a query's k-th best lower bound are dropped, and the survivors are compacted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,9 +17,12 @@ from tallyline.sources.scratch import written
 
 CANDIDATES = 8192
 QUERIES = 256
+QUERY_BLOCKS = 16
+MOST_TASKS = 2000
 DIMENSIONS = 8
 DENSE_SHARE = 0.25
 EXACT_DOUBLE = float(2**53)
+FOUND = pa.schema([(n, pa.int64()) for n in ("query_row", "query_id", "vec_id", "score")])
 
 
 def _integer_rows(vectors: DataFrame, scale: int) -> DataFrame:
@@ -33,11 +34,17 @@ def _integer_rows(vectors: DataFrame, scale: int) -> DataFrame:
     )
 
 
-def _packed(table: pa.Table, width: int) -> pa.Table:
+def _narrowest(least: int | None, most: int | None) -> np.dtype:
+    """The integers that hold all components."""
+    kinds = (np.dtype(k) for k in (np.int16, np.int32, np.int64))
+    return next(k for k in kinds if np.iinfo(k).min <= (least or 0) and (most or 0) <= np.iinfo(k).max)
+
+
+def _packed(table: pa.Table, width: int, kind: np.dtype) -> pa.Table:
     """One block: ids and a (dimension x row) matrix; short vectors end in zeros."""
     lists = table.column("v").combine_chunks()
     lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-    matrix = np.zeros((len(lists), width), np.int64)
+    matrix = np.zeros((len(lists), width), kind)
     matrix[np.arange(width)[None, :] < lengths[:, None]] = lists.flatten().to_numpy()
     return pa.table(
         {
@@ -49,13 +56,13 @@ def _packed(table: pa.Table, width: int) -> pa.Table:
     )
 
 
-def _blocks(rows: DataFrame, parts: int, width: int) -> DataFrame:
+def _blocks(rows: DataFrame, parts: int, width: int, kind: np.dtype) -> DataFrame:
     """``part, ids, own, matrix``: the rows in ``parts`` blocks of about equal size."""
     part = F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
     return (
         rows.withColumn("part", part)
         .groupBy("part")
-        .applyInArrow(lambda table: _packed(table, width), "part int, ids binary, own binary, matrix binary")
+        .applyInArrow(lambda table: _packed(table, width, kind), "part int, ids binary, own binary, matrix binary")
     )
 
 
@@ -130,32 +137,40 @@ def exact_topk(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256
     counts as ending in zeros (an empty one scores 0). Rows that repeat a vec_id are candidates each, and each a
     query of its own; only a query's own row is no candidate. An empty table gives an empty result. Further columns are ignored.
 
-    Query blocks are sent to every candidate block; each pair of blocks is one row, so memory is bounded by two blocks.
+    Every cell of a candidate block and up to ``QUERY_BLOCKS`` query blocks is one group, so memory is bounded by these
+    blocks. Cells are always shuffled: their blocks are many times the tables they come from, so no broadcast may be
+    chosen by those tables' sizes.
     """
     rows = written(
         _integer_rows(vectors, scale).withColumn("row", F.monotonically_increasing_id()), "topk-integers"
     )
-    sizes = rows.agg(F.max(F.size("v")), F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0)).first()
-    width, parts, query_parts = sizes[0] or 0, sizes[1] // CANDIDATES + 1, sizes[2] // QUERIES + 1
-    candidates = written(_blocks(rows, parts, width), "topk-candidates")
-    queries = _blocks(rows.where(F.col("vec_id") % every == 0), query_parts, width)
-    queries = written(queries.select(*(F.col(c).alias(f"q_{c}") for c in ("ids", "own", "matrix"))), "topk-queries")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in (batch.slice(n, 1).to_pylist()[0] for n in range(batch.num_rows)):
-                ids, own, q_ids, q_own = (np.frombuffer(x[n], np.int64) for n in ("ids", "own", "q_ids", "q_own"))
-                q = np.frombuffer(x["q_matrix"], np.int64).reshape(width, len(q_ids))
-                c = np.frombuffer(x["matrix"], np.int64).reshape(width, len(ids))
-                at, found, scores = block_topk(q, q_own, c, own, ids, k)
-                yield pa.RecordBatch.from_pydict(
-                    {"query_row": q_own[at], "query_id": q_ids[at], "vec_id": ids[found], "score": scores}
-                )
-
-    # Each query block goes once to every candidate block; the join's keys are the blocks, all of one size.
-    sent = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    pairs = sent.join(candidates, "part").select("ids", "own", "matrix", "q_ids", "q_own", "q_matrix")
-    found = pairs.mapInArrow(search, "query_row long, query_id long, vec_id long, score long")
+    sizes = rows.agg(
+        F.max(F.size("v")), F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0), F.min(F.array_min("v")), F.max(F.array_max("v"))
+    ).first()
+    width, parts, query_parts, kind = sizes[0] or 0, sizes[1] // CANDIDATES + 1, sizes[2] // QUERIES + 1, _narrowest(*sizes[3:])
+    candidates = written(_blocks(rows, parts, width, kind), "topk-candidates")
+    queries = written(_blocks(rows.where(F.col("vec_id") % every == 0), query_parts, width, kind), "topk-queries")
+
+    def matrix(block: dict) -> np.ndarray:
+        return np.frombuffer(block["matrix"], kind).reshape(width, len(block["ids"]) // 8).astype(np.int64)
+
+    def search(query_blocks: pa.Table, candidate_blocks: pa.Table) -> pa.Table:
+        found = [FOUND.empty_table()]
+        for y in candidate_blocks.to_pylist():
+            c, ids, own = matrix(y), *(np.frombuffer(y[n], np.int64) for n in ("ids", "own"))
+            for x in query_blocks.to_pylist():
+                q_ids, q_own = (np.frombuffer(x[n], np.int64) for n in ("ids", "own"))
+                at, place, scores = block_topk(matrix(x), q_own, c, own, ids, k)
+                found.append(pa.table([q_own[at], q_ids[at], ids[place], scores], schema=FOUND))
+        return pa.concat_tables(found)
+
+    groups = -(-query_parts // QUERY_BLOCKS)
+    tasks = min(parts * groups, MOST_TASKS)
+    sent = queries.withColumn("queries", (F.col("part") % groups).cast("int"))
+    sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = candidates.withColumn("queries", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    by_cell = (t.repartition(tasks, "part", "queries").groupBy("part", "queries") for t in (sent, met))
+    found = next(by_cell).cogroup(next(by_cell)).applyInArrow(search, "query_row long, query_id long, vec_id long, score long")
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(best))

@@ -39,6 +39,22 @@ def test_topk_edges(spark):
     assert exact_topk(frame.limit(0)).count() == 0
 
 
+def test_topk_of_several_blocks_is_never_broadcast(spark, monkeypatch):
+    from tallyline.llm import exact_topk as module
+
+    monkeypatch.setattr(module, "CANDIDATES", 16)
+    monkeypatch.setattr(module, "QUERIES", 4)
+    monkeypatch.setattr(module, "QUERY_BLOCKS", 2)
+    vectors = np.random.default_rng(3).integers(-(2**17), 2**17, (90, 6))
+    frame = spark.createDataFrame([(i, [x / 256 for x in v.tolist()]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = exact_topk(frame, every=5, k=3)
+    scores = (vectors @ vectors.T).tolist()
+    wanted = [sorted((-scores[q][j], j) for j in range(90) if j != q)[:3] for q in range(0, 90, 5)]
+    expected = [(5 * n, r, j, -s) for n, best in enumerate(wanted) for r, (s, j) in enumerate(best, 1)]
+    assert sorted(map(tuple, found.collect())) == expected
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_viterbi_takes_the_likelier_cut():
     words = {"free": 50, "bets": 20, "the": 900, "ring": 30, "thering": 1}
     assert viterbi("freebets", words, 1001) == ["free", "bets"]
