@@ -3,6 +3,7 @@
 import pytest
 from fixtures import by, lines
 
+from tallyline.operators import drilldown as dr
 from tallyline.operators import models as mo
 from tallyline.operators.lines import with_margins
 from tallyline.schema import LINE_KEY
@@ -29,3 +30,16 @@ def test_encodings_read_the_lines_once_for_all_means(spark):
     assert got["k00000"].customer_agreement_encoded is None
     assert got["k00003"].customer_agreement_encoded == pytest.approx((margin["k00001"] + margin["k00002"]) / 2)
     assert plan_of(encoded).count("LogicalRDD") == 1
+
+
+def test_members_are_found_without_sums(spark):
+    found = dr.item_drilldown(with_margins(lines(spark, *ROWS)))
+    only = found.where("member_column IS NOT NULL")
+    assert "sum(" not in plan_of(only)
+    x = [r for r in found.collect() if r.category_column == "category_1" and r.category_value == "x"]
+    assert sorted((r.member_column, r.member) for r in x if r.member_column) == [
+        ("customer_agreement", "a1"), ("customer_name", "c1"), ("order_region", "north"),
+    ]
+    (total,) = [r for r in x if r.member_column is None]
+    assert total.line_product_revenue == 300.0 and total.member is None
+    assert all(r.line_product_revenue is None for r in x if r.member_column)
