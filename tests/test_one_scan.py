@@ -1,12 +1,14 @@
 """Encodings and drill-downs: what goes through the shuffle and how often the lines are read."""
 
 import pytest
+from conftest import SF
 from fixtures import by, lines
 
 from tallyline.operators import drilldown as dr
 from tallyline.operators import models as mo
 from tallyline.operators.lines import with_margins
 from tallyline.schema import LINE_KEY
+from tallyline.sources.order_lines import star_view
 
 ROWS = (
     {"category_1": "x", "customer_agreement": None},
@@ -43,3 +45,22 @@ def test_members_are_found_without_sums(spark):
     (total,) = [r for r in x if r.member_column is None]
     assert total.line_product_revenue == 300.0 and total.member is None
     assert all(r.line_product_revenue is None for r in x if r.member_column)
+
+
+def outermost_join(df, capsys):
+    """The first join that the plan shows: the last one made."""
+    df.explain()
+    return next(line for line in capsys.readouterr().out.splitlines() if "Join" in line)
+
+
+def test_codes_of_the_column_with_most_values_are_joined_last(spark, capsys):
+    rows = [(f"m{i}", f"f{i % 3}" if i else None, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "many string, few string, k int")
+    coded = mo.category_codes(df, ["many", "few"])
+    assert "many" in outermost_join(coded, capsys) and coded.columns == ["few", "many", "k", "many_code", "few_code"]
+    levels = sorted(r[0] for r in rows)
+    assert {r.k: (r.many_code, r.few_code) for r in coded.collect()} == {i: (levels.index(m), int(f[1]) if f else -1) for m, f, i in rows}
+
+
+def test_parts_meet_the_lines_last(spark, capsys):
+    assert "partkey" in outermost_join(star_view(spark, SF), capsys)
