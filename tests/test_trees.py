@@ -122,3 +122,32 @@ def test_a_node_without_a_cut_is_a_leaf_at_any_size(spark, monkeypatch):
     state, nodes = trees.boosted(rows.withColumn("prediction", F.lit(0.0)), 0, 1, 5, 1.0)
     assert [n["feature"] for n in nodes.collect()] == [None]
     assert {round(r["prediction"], 9) for r in state.collect()} == {round(50 / 76, 9)}
+
+
+def test_levels_write_no_rows_and_rows_in_one_part_are_dealt(rows, monkeypatch):
+    tables = []
+
+    def noted(df, name):
+        tables.append((name, written(df, name)))
+        return tables[-1][1]
+
+    written = trees.written
+    monkeypatch.setattr(trees, "TASK_ROWS", 300)
+    monkeypatch.setattr(trees, "PART_ROWS", 300)
+    monkeypatch.setattr(trees, "written", noted)
+    trees.forest(rows.coalesce(1), 5, 30, 1)
+    assert [name for name, _ in tables] == ["tree-rows", "forest"]
+    files = tables[0][1].groupBy(F.input_file_name()).count().collect()
+    assert len(files) == 10 and max(r["count"] for r in files) < 600
+    tables.clear()
+    trees.boosted(rows.coalesce(1).withColumn("prediction", F.lit(14.0)), 0, 2, 4, 0.4)
+    assert [name for name, _ in tables] == ["tree-rows", "boosting-state", "boosting-state"]
+
+
+def test_a_large_node_at_full_depth_is_a_leaf(rows, monkeypatch):
+    monkeypatch.setattr(trees, "TASK_ROWS", 300)
+    predicted, nodes = trees.forest(rows, 2, 1, 1)
+    nodes = nodes.collect()
+    assert {(n["tree"], n["node"], n["feature"] is None) for n in nodes} == {(t, k, k > 1) for t in range(2) for k in (1, 2, 3)}
+    ways = [walked(nodes, rows.where("NOT is_train").collect(), tree) for tree in range(2)]
+    assert {r["row"]: r["prediction"] for r in predicted.collect()} == pytest.approx({k: (ways[0][k] + ways[1][k]) / 2 for k in ways[0]})
