@@ -165,13 +165,14 @@ class Block:
         n = pc.list_flatten(found.column("counts")).to_numpy().astype(np.float64)
         pairs = np.concatenate((own[inner], context | symbol))
         self._table(pairs, np.concatenate((own_n[inner], n)))
-        self.first, self.pair_of, self.zeros, self.ones = [], [], [], []
+        self.first, self.pair_of, self.bits, self.zeros, self.ones = [], [], [], [], []
         for distinct, number in parts:
             path, lengths = code.paths((distinct & _SYMBOL).astype(np.int64))
             nodes = np.repeat(distinct & ~_SYMBOL, lengths) | code.nodes[path]
             zeros, ones = self._counts(nodes)
             self.first.append(np.cumsum(lengths) - lengths)
             self.pair_of.append(number)
+            self.bits.append(code.bits[path])
             self.zeros.append(zeros)
             self.ones.append(ones)
 
@@ -195,6 +196,12 @@ class Block:
 
         ``without_own``: only pieces of training texts, each predicted from the counts less one occurrence of itself.
         """
+        odds = []
+        for bits, zeros, ones in zip(self.bits, self.zeros, self.ones):
+            if without_own:  # pairs that only other texts have are not asked for
+                ones, zeros = np.maximum(ones - bits, 0), np.maximum(zeros - (1 - bits), 0)
+            odds.append(np.log((ones + PRIOR_COUNT) / (zeros + PRIOR_COUNT)).astype(np.float32))
+        gate = np.minimum(np.log2(ones + zeros + 1).astype(np.int64), GATES - 1)
         for start in range(0, len(self.keys), CHUNK_PIECES):
             a, b = np.searchsorted(self.places.piece, (start, start + CHUNK_PIECES))
             at = np.arange(a, b)
@@ -202,16 +209,11 @@ class Block:
                 at = at[self.times[self.places.piece[at]] > 0]
             path, lengths = self.code.paths(self.places.symbols[at])
             depth = np.arange(len(path)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            bits = self.code.bits[path]
             x = np.empty((len(path), PREDICTORS), np.float32)
             for k in range(PREDICTORS):
                 where = np.repeat(self.first[k][self.pair_of[k][at]], lengths) + depth
-                zeros, ones = self.zeros[k][where], self.ones[k][where]
-                if without_own:
-                    ones, zeros = ones - bits, zeros - (1 - bits)
-                x[:, k] = np.log((ones + PRIOR_COUNT) / (zeros + PRIOR_COUNT))
-            gates = np.minimum(np.log2(ones + zeros + 1).astype(np.int64), GATES - 1)
-            yield x, bits, gates, np.repeat(self.places.piece[at], lengths)
+                x[:, k] = odds[k][where]
+            yield x, self.code.bits[path], gate[where], np.repeat(self.places.piece[at], lengths)
 
     def learned(self) -> tuple[np.ndarray, np.ndarray]:
         """Per gate the curvature at the block's own weights, and its product with these weights."""
