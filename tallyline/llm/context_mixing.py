@@ -13,24 +13,29 @@ A text is predicted by several sharpnesses of these weights at once. Their share
 well each has predicted this very text, so a text unlike the training texts soon is predicted more cautiously. The product
 of the predictions of such a mix is the mean of the products of its parts, so one sum a sharpness gives it exactly.
 
-A piece costs the same in every text, so Spark scores each distinct piece once and joins the costs to the texts.
+The spelling of a piece costs the same in every text, so Spark scores each distinct piece once and joins the costs to the texts.
+Every occurrence is then predicted from its spelling and from contexts across pieces: the pieces before it in training texts and in
+its own text (``histories``). Their weights start from what the training texts taught and move within each text.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.words import mixed, slices
-from tallyline.sources.scratch import written
+from tallyline.llm.histories import GATES as HISTORY_GATES
+from tallyline.llm.histories import OWN_CONTEXTS, Occurrences, Runs, merged_shares, numbered, spelled_logs
+from tallyline.llm.words import mixed, slices, string_hashes
+from tallyline.sources.scratch import bucketed, dropped, shuffles_cleared, written
 
 END, START = 255, 256
 ORDERS = (1, 2, 3, 4)
@@ -45,6 +50,11 @@ GATES, STEPS, RIDGE = 12, 3, 1.0
 SHARPNESSES = (0.7, 1.0, 1.2)
 FREQUENT, FREQUENT_BYTES = 1 << 20, 64
 SMOOTH = 0.1
+# A part of the runs has about so many at most.
+PART_RUNS = 1 << 22
+# A bucket of slices has about so many pieces and long words.
+BUCKET_KEYS = 1 << 22
+DEALT_BYTES = 4 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -136,12 +146,6 @@ class Places:
         return np.unique(self.pairs[-1][edge] >> _U(8))
 
 
-def numbered(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values, and the number of each one's place."""
-    coded = pa.array(pairs).dictionary_encode()
-    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
-
-
 def summed_pairs(pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     distinct, number = numbered(pairs)
     return distinct, np.bincount(number, n, len(distinct))
@@ -367,28 +371,37 @@ def piece_costs(blocks: DataFrame, code: Code) -> DataFrame:
 
     def cost(pieces: pa.Table, found: pa.Table) -> pa.Table:
         block = Block(pieces, found, sent.value)
-        bits = pa.FixedSizeListArray.from_arrays(pa.array(block.costs(weights).ravel()), len(SHARPNESSES))
-        lists = bits.cast(pa.list_(pa.float64()))
-        return pa.table({"key": block.keys, "word_c": pieces.column("word_c"), "n": pieces.column("n"), "bits": lists})
+        bits = pa.FixedSizeListArray.from_arrays(pa.array(block.costs(weights).ravel().astype(np.float32)), len(SHARPNESSES))
+        lists = bits.cast(pa.list_(pa.float32()))
+        return pa.table({"key": block.keys, "word_c": pieces.column("word_c"), "n": pieces.column("n"), "c": pieces.column("c"), "bits": lists})
 
-    return both("block key c word_c n").applyInArrow(cost, "key binary, word_c long, n long, bits array<double>")
+    return both("block key c word_c n").applyInArrow(cost, "key binary, word_c long, n long, c long, bits array<float>")
 
 
-def scored_texts(docs: DataFrame) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte`` per row.
+@dataclass(frozen=True)
+class PieceModel:
+    """All pieces and long words with their costs, and the sums of the training texts' words."""
 
-    Texts whose crc32(doc_id) is not divisible by 10 are learned from; all are scored, A-Z lower-cased. ``base_score``
-    is the smoothed unigram log10 probability of words and end, ``score`` the model's log10 probability of the text. A
-    null text is empty; an empty text has the end only; a null doc_id counts as id text '' and is held out. Rows that
-    repeat are learned from and scored each. Without training texts all counts are 0. An empty table gives an empty result.
-    Further columns are ignored. Memory is bounded by a slice of texts, by one text where that is longer, and by a block of pieces.
+    costs: DataFrame
+    often: Column
+    all_n: int
+    train_texts: int
+    train_tokens: int
+    divisor: float
 
-    Pieces and words of at most ``FREQUENT_BYTES`` with more than 1/2^20 of all occurrences (so at most 2^20 of them) are
-    looked up where a text is read; all others are joined.
-    """
-    spark = docs.sparkSession
+    def frequent(self) -> pa.Table:
+        """The entries looked up where a text is read, 2^20 at most."""
+        return self.costs.where(self.often).toArrow().combine_chunks()
+
+
+def held_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, held_out``."""
     remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10
-    held = docs.select(F.col("doc_id").cast("long"), "text", (remainder == 0).alias("held_out"))
+    return docs.select(F.col("doc_id").cast("long"), "text", (remainder == 0).alias("held_out"))
+
+
+def piece_model(held: DataFrame) -> PieceModel:
+    """``key, word_c, n, c, bits`` of every piece and long word of some texts, written, with what belongs to them."""
     mark = F.expr("substring(key, 1, 1)")
     word = F.when(mark == F.lit(bytes([WORD])), F.expr("substring(key, 2, length(key) - 2)")).when(
         mark == F.lit(bytes([LONG_WORD])), F.expr("substring(key, 2)")
@@ -405,84 +418,230 @@ def scored_texts(docs: DataFrame) -> DataFrame:
     known = entries.join(words, "word", "left").drop("word")
     code = Code(symbol_counts(entries.where(is_piece & (F.col("c") > 0))))
     costs = piece_costs(in_blocks(known.where(is_piece)), code)
-    free = F.array_repeat(F.lit(0.0), len(SHARPNESSES))
-    costs = written(costs.unionByName(known.where(~is_piece).select("key", "word_c", "n", free.alias("bits"))), "mixing-costs")
+    free = F.array_repeat(F.lit(0.0).cast("float"), len(SHARPNESSES))
+    costs = written(costs.unionByName(known.where(~is_piece).select("key", "word_c", "n", "c", free.alias("bits"))), "mixing-costs")
     often = (F.col("n") > all_n / FREQUENT) & (F.length("key") <= FREQUENT_BYTES)
-    frequent = costs.where(often).toArrow()
-    sent = spark.sparkContext.broadcast(frequent.combine_chunks())
-    end_known, end_base = int(train_texts > 0), float(np.log10((train_texts + SMOOTH) / divisor))
-    bits_columns = [f"bits_{k}" for k in range(len(SHARPNESSES))]
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
-        keys = table.column("key").combine_chunks() if table.num_rows else pa.array([], pa.binary())
-        word_c = table.column("word_c").to_numpy().astype(np.float64)  # NaN where there is no word
-        is_word = ~np.isnan(word_c)
-        base = np.where(is_word, np.log10((np.where(is_word, word_c, 0) + SMOOTH) / divisor), 0.0)
-        bits = pc.list_flatten(table.column("bits")).to_numpy().reshape(-1, len(SHARPNESSES))
-        row = TaskContext.get().partitionId() << 33
-        for piece in slices(batches):
-            texts = piece.column("text")
-            found, text_of = keys_of(texts)
+    return PieceModel(costs, often, all_n, train_texts, n, divisor)
+
+
+SLICES = (
+    "slice long, doc_id array<long>, held_out array<boolean>, n_bytes array<long>, keys array<binary>, rare_at array<int>, "
+    "numbers binary, lengths binary, longs binary, long_lengths binary"
+)
+
+
+def _numbers(column: pa.ChunkedArray, kind: type = np.int32) -> np.ndarray:
+    """All numbers that the rows hold as bytes, one after another."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers below 2^48 as all lowest bytes, then all second ones, ...: the upper ones are mostly 0 and take no room."""
+    return values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+
+
+def _unplaned(row: bytes) -> np.ndarray:
+    values = np.zeros((len(row) // 6, 8), np.uint8)
+    values[:, :6] = np.frombuffer(row, np.uint8).reshape(6, -1).T
+    return values.view(np.uint64).ravel()
+
+
+def dealt_texts(held: DataFrame, frequent: Broadcast, buckets: int) -> tuple[str, str]:
+    """Slices of texts, a row each: the distinct keys, which of them ``frequent`` lacks, and the numbers of each text's keys."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, slice_ = _often(frequent.value), TaskContext.get().partitionId() << 33
+        for piece in slices(batches, limit=DEALT_BYTES):
+            found, text_of = keys_of(piece.column("text"))
             coded = found.dictionary_encode()
-            distinct, number = coded.dictionary, coded.indices.to_numpy()
-            token = np.array([k[0] == LONG_WORD or (k[0] == WORD and len(k) > 2) for k in distinct.to_pylist()], bool)
-            at = pc.fill_null(pc.index_in(distinct, value_set=keys), -1).to_numpy()[number]
-            here = np.flatnonzero(at >= 0)
-            at, owner = at[here], text_of[here]
-            rare = np.ones(len(number), bool)
-            rare[here] = False
-            pairs, times = np.unique(text_of[rare] * len(distinct) + number[rare], return_counts=True)
-            bounds = np.searchsorted(pairs, np.arange(piece.num_rows + 1) * len(distinct)).astype(np.int32)
-            size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+            keys, number = coded.dictionary, coded.indices.to_numpy().astype(np.int32)
+            is_long = _marks(keys)[number] == LONG_WORD
+            lengths, long_lengths = (np.bincount(text_of[x], minlength=piece.num_rows) for x in (~is_long, is_long))
+            rare_at = np.flatnonzero(pc.is_null(pc.index_in(keys, value_set=often)).to_numpy(zero_copy_only=False))
             columns = {
-                "row": np.arange(row, row + piece.num_rows),
-                "doc_id": piece.column("doc_id"),
-                "held_out": piece.column("held_out"),
-                "n_bytes": size,
-                "n_tokens": np.bincount(text_of, token[number], piece.num_rows).astype(np.int64) + 1,
-                "known": np.bincount(owner, word_c[at] > 0, piece.num_rows).astype(np.int64) + end_known,
-                "base": np.bincount(owner, base[at], piece.num_rows) + end_base,
-                "keys": pa.ListArray.from_arrays(pa.array(bounds), distinct.take(pa.array(pairs % len(distinct)))),
-                "times": pa.ListArray.from_arrays(pa.array(bounds), pa.array(times.astype(np.int32))),
+                "slice": pa.array([slice_]),
+                "doc_id": _row(piece.column("doc_id")),
+                "held_out": _row(piece.column("held_out")),
+                "n_bytes": _row(pc.fill_null(pc.binary_length(piece.column("text")), 0).cast(pa.int64())),
+                "keys": _row(keys),
+                "rare_at": _row(pa.array(rare_at.astype(np.int32))),
+                "numbers": pa.array([number[~is_long].tobytes()]),
+                "lengths": pa.array([lengths.astype(np.int32).tobytes()]),
+                "longs": pa.array([number[is_long].tobytes()]),
+                "long_lengths": pa.array([long_lengths.astype(np.int32).tobytes()]),
             }
-            for k, name in enumerate(bits_columns):
-                columns[name] = np.bincount(owner, bits[at, k], piece.num_rows)
-            row += piece.num_rows
+            slice_ += 1
             yield pa.RecordBatch.from_pydict(columns)
 
-    schema = (
-        "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, known long, base double, keys array<binary>, "
-        "times array<int>, " + ", ".join(f"{c} double" for c in bits_columns)
-    )
-    rows = written(held.mapInArrow(added, schema), "mixing-rows")
-    rare = rows.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", "x.keys", "x.times")
-    gain = F.when(F.col("word_c").isNotNull(), F.log10((F.col("word_c") + SMOOTH) / F.lit(divisor))).otherwise(0.0)
-    rest = costs.where(~often).select(
-        F.col("key").alias("keys"),
-        F.when(F.col("word_c") > 0, 1).otherwise(0).alias("known"),
-        gain.alias("base"),
-        *(F.col("bits")[k].alias(c) for k, c in enumerate(bits_columns)),
-    )
-    more = ["known", "base", *bits_columns]
-    sums = rare.join(rest, "keys").groupBy("row").agg(*(F.sum(F.col("times") * F.col(c)).alias(f"rare_{c}") for c in more))
-    whole = rows.drop("keys", "times").join(sums, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        "n_bytes",
-        *((F.col(c) + F.coalesce(f"rare_{c}", F.lit(0))).alias(c) for c in more),
+    return bucketed(held.mapInArrow(dealt, SLICES), "mixing-slices", "slice", buckets)
+
+
+def _row(values: pa.Array) -> pa.Array:
+    """One row, the list of all ``values``."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _often(frequent: pa.Table) -> pa.Array:
+    return frequent.column("key").combine_chunks() if frequent.num_rows else pa.array([], pa.binary())
+
+
+def _marks(keys: pa.Array) -> np.ndarray:
+    """The first byte of each key."""
+    offsets = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys)]
+    return np.frombuffer(keys.buffers()[2], np.uint8)[offsets] if len(keys) else np.empty(0, np.uint8)
+
+
+def _plain(column: pa.ChunkedArray) -> pa.Array:
+    """The keys of a slice's only row."""
+    return pa.concat_arrays([column.chunk(k).flatten() for k in range(column.num_chunks)])
+
+
+def run_totals(dealt: DataFrame, history: int, parts: int) -> DataFrame:
+    """``slice, part, totals``: how often all training texts have the runs of each part of a slice.
+
+    The runs of a part go in ascending order, as differences.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (pa.Table.from_batches([batch.slice(k, 1)]) for k in range(batch.num_rows)):
+                lengths, numbers = _numbers(row.column("lengths")), _numbers(row.column("numbers"))
+                runs = Runs(string_hashes(_plain(row.column("keys")))[numbers], lengths, history + 1, parts)
+                train = ~_plain(row.column("held_out")).to_numpy(zero_copy_only=False)
+                counts = runs.counts(np.repeat(train, lengths).astype(np.float64))
+                bounds = list(zip(runs.cuts[:-1].tolist(), runs.cuts[1:].tolist()))
+                columns = {
+                    "slice": pa.array(row.column("slice").to_pylist() * len(bounds), pa.int64()),
+                    "part": pa.array(runs.parts, pa.int32()),
+                    "hashes": pa.array([_planes(np.diff(runs.distinct[a:b], prepend=_U(0))) for a, b in bounds], pa.binary()),
+                    "counts": pa.array([_planes(counts[a:b]) for a, b in bounds], pa.binary()),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
+
+    def summed(rows: pa.Table) -> pa.Table:
+        hashes = [np.cumsum(_unplaned(row), dtype=np.uint64) for row in rows.column("hashes").to_pylist()]
+        counts = [_unplaned(row) for row in rows.column("counts").to_pylist()]
+        distinct, number = numbered(np.concatenate(hashes))
+        totals = np.bincount(number, np.concatenate(counts), len(distinct))[number]
+        cut = [_planes(t) for t in np.split(totals, np.cumsum([len(h) for h in hashes])[:-1])]
+        columns = {"slice": rows.column("slice"), "part": rows.column("part"), "totals": pa.array(cut, pa.binary())}
+        return pa.table(columns)
+
+    runs = dealt.select("slice", "held_out", "keys", "numbers", "lengths").mapInArrow(
+        cut, "slice long, part int, hashes binary, counts binary"
     )
-    least = F.least(*bits_columns)
-    shares = sum((F.pow(F.lit(2.0), least - F.col(c)) for c in bits_columns), F.lit(0.0)) / len(bits_columns)
-    return whole.withColumn("spent", least - F.log2(shares)).select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        F.col("known").cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        F.col("base").alias("base_score"),
-        (F.col("spent") * F.lit(-float(np.log10(2)))).alias("score"),
-        "n_bytes",
-        (F.col("spent") / F.greatest(F.lit(1), F.col("n_bytes"))).alias("bits_per_byte"),
+    return runs.groupBy("part").applyInArrow(summed, "slice long, part int, totals binary")
+
+
+class Slice:
+    """The texts of a slice with all that was found about their keys and runs."""
+
+    def __init__(self, row: pa.Table, found: pa.Table, frequent: pa.Table, history: int, parts: int, train_texts: int):
+        self.doc_id, self.held_out, self.n_bytes = (_plain(row.column(c)) for c in ("doc_id", "held_out", "n_bytes"))
+        self.keys = keys = _plain(row.column("keys"))
+        at = pc.fill_null(pc.index_in(keys, value_set=_often(frequent)), -1).to_numpy()
+        here = np.flatnonzero(at >= 0)
+        self.word_c, c, bits = np.full(len(keys), np.nan), np.zeros(len(keys)), np.zeros((len(keys), len(SHARPNESSES)))
+        rare = found.filter(pc.is_valid(found.column("at")))
+        for entries, places in ((frequent.take(pa.array(at[here])), here), (rare, rare.column("at").to_numpy())):
+            self.word_c[places] = entries.column("word_c").to_numpy().astype(np.float64)
+            c[places] = entries.column("c").to_numpy()
+            bits[places] = pc.list_flatten(entries.column("bits")).to_numpy().reshape(-1, len(SHARPNESSES))
+        self.numbers, self.lengths, self.longs, self.long_lengths = (
+            _numbers(row.column(name)) for name in ("numbers", "lengths", "longs", "long_lengths")
+        )
+        spelled = spelled_logs(bits[self.numbers], self.lengths)
+        self.pieces = Occurrences(spelled, self.numbers, self.lengths)
+        if history:
+            runs = Runs(string_hashes(keys)[self.numbers], self.lengths, history + 1, parts)
+            totals = found.filter(pc.is_valid(found.column("totals"))).sort_by("part").column("totals").to_pylist()
+            totals = np.concatenate([_unplaned(row) for row in totals]).astype(np.float64)
+            self.pieces.add_contexts([c[self.numbers], *(totals[number] for number in runs.numbers)], runs.numbers[0], train_texts)
+
+    def words(self, divisor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per text its words, the known ones of them, and their base score, all without the end."""
+        texts, marks = len(self.lengths), _marks(self.keys)
+        number = np.concatenate((self.numbers, self.longs))
+        text_of = np.concatenate([np.repeat(np.arange(texts), n) for n in (self.lengths, self.long_lengths)])
+        token = (marks == LONG_WORD) | ((marks == WORD) & (pc.binary_length(self.keys).to_numpy() > 2))
+        base = np.where(token, np.log10((np.nan_to_num(self.word_c) + SMOOTH) / divisor), 0.0)
+        return tuple(np.bincount(text_of, x[number], texts) for x in (token, self.word_c > 0, base))
+
+
+def scored_texts(docs: DataFrame, history: int = 0) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte`` per row.
+
+    Texts whose crc32(doc_id) is not divisible by 10 are learned from; all are scored, A-Z lower-cased. ``base_score``
+    is the smoothed unigram log10 probability of words and end, ``score`` the model's log10 probability of the text. A
+    null text is empty; an empty text has the end only; a null doc_id counts as id text '' and is held out. Rows that
+    repeat are learned from and scored each. Without training texts all counts are 0. An empty table gives an empty result.
+    Further columns are ignored. Memory is bounded by a slice of texts, by one text where that is longer, by a block of pieces,
+    and by a part of the runs.
+
+    ``history``: of how many pieces before a piece its longest context consists; 0 predicts each from its spelling alone.
+
+    Pieces and words of at most ``FREQUENT_BYTES`` with more than 1/2^20 of all occurrences (so at most 2^20 of them) are
+    looked up where a text is read; all others are joined.
+    """
+    with shuffles_cleared(docs.sparkSession):
+        return _scored(docs, history)
+
+
+def _scored(docs: DataFrame, history: int) -> DataFrame:
+    spark, held = docs.sparkSession, held_texts(docs)
+    model = piece_model(held)
+    train_texts, train_tokens, divisor = model.train_texts, model.train_tokens, model.divisor
+    frequent = spark.sparkContext.broadcast(model.frequent())
+    parts, buckets = 1 + model.all_n * history // PART_RUNS, 1 + model.all_n // BUCKET_KEYS
+    slices_name, _ = dealt_texts(held, frequent, buckets)
+    dealt = spark.table(slices_name)
+    places = F.arrays_zip(F.transform("rare_at", lambda i: F.col("keys")[i]).alias("key"), F.col("rare_at").alias("at"))
+    rare = dealt.select("slice", F.explode(places).alias("x")).select("slice", F.col("x.key").alias("key"), F.col("x.at").alias("at"))
+    found = rare.join(model.costs.where(~model.often).drop("n"), "key").drop("key")
+    if history:
+        found = found.unionByName(run_totals(dealt, history, parts), allowMissingColumns=True)
+    else:
+        found = found.selectExpr("*", "int(null) AS part", "binary(null) AS totals")
+    found_name, _ = bucketed(found.repartition(buckets, "slice"), "mixing-found", "slice", buckets)
+    both = dealt.drop("rare_at").groupBy("slice").cogroup(spark.table(found_name).groupBy("slice"))
+
+    def learn(row: pa.Table, found: pa.Table) -> pa.Table:
+        mine = Slice(row, found, frequent.value, history, parts, train_texts)
+        sums = mine.pieces.learned(~mine.held_out.to_numpy(zero_copy_only=False)).ravel()
+        return pa.table({"number": np.arange(len(sums), dtype=np.int32), "value": sums})
+
+    contexts = history + OWN_CONTEXTS if history else 0
+    values = np.zeros(2 * contexts * HISTORY_GATES)
+    if history:
+        for row in both.applyInArrow(learn, "number int, value double").groupBy("number").agg(F.sum("value").alias("v")).collect():
+            values[row["number"]] = row["v"]  # a row a context length and gate
+    shares = merged_shares(values.reshape(2, contexts, HISTORY_GATES))
+    end_known, end_base = int(train_texts > 0), float(np.log10((train_texts + SMOOTH) / divisor))
+
+    def score(row: pa.Table, found: pa.Table) -> pa.Table:
+        mine = Slice(row, found, frequent.value, history, parts, train_texts)
+        n_tokens, known, base = mine.words(divisor)
+        logs = mine.pieces.logs(shares)
+        n_bytes = mine.n_bytes.to_numpy()
+        return pa.table(
+            {
+                "doc_id": mine.doc_id,
+                "held_out": mine.held_out,
+                "n_tokens": n_tokens.astype(np.int64) + 1,
+                "n_known": known.astype(np.int64) + end_known,
+                "train_tokens": np.full(len(logs), train_tokens, np.int64),
+                "base_score": base + end_base,
+                "score": logs / np.log(10),
+                "n_bytes": n_bytes,
+                "bits_per_byte": -logs / np.log(2) / np.maximum(n_bytes, 1),
+            }
+        )
+
+    scores = both.applyInArrow(
+        score,
+        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
+        "n_bytes long, bits_per_byte double",
     )
+    scores = written(scores, "mixing-scores")
+    dropped(spark, (slices_name, found_name))
+    return scores

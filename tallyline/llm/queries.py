@@ -41,7 +41,7 @@ def op4_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored_texts(table(spark, sf_dir, "documents"))
+    return scored_texts(table(spark, sf_dir, "documents"), history=1)
 
 
 URL_RULES = [
