@@ -43,7 +43,7 @@ PREDICTORS = len(ORDERS) + 1
 LONG = 24
 # The first byte of a key: a piece with its whole word, a part of a longer one, such a longer word itself.
 WORD, PART, LONG_WORD = 0, 1, 2
-BLOCK_PIECES, CHUNK_PIECES = 1 << 16, 1 << 14
+BLOCK_PIECES, CHUNK_PIECES, CHUNK_ENTRIES = 1 << 16, 1 << 14, 1 << 18
 PRIOR_COUNT = 0.4
 FIRST_WEIGHT = 0.3
 GATES, STEPS, RIDGE = 12, 3, 1.0
@@ -201,11 +201,17 @@ class Block:
         ``without_own``: only pieces of training texts, each predicted from the counts less one occurrence of itself.
         """
         odds = []
-        for bits, zeros, ones in zip(self.bits, self.zeros, self.ones):
-            if without_own:  # pairs that only other texts have are not asked for
-                ones, zeros = np.maximum(ones - bits, 0), np.maximum(zeros - (1 - bits), 0)
-            odds.append(np.log((ones + PRIOR_COUNT) / (zeros + PRIOR_COUNT)).astype(np.float32))
-        gate = np.minimum(np.log2(ones + zeros + 1).astype(np.int64), GATES - 1)
+        gate = np.empty(len(self.bits[-1]), np.int8)
+        for k, (bits, all_zeros, all_ones) in enumerate(zip(self.bits, self.zeros, self.ones)):
+            odds.append(np.empty(len(bits), np.float32))
+            for start in range(0, len(bits), CHUNK_ENTRIES):
+                at = slice(start, start + CHUNK_ENTRIES)
+                zeros, ones = all_zeros[at], all_ones[at]
+                if without_own:  # pairs that only other texts have are not asked for
+                    ones, zeros = np.maximum(ones - bits[at], 0), np.maximum(zeros - (1 - bits[at]), 0)
+                odds[k][at] = np.log((ones + PRIOR_COUNT) / (zeros + PRIOR_COUNT))
+                if k == PREDICTORS - 1:
+                    gate[at] = np.minimum(np.log2(ones + zeros + 1).astype(np.int64), GATES - 1)
         for start in range(0, len(self.keys), CHUNK_PIECES):
             a, b = np.searchsorted(self.places.piece, (start, start + CHUNK_PIECES))
             at = np.arange(a, b)
