@@ -54,6 +54,12 @@ def test_small_and_unknown_inputs_stay_one_plan(spark, tmp_path):
     assert scratch.input_bytes(lines(spark, *ROWS)) == 0
 
 
+def test_item_drilldown_in_slices(spark, tmp_path, in_parts):
+    ol = enriched_lines(many(spark, tmp_path))
+    found = queries._item_drilldown(ol)
+    assert "Aggregate" not in plan_of(found)
+    assert found.dtypes == dr.item_drilldown(ol).dtypes and sorted_rows(found) == sorted_rows(dr.item_drilldown(ol))
+
 
 
 def test_drilldown_files_in_slices(spark, tmp_path, in_parts, monkeypatch):
