@@ -61,6 +61,11 @@ def test_item_drilldown_in_slices(spark, tmp_path, in_parts):
     assert found.dtypes == dr.item_drilldown(ol).dtypes and sorted_rows(found) == sorted_rows(dr.item_drilldown(ol))
 
 
+def test_gaps_drilldown_in_slices(spark, in_parts):
+    found = queries.SQL_CHECKED["item_drilldown_gaps"](spark, SF)
+    whole = queries.on_gaps(dr.item_drilldown)(spark, SF)
+    assert "Aggregate" not in plan_of(found) and sorted_rows(found) == sorted_rows(whole)
+
 
 def test_drilldown_files_in_slices(spark, tmp_path, in_parts, monkeypatch):
     made = []
