@@ -113,3 +113,12 @@ def test_line_predictions_in_slices(spark, tmp_path, monkeypatch):
     assert {r[0]: r[1:] for r in found.collect()} == {k: pytest.approx(v) for k, v in want.items()}
     rows = [f.removeprefix("file://") for f in folders if "ridge-rows" in f]
     assert len(rows) == 2 and not any(os.path.exists(f) for f in rows) and spark.catalog.listTables() == names
+
+
+def test_customer_segments_in_slices(spark, tmp_path, monkeypatch):
+    ol = clean_lines(many(spark, tmp_path))
+    want = sorted_rows(queries._predicted(ol))
+    monkeypatch.setattr(scratch, "SLICE_BYTES", 1)
+    found = queries._predicted(ol)
+    assert "Join" not in plan_of(found) and len(want) == found.count()
+    assert [x for r in sorted_rows(found) for x in r[1:]] == pytest.approx([x for r in want for x in r[1:]])
