@@ -122,3 +122,13 @@ def test_customer_segments_in_slices(spark, tmp_path, monkeypatch):
     found = queries._predicted(ol)
     assert "Join" not in plan_of(found) and len(want) == found.count()
     assert [x for r in sorted_rows(found) for x in r[1:]] == pytest.approx([x for r in want for x in r[1:]])
+
+
+def test_margin_regressor_cv_in_slices(spark, tmp_path, monkeypatch):
+    ol = clean_lines(many(spark, tmp_path))
+    want = mo.margin_regressor_cv(ol, 3)[2].first()
+    monkeypatch.setattr(scratch, "SLICE_BYTES", 1)
+    scores = mo.margin_regressor_cv(ol, 3)[2]
+    assert "Join" not in plan_of(scores)
+    assert [x is None for x in scores.first()] == [x is None for x in want]
+    assert [x for x in scores.first() if x is not None] == pytest.approx([x for x in want if x is not None])
