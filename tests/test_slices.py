@@ -8,7 +8,7 @@ from fixtures import lines
 
 from tallyline.operators import drilldown as dr
 from tallyline.operators import models as mo
-from tallyline.operators import ridge
+from tallyline.operators import pricing, ridge
 from tallyline.operators.lines import clean_lines, enriched_lines
 from tallyline.plans import queries
 from tallyline.schema import LINE_KEY
@@ -132,3 +132,22 @@ def test_margin_regressor_cv_in_slices(spark, tmp_path, monkeypatch):
     assert "Join" not in plan_of(scores)
     assert [x is None for x in scores.first()] == [x is None for x in want]
     assert [x for x in scores.first() if x is not None] == pytest.approx([x for x in want if x is not None])
+
+
+def test_scenario_scores_in_slices(spark, tmp_path, monkeypatch):
+    ol = clean_lines(many(spark, tmp_path))
+    want = {r[0]: r.score for r in queries._scored(ol).collect()}
+    monkeypatch.setattr(scratch, "SLICE_BYTES", 1)
+    monkeypatch.setattr(pricing, "MOST_SLICES", 1)
+    found = queries._scored(ol)
+    assert "Join" not in plan_of(found) and {r[0]: r.score for r in found.collect()} == pytest.approx(want)
+    assert found.count() == len(want) == ol.count()
+
+
+def test_scores_of_lines_that_come_twice(spark, tmp_path, in_parts, monkeypatch):
+    monkeypatch.setattr(pricing, "MOST_SLICES", 1)
+    once = clean_lines(many(spark, tmp_path, *ROWS[:6]))
+    twice = once.unionAll(once)
+    twice.write.parquet(str(tmp_path / "twice"))
+    found = queries._scored(spark.read.parquet(str(tmp_path / "twice")))
+    assert sorted(found.groupBy(LINE_KEY).count().select("count").distinct().collect()) == [(4,)]
