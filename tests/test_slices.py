@@ -151,3 +151,13 @@ def test_scores_of_lines_that_come_twice(spark, tmp_path, in_parts, monkeypatch)
     twice.write.parquet(str(tmp_path / "twice"))
     found = queries._scored(spark.read.parquet(str(tmp_path / "twice")))
     assert sorted(found.groupBy(LINE_KEY).count().select("count").distinct().collect()) == [(4,)]
+
+
+def test_model_scores_in_slices(spark, tmp_path, monkeypatch):
+    ol = clean_lines(many(spark, tmp_path))
+    want = {r[0]: r.score for r in queries._scenario_score_models(ol).collect()}
+    monkeypatch.setattr(scratch, "SLICE_BYTES", 1)
+    monkeypatch.setattr(pricing, "MOST_SLICES", 1)
+    found = queries._scenario_score_models(ol)
+    assert "Join" not in plan_of(found) and {r[0]: r.score for r in found.collect()} == pytest.approx(want, abs=1e-6)
+    assert len(want) == ol.count()
